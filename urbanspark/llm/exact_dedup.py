@@ -39,8 +39,8 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 def winners(small: DataFrame, tracked: int = TRACKED, share: int = SHARE) -> DataFrame:
     """Digests that hold over 1/share of the rows, exactly counted; at most ``tracked`` rows."""
-    sketch = small.agg(F.expr(f"approx_top_k(digest, {tracked // 2}, {tracked})").alias("top"), F.count("*").alias("rows"))
-    named = sketch.select("rows", F.explode(F.expr("transform(top, x -> x.item)")).alias("digest"))
+    sketch = small.agg(F.expr(f"approx_top_k(hex(digest), {tracked // 2}, {tracked})").alias("top"), F.count("*").alias("rows"))
+    named = sketch.select("rows", F.explode(F.expr("transform(top, x -> unhex(x.item))")).alias("digest"))
     counted = small.join(F.broadcast(named), "digest").groupBy("digest").agg(F.count("*").alias("size"), F.max("rows").alias("rows"))
     return written(counted.where(F.col("size") * share > F.col("rows")).select("digest"), "winners")
 
