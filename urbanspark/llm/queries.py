@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, flac, license_scan, mixing, secret_scan, simhash, url_filters
+from . import exact_dedup, flac, license_scan, mixing, packing, quality, secret_scan, simhash, toxicity, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages")).drop("component")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +52,13 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filters, op5_license_scan, op6_source_mixing, op7_simhash_neardup, op8_secret_scan, op9_exact_dedup, op10_flac_media)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_url_filters, op3_toxicity, op4_packing, op5_license_scan, op6_source_mixing, op7_simhash_neardup, op8_secret_scan, op9_exact_dedup,
+        op10_flac_media,
+    )
+}
 
 #: Longest rule first; an alias shares the address without scheme, www., query, fragment and last slash.
 _OP2 = r"""
