@@ -1,4 +1,5 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
