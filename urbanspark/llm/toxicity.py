@@ -26,6 +26,10 @@ from .common import chunks, plain_columns, texts, written
 SAMPLE = 20_000
 #: Candidates looked at, terms kept, texts that a term has to mark, and how purely.
 CANDIDATES, TERMS, LEAST, PURITY = 3000, 128, 3, 0.8
+#: Share of the toxic texts that a term has to mark: words of one much copied text stay below it.
+SUPPORT = 0.02
+#: Terms that each toxic text should be marked by, where it has so many.
+DEPTH = 4
 #: Lengths of word beginnings that may be terms; the least length of a term that is matched with one edit.
 STEMS, FUZZY_FROM = (4, 5, 6), 5
 #: Words before and after a hit that are looked at.
@@ -153,7 +157,7 @@ def text_features(text: str, low: str, hits: dict[str, int]) -> np.ndarray:
             aside = bool(around & REPORTING) or _quoted(text if same else low, at)
             out[3 if aside else {EXACT: 0, STEM: 1, FUZZY: 2}[kind]] += 1
     total = out[:4].sum() - (1 - QUOTED_WEIGHT) * out[3]
-    damped = np.log1p(out)
+    damped = 1 - np.exp(-2 * out)  # the first hit says most
     damped[4], damped[5] = min(1.0, 10 * total / max(1, len(spans))), 1.0
     return damped
 
@@ -219,7 +223,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     pure = F.col("pos") * neg_docs / (F.col("pos") * neg_docs + F.col("neg") * pos_docs + 1.0)
     top = counts.where(F.col("pos") >= LEAST).where(pure >= PURITY).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.log1p("pos")), "term").limit(CANDIDATES)
     candidates = [r["term"] for r in top.collect()]
-    chosen = _cover(train, candidates)
+    chosen = _cover(train, candidates, max(LEAST, round(SUPPORT * pos_docs)))
     terms, stems = [t for t in chosen if not t.endswith("*")], [t[:-1] for t in chosen if t.endswith("*")]
     model = Model(terms, stems, [])
 
@@ -236,8 +240,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _cover(train: DataFrame, candidates: list[str]) -> list[str]:
-    """Terms chosen greedily: most uncovered toxic texts less texts of the other kind, while it pays."""
+def _cover(train: DataFrame, candidates: list[str], least: int) -> list[str]:
+    """Terms chosen greedily: most toxic texts that have under DEPTH of the chosen terms, less texts of the other kind.
+
+    Words of copied texts have the very same documents as each other; a set of documents that over three words of
+    unlike beginnings share says nothing of any of them.
+    """
     index = {c: i for i, c in enumerate(candidates)}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,19 +266,27 @@ def _cover(train: DataFrame, candidates: list[str]) -> list[str]:
                 pos.setdefault(i, set()).add(n)
             else:
                 neg[i] += 1
+    heads: dict[frozenset[int], set[str]] = {}
+    for i, p in pos.items():
+        heads.setdefault(frozenset(p), set()).add(candidates[i][:4])
+    pos = {i: p for i, p in pos.items() if len(heads[frozenset(p)]) <= 3}
     chosen: list[str] = []
-    covered: set[int] = set()
-    while len(chosen) < TERMS:
+    depth: Counter = Counter()
+    while len(chosen) < TERMS and pos:
         # Of terms that gain alike the one that says most: a whole word before a beginning, a long one before a short one.
-        gain, _, _, best = max(((len(p - covered) - 2 * neg[i], not candidates[i].endswith("*"), len(candidates[i]), -i) for i, p in pos.items()), default=(0, 0, 0, 0))
-        if gain < LEAST:
+        gain, _, _, best = max((sum(depth[n] < DEPTH for n in p) - 2 * neg[i], not candidates[i].endswith("*"), len(candidates[i]), -i) for i, p in pos.items())
+        if gain < least:
             break
-        chosen.append(candidates[-best])
-        covered |= pos[-best]
+        term = candidates[-best]
+        chosen.append(term)
+        depth.update(pos.pop(-best))
+        # What begins with a chosen beginning is known, and a shorter beginning of a chosen term says no more.
+        bare = term.rstrip("*")
+        pos = {i: p for i, p in pos.items() if not (term.endswith("*") and candidates[i].startswith(bare)) and not (candidates[i].endswith("*") and bare.startswith(candidates[i][:-1]))}
     return chosen
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, l2: float = 0.5) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, l2: float = 0.1) -> np.ndarray:
     """Newton's method on counted rows; the constant isn't held back."""
     w, keep = np.zeros(x.shape[1]), l2 * np.ones(x.shape[1])
     keep[-1] = 1e-3
