@@ -13,6 +13,11 @@ def point(x: Column | float, y: Column | float) -> Column:
     return F.struct(as_col(x).cast("double").alias("x"), as_col(y).cast("double").alias("y"))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once: as a lambda's variable it isn't copied into every place that uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """A closed ring of five points."""
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
@@ -52,6 +57,10 @@ def area(ring: Column, holes: Column | None = None) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Of the area; (0, 0) for an empty ring, the vertex mean for one without area."""
+    return bound(ring, _centroid)
+
+
+def _centroid(ring: Column) -> Column:
     edges, twice = _edges(ring), signed_area(ring) * 2
     cx = _sum(edges, lambda e: (e["ax"] + e["bx"]) * _cross(e)) / (3 * twice)
     cy = _sum(edges, lambda e: (e["ay"] + e["by"]) * _cross(e)) / (3 * twice)
@@ -109,10 +118,14 @@ def boxes_overlap(a: Column, b: Column) -> Column:
 
 def _clip_side(ring: Column, inside, cut) -> Column:
     """One half-plane of Sutherland and Hodgman's clip, on a closed ring."""
-    a = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
-    b = F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0)))
-    kept = F.flatten(F.zip_with(a, b, lambda p, q: F.when(inside(p) & inside(q), F.array(q)).when(inside(p), F.array(cut(p, q))).when(inside(q), F.array(cut(p, q), q)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))))
-    return F.when(F.size(kept) > 0, F.concat(kept, F.slice(kept, 1, 1))).otherwise(kept)
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def clipped(r: Column) -> Column:
+        n = F.greatest(F.size(r) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(r, F.lit(1), n), F.slice(r, F.lit(2), n), lambda p, q: F.when(inside(p) & inside(q), F.array(q)).when(inside(p), F.array(cut(p, q))).when(inside(q), F.array(cut(p, q), q)).otherwise(none))
+        return bound(F.flatten(pairs), lambda kept: F.when(F.size(kept) > 0, F.concat(kept, F.slice(kept, 1, 1))).otherwise(kept))
+
+    return bound(ring, clipped)
 
 
 def clip_to_box(ring: Column, box: Column) -> Column:

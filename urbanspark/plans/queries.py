@@ -12,7 +12,7 @@ from ..core import BBox, jfa_steps
 from ..functions import crs
 from ..functions import geometry as G
 from ..functions import wind as W
-from ..operators import biotope, buildings, comfort, features, mapalgebra, points, solver, spatialjoin, trees, urban, wind
+from ..operators import biotope, buildings, comfort, features, graphs, mapalgebra, points, solver, spatialjoin, trees, urban, wind
 from .fixtures import BLD, BOX, GRID, HOLEY, PTS, WEATHER, holey_points, read
 from .fixtures import buildings as bld
 from .fixtures import points as pts
@@ -188,7 +188,7 @@ def roughness(spark, d):
 # Wind
 
 _PROFILE = W.Profile("power", 10.0, 0.5)
-_PIX = "pix AS (SELECT CAST(r AS INT) AS \"row\", CAST(c AS INT) AS col, c * 5e0 AS x, 300e0 - r * 5e0 AS y, CAST((r * 7 + c * 3) % 20 AS DOUBLE) AS z FROM range(60) a(r), range(80) b(c))"
+_PIX = "pix AS (SELECT CAST(r AS INT) AS \"row\", CAST(c AS INT) AS col, c * 5e0 + 0.37e0 AS x, 299.79e0 - r * 5e0 AS y, CAST((r * 7 + c * 3) % 20 AS DOUBLE) AS z FROM range(60) a(r), range(80) b(c))"
 _ZONES = f"""WITH {_EXT.replace('FROM part)', 'FROM part WHERE p_partkey % 50 < 13 AND p_partkey < 500)')}, {_PIX},
 rel AS (SELECT p."row", p.col, p.z, b.*, (p.x - cx) * cos({_A}) + (p.y - cy) * sin({_A}) AS al, (p.y - cy) * cos({_A}) - (p.x - cx) * sin({_A}) AS cr, 3 * lr AS lw FROM pix p, len b),
 dd AS (SELECT *, -(al + l / 2) AS up, al - l / 2 AS dn, cr / (w / 2) AS sd, pow(z / 10e0, 0.24e0) AS here0, pow(greatest(z, 0.01e0) / 10e0, 0.24e0) AS here, pow(greatest(h, 0.01e0) / 10e0, 0.24e0) AS roof FROM rel),
@@ -208,7 +208,7 @@ ff AS (SELECT *, CASE zone WHEN 1 THEN 0e0
 def _pixels(spark):
     n = F.col("id")
     r, c = F.floor(n / 80), n % 80
-    return spark.range(60 * 80).select(r.cast("int").alias("row"), c.cast("int").alias("col"), (c * 5.0).alias("x"), (F.lit(300.0) - r * 5.0).alias("y"), ((r * 7 + c * 3) % 20).cast("double").alias("z"))
+    return spark.range(60 * 80).select(r.cast("int").alias("row"), c.cast("int").alias("col"), (c * 5.0 + 0.37).alias("x"), (F.lit(299.79) - r * 5.0).alias("y"), ((r * 7 + c * 3) % 20).cast("double").alias("z"))
 
 
 def _few(spark, d):
@@ -420,11 +420,9 @@ def intersects_two_phase(spark, d):
     return spatialjoin.intersecting(bld(spark, d), _query_boxes(spark, d), 16.0)
 
 
-@query(f"WITH {PTS}, q AS (SELECT row_number() OVER (ORDER BY l_orderkey, x, y, z) AS id, x, y FROM pts WHERE l_orderkey % 7 = 0), b AS ({_BBOXES}) SELECT q.id, min(box_id) AS shape_idx FROM q LEFT JOIN b ON x > min_x AND x < max_x AND y > min_y AND y < max_y GROUP BY 1")
+@query(f"WITH q AS (SELECT o_orderkey AS id, (o_custkey * 7) % 200 + 0.37e0 AS x, (o_orderkey * 13) % 100 + 0.61e0 AS y FROM orders), b AS ({_BBOXES}) SELECT q.id, min(box_id) AS shape_idx FROM q LEFT JOIN b ON x > min_x AND x < max_x AND y > min_y AND y < max_y GROUP BY 1")
 def pip_first_match(spark, d):
-    from pyspark.sql import Window
-
-    rows = pts(spark, d).where("l_orderkey % 7 = 0").withColumn("id", F.row_number().over(Window.orderBy("l_orderkey", "x", "y", "z")).cast("long"))
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 7 % 200 + 0.37).alias("x"), (F.col("o_orderkey") * 13 % 100 + 0.61).alias("y"))
     shapes = _query_boxes(spark, d).select(F.col("box_id").alias("shape_idx"), G.rectangle(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y")).alias("ring"))
     return spatialjoin.first_match(rows.select("id", "x", "y"), shapes, 8.0).select("id", "shape_idx")
 
@@ -581,12 +579,12 @@ def polygonize_components(spark, d):
     return mapalgebra.components(cells, GRID)
 
 
-@query(f"""{_CELLS}, p AS (SELECT s_suppkey AS id, 10e0 + (s_suppkey * 29) % 170 + 0.3e0 AS x, 10e0 + (s_suppkey * 31) % 80 + 0.7e0 AS y FROM supplier), f AS (SELECT id, x / 4e0 - 0.5e0 AS fx, (100e0 - y) / 4e0 - 0.5e0 AS fy FROM p),
+@query(f"""{_CELLS}, p AS (SELECT s_suppkey AS id, 10e0 + (s_suppkey * 29) % 170 + 0.31237e0 AS x, 10e0 + (s_suppkey * 31) % 80 + 0.73711e0 AS y FROM supplier), f AS (SELECT id, x / 4e0 - 0.5e0 AS fx, (100e0 - y) / 4e0 - 0.5e0 AS fy FROM p),
   c AS (SELECT id, CAST(floor(fx) AS INT) + j AS col, CAST(floor(fy) AS INT) + i AS "row", CASE WHEN j = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE WHEN i = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS wt FROM f, range(2) a(i), range(2) b(j))
   SELECT id, round(CASE WHEN count(dsm) = 4 THEN sum(wt * dsm) END, 6) AS dsm FROM c LEFT JOIN base b ON b."row" = c."row" AND b.col = c.col GROUP BY 1""")
 def bilinear_sample(spark, d):
     k = F.col("s_suppkey")
-    at = read(spark, d, "supplier").select(k.alias("id"), ((k * 29 % 170) + 10.3).alias("x"), ((k * 31 % 80) + 10.7).alias("y"))
+    at = read(spark, d, "supplier").select(k.alias("id"), ((k * 29 % 170) + 10.31237).alias("x"), ((k * 31 % 80) + 10.73711).alias("y"))
     return mapalgebra.bilinear(_cells(spark, d), at, GRID, "dsm").withColumn("dsm", F.round("dsm", 6))
 
 
@@ -654,13 +652,13 @@ def cbs_score(spark, d):
     return out.select("parcel", F.round("cbs", 8).alias("cbs"))
 
 
-@query(f"{_CBS} SELECT parcel, round(po / pa, 8) AS cbs_existant, round(pp / pa, 8) AS cbs_projet, round(round(pp / pa, 8) - round(po / pa, 8), 7) AS delta, round(pp / pa, 8) < round(po / pa, 8) AS alert FROM a JOIN s USING (parcel)")
+@query(f"{_CBS} SELECT parcel, round(po / pa, 8) AS cbs_existant, round(pp / pa, 8) AS cbs_projet, round(round(pp / pa, 8) - round(po / pa, 8), 8) AS delta, round(pp / pa, 8) < round(po / pa, 8) AS alert FROM a JOIN s USING (parcel)")
 def cbs_delta_alert(spark, d):
     rows = _cover(spark, d)
     area = rows.groupBy("parcel").agg(F.sum("surface").alias("parcel_area"))
     project = rows.withColumn("classe", F.when(F.col("classe") == "Pelouse", "Zone imperméable").otherwise(F.col("classe")))
     a, b = (biotope.score(biotope.by_class(biotope.annotate(x), "parcel"), area, "parcel").withColumn("cbs", F.round("cbs", 8)) for x in (rows, project))
-    return biotope.compare(a, b, "parcel").withColumn("delta", F.round("delta", 7))
+    return biotope.compare(a, b, "parcel").withColumn("delta", F.round("delta", 8))
 
 
 @query(f"WITH {_COVER} SELECT classe, round(sum(surface), 2) AS area, round(100 * sum(surface) / (SELECT sum(surface) FROM cover), 6) AS pct FROM cover GROUP BY 1")
@@ -704,9 +702,9 @@ def node_degree(spark, d):
     return urban.node_degree(_edges(spark, d)).withColumnRenamed("node", "id")
 
 
-@query(f"WITH {_BOTH}, s AS (SELECT n.id, sum(area) AS s, avg(area) AS m, count(*) AS k FROM n JOIN v ON v.id = n.o GROUP BY 1) SELECT v.id, round(coalesce(s, 0e0), 4) AS covered_area, round(m, 4) AS mean_area, coalesce(k, 0) AS neighbours FROM v LEFT JOIN s USING (id)")
+@query(f"WITH {_BOTH}, s AS (SELECT n.id, sum(area) AS s, avg(area) AS m, count(*) AS k FROM n JOIN v ON v.id = n.o GROUP BY 1) SELECT v.id, round(coalesce(s, 0e0), 4) AS covered_area, round(m, 7) AS mean_area, coalesce(k, 0) AS neighbours FROM v LEFT JOIN s USING (id)")
 def covered_area(spark, d):
-    return urban.covered_area(_edges(spark, d), _areas(spark, d)).withColumns({"covered_area": F.round("covered_area", 4), "mean_area": F.round("mean_area", 4)})
+    return urban.covered_area(_edges(spark, d), _areas(spark, d)).withColumns({"covered_area": F.round("covered_area", 4), "mean_area": F.round("mean_area", 7)})
 
 
 @query(f"WITH {_BOTH} SELECT n.id, round(quantile_cont(area, 0.25), 6) AS area_p25, round(quantile_cont(area, 0.5), 6) AS area_p50, round(quantile_cont(area, 0.75), 6) AS area_p75 FROM n JOIN v ON v.id = n.o GROUP BY 1")
@@ -725,6 +723,19 @@ def shape_measures(spark, d):
     return urban.shape_measures(bld(spark, d).select("id", "ring")).select("id", *[F.round(c, 6).alias(c) for c in ("area", "perimeter", "elongation", "eri")])
 
 
+@query()
+def street_closeness(spark, d):
+    edges = _edges(spark, d).where("a < 60 and b < 60").withColumn("length", (F.col("a") * 7 + F.col("b") * 3) % 90 + 10.0)
+    reach = graphs.within_reach(edges, 120.0)
+    return graphs.closeness(reach, 60).join(graphs.meshedness(reach, edges), "node")
+
+
+@query()
+def delaunay_edges(spark, d):
+    rows = bld(spark, d).where("id % 5 = 0").select("id", (F.col("x0") + F.col("bw") / 2).alias("x"), (F.col("y0") + F.col("bl") / 2).alias("y"))
+    return graphs.delaunay(rows, 600.0, 300.0)
+
+
 @query()
 def urban_kmeans(spark, d):
     rows = urban.shape_measures(bld(spark, d).select("id", "ring"))
