@@ -61,10 +61,9 @@ def fill_nearest(cells: DataFrame, grid: Grid) -> DataFrame:
         at = np.sort(pdf["row"].to_numpy())
         z = pdf.set_index("row")["dtm"]
         rows = np.arange(h)
-        up = np.clip(np.searchsorted(at, rows, side="right") - 1, 0, len(at) - 1)
-        down = np.clip(up + 1, 0, len(at) - 1)
-        up = np.where(at[up] > rows, down, up)
-        source = np.where(np.abs(at[up] - rows) <= np.abs(at[down] - rows), at[up], at[down])
+        k = np.searchsorted(at, rows, side="right")
+        up, down = at[np.maximum(k - 1, 0)], at[np.minimum(k, len(at) - 1)]
+        source = np.where((k == len(at)) | ((k > 0) & (rows - up <= down - rows)), up, down)
         return pd.DataFrame({"row": rows.astype(np.int32), "col": np.int32(pdf["col"].iloc[0]), "source": source.astype(np.int32), "z": z.loc[source].to_numpy()})
 
     def rows_(pdf: pd.DataFrame) -> pd.DataFrame:
