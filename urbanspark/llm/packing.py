@@ -2,7 +2,7 @@
 
 One pass turns each document into token ids. Its full windows are sequences of their own; what remains, less than a
 window, is packed by retrieval. Remainders are dealt to shards of a bounded number of documents by a sketch of
-their rarest words, so that lexical neighbours meet, and each shard is an inverted index with BM25 weights whose
+their words, so that lexical neighbours meet, and each shard is an inverted index with BM25 weights whose
 document frequencies are counted over the whole corpus. A seed document asks the index for its best unused
 neighbours, which fill its window greedily; the one that crosses the end is cut there, and its rest is the next seed.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ SHARD = 2000
 #: Words of a seed that are looked up, rarest first, and BM25's parameters.
 QUERY_TERMS, K1, B = 24, 1.2, 0.75
 #: Words a worker remembers the ids of.
-_REMEMBER = 300_000
+_REMEMBER = 400_000
 #: Ids below this are counted in tables; a tokenizer with more needs wider pieces.
 _IDS = 1 << 16
 
@@ -35,8 +36,10 @@ _IDS = 1 << 16
 class Tokens:
     """Token ids of whole columns: words between white space are tokenised once and remembered.
 
-    Right for tokenizers that never join or look across white space, as the default one: its expression takes
-    no white space into a token, and its normalisation works within a word.
+    Right for tokenizers that lower case, drop white space and never take it into a token, as the default one: its
+    expression parts letters from signs, and its normalisation works within a word. So a sign after a letter may be
+    parted beforehand, and words of letters alone can be handed over many at a time: each ends with the one token
+    that has the mark of a word's end.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,38 +49,53 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
+        self.ends = np.zeros(_IDS, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known = {}
-        self.ids, self.sizes = [], []
+        self.known: dict[str, int] = {}
+        self.pool, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        ids = self._encoded([" ".join(g) for g in groups])
+        other = [w for w in words if not (w.isalpha() and w.lower().isalpha())]
+        flat = np.fromiter((i for g in ids for i in g), np.uint16, sum(map(len, ids)))
+        stops = np.flatnonzero(self.ends[flat]) + 1
+        if len(stops) != len(plain):  # a tokenizer of another kind: one by one
+            other, plain, flat, stops = plain + other, [], flat[:0], stops[:0]
+        rest = self._encoded(other)
+        sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(r) for r in rest], np.int64)]).astype(np.int64)
+        base = len(self.known)
+        self.known.update(zip(plain + other, range(base, base + len(sizes)), strict=True))
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.pool = np.concatenate([self.pool, flat, np.fromiter((i for r in rest for i in r), np.uint16, sum(map(len, rest)))])
 
     def _look_up(self, words: list[str]) -> np.ndarray:
         if len(self.known) > _REMEMBER:
             self.clear()
-        fresh = [w for w in words if w not in self.known]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = len(self.ids)
-                self.ids.append(e.ids)
-                self.sizes.append(len(e.ids))
+        if fresh := [w for w in words if w not in self.known]:
+            self._learn(fresh)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint16 with END_ID after each text, and the bounds of the texts."""
-        words = pc.ascii_split_whitespace(column.fill_null("").cast(pa.string()))
+        column = column.fill_null("").cast(pa.string())
+        if not pc.any(pc.match_substring(column, "<|")).as_py():  # the special tokens' own case matters
+            column = pc.replace_substring_regex(pc.ascii_lower(column), "([a-z])([.,;:!?])", r"\1 \2")
+        words = pc.ascii_split_whitespace(column)
         flat = words.flatten().dictionary_encode()
         entry = self._look_up(flat.dictionary.to_pylist())
-        size = np.array([self.sizes[e] for e in entry.tolist()], np.int64)
-        first = np.cumsum(size) - size
-        pool = np.fromiter((i for e in entry.tolist() for i in self.ids[e]), np.uint16, int(size.sum()))
-        code = np.asarray(flat.indices)
-        word_size = size[code]
-        stop = np.cumsum(word_size)
-        at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first[code] - (stop - word_size), word_size)
-        ids = pool[at]
+        word = entry[np.asarray(flat.indices)]
+        size = self.size[word]
+        stop = np.cumsum(size)
+        ids = self.pool[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.first[word] - (stop - size), size)]
         offsets = np.asarray(words.offsets)
         bounds = np.concatenate([[0], stop])[offsets - offsets[0]]
         out = np.empty(len(ids) + len(column), np.uint16)
@@ -88,6 +106,12 @@ class Tokens:
         return out, bounds + np.arange(len(column) + 1)
 
 
+@cache
+def _tokens(path: str) -> Tokens:
+    """A worker's tokenizer, kept from task to task."""
+    return Tokens(path)
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -101,9 +125,9 @@ def _cut(path: str):
     """Windows, remainders and the batch's document frequencies (doc_id: term, -1 for documents, length: how many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, df, docs, total = Tokens(path), np.zeros(_IDS, np.int64), 0, 0
+        tokens, df, docs, total = _tokens(path), np.zeros(_IDS, np.int64), 0, 0
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", 2 << 20):
                 ids, bounds = tokens.batch(batch.column(1))
                 rows = []
                 for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -124,7 +148,7 @@ def _cut(path: str):
 
 
 def _sketch(distinct: np.ndarray) -> int:
-    """The smallest two hashes of the text's tokens: texts with the same rare words are often neighbours in its order."""
+    """The smallest two hashes of the text's tokens: texts with many tokens in common are often neighbours in its order."""
     h = (distinct.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = ((h >> np.uint64(29)) ^ h) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(34)
     low = np.partition(h, 1)[:2] if len(h) > 1 else np.array([h[0], h[0]])
