@@ -369,9 +369,9 @@ def test_neighbours_are_the_best_unused():
     idf = np.ones(1 << 16, np.float32)
     shard = packing.Shard(texts, idf, 3.0)
     shard.free[0] = False
-    assert list(shard.neighbours(texts[0], np.array([3, 3, 3, 3]), 2048)) == [2, 3, 1]
+    assert list(shard.neighbours(0, np.array([3, 3, 3, 3]), 2048)) == [2, 3, 1]
     shard.free[2] = False
-    assert list(shard.neighbours(texts[0], np.array([3, 3, 3, 3]), 2048)) == [3, 1]
+    assert list(shard.neighbours(0, np.array([3, 3, 3, 3]), 2048)) == [3, 1]
 
 
 # Toxicity and quality

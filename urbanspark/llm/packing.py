@@ -28,7 +28,7 @@ SHARD = 2000
 #: Words of a seed that are looked up, rarest first, and BM25's parameters.
 QUERY_TERMS, K1, B = 24, 1.2, 0.75
 #: Words a worker remembers the ids of.
-_REMEMBER = 400_000
+_REMEMBER = 500_000
 #: Ids below this are counted in tables; a tokenizer with more needs wider pieces.
 _IDS = 1 << 16
 
@@ -55,27 +55,28 @@ class Tokens:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() and w.lower().isalpha()]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        ids = self._encoded([" ".join(g) for g in groups])
-        other = [w for w in words if not (w.isalpha() and w.lower().isalpha())]
-        flat = np.fromiter((i for g in ids for i in g), np.uint16, sum(map(len, ids)))
+        plain: list[str] = []
+        other: list[str] = []
+        for w in words:
+            (plain if w.isalpha() and (w.isascii() or w.lower().isalpha()) else other).append(w)
+        ids = self._encoded([" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)])
+        flat = _joined(ids)
         stops = np.flatnonzero(self.ends[flat]) + 1
         if len(stops) != len(plain):  # a tokenizer of another kind: one by one
             other, plain, flat, stops = plain + other, [], flat[:0], stops[:0]
         rest = self._encoded(other)
-        sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(r) for r in rest], np.int64)]).astype(np.int64)
+        sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(r) for r in rest], np.int64)]).astype(np.int32)
         base = len(self.known)
         self.known.update(zip(plain + other, range(base, base + len(sizes)), strict=True))
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.first = np.concatenate([self.first, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.size = np.concatenate([self.size, sizes])
-        self.pool = np.concatenate([self.pool, flat, np.fromiter((i for r in rest for i in r), np.uint16, sum(map(len, rest)))])
+        self.pool = np.concatenate([self.pool, flat, _joined(rest)])
 
     def _look_up(self, words: list[str]) -> np.ndarray:
         if len(self.known) > _REMEMBER:
@@ -94,8 +95,10 @@ class Tokens:
         entry = self._look_up(flat.dictionary.to_pylist())
         word = entry[np.asarray(flat.indices)]
         size = self.size[word]
-        stop = np.cumsum(size)
-        ids = self.pool[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.first[word] - (stop - size), size)]
+        stop = np.cumsum(size, dtype=np.int32)  # a chunk has far fewer ids than that holds
+        at = np.repeat(self.first[word] - (stop - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = self.pool.take(at)
         offsets = np.asarray(words.offsets)
         bounds = np.concatenate([[0], stop])[offsets - offsets[0]]
         out = np.empty(len(ids) + len(column), np.uint16)
@@ -106,6 +109,10 @@ class Tokens:
         return out, bounds + np.arange(len(column) + 1)
 
 
+def _joined(lists: list[list[int]]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint16), *(np.array(x, np.uint16) for x in lists if x)])
+
+
 @cache
 def _tokens(path: str) -> Tokens:
     """A worker's tokenizer, kept from task to task."""
@@ -127,7 +134,7 @@ def _cut(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, df, docs, total = _tokens(path), np.zeros(_IDS, np.int64), 0, 0
         for whole in batches:
-            for batch in chunks(whole, "text", 2 << 20):
+            for batch in chunks(whole, "text"):
                 ids, bounds = tokens.batch(batch.column(1))
                 rows = []
                 for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -161,30 +168,35 @@ class Shard:
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         self.idf = idf
+        self.rarest: list[np.ndarray] = []
         docs, terms, weights = [], [], []
         for i, ids in enumerate(texts):
             term, tf = np.unique(ids, return_counts=True)
             docs.append(np.full(len(term), i))
+            self.rarest.append(term[np.argsort(-idf[term], kind="stable")][:QUERY_TERMS])
             terms.append(term)
             weights.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
         doc, term, weight = np.concatenate(docs), np.concatenate(terms), np.concatenate(weights)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order] * idf[term[order]]
+        self.doc, self.weight = doc[order], (weight[order] * idf[term[order]]).astype(np.float32)
         self.bounds = np.searchsorted(term[order], np.arange(_IDS + 1))
         self.free = np.ones(len(texts), bool)
 
-    def neighbours(self, ids: np.ndarray, tokens: np.ndarray, need: int) -> Iterator[int]:
+    def neighbours(self, seed: int, tokens: np.ndarray, need: int) -> Iterator[int]:
         """Unused documents by falling score (ties: in order), as many as ``need`` tokens ask for."""
-        term = np.unique(ids)
-        term = term[np.argsort(-self.idf[term], kind="stable")][:QUERY_TERMS]
-        score = np.zeros(len(self.free))
-        for t in term.tolist():
+        score = np.zeros(len(self.free), np.float32)
+        for t in self.rarest[seed].tolist():
             a, b = self.bounds[t], self.bounds[t + 1]
             score[self.doc[a:b]] += self.weight[a:b]
         left = np.flatnonzero(self.free)
-        order = left[np.argsort(-score[left], kind="stable")]
-        for i in order[: int(np.searchsorted(np.cumsum(tokens[order]), need)) + 1].tolist():
-            yield i
+        own = score[left]
+        for most in (64, len(left)):  # a few are enough as a rule
+            best = left if most >= len(left) else left[own >= np.partition(own, len(own) - most)[len(own) - most]]
+            order = best[np.argsort(-score[best], kind="stable")]
+            reached = np.cumsum(tokens[order])
+            if most >= len(left) or reached[-1] >= need:
+                break
+        yield from order[: int(np.searchsorted(reached, need)) + 1].tolist()
 
 
 def _fill(texts: list[np.ndarray], idf: np.ndarray, mean: float) -> list[tuple[int, int, int, int, int]]:
@@ -201,7 +213,7 @@ def _fill(texts: list[np.ndarray], idf: np.ndarray, mean: float) -> list[tuple[i
             cut, shard.free[seed] = (seed, 0), False
         doc, at = cut
         queue, cut = [(doc, at)], None
-        near = shard.neighbours(texts[doc], sizes, WINDOW)
+        near = shard.neighbours(doc, sizes, WINDOW)
         while filled < WINDOW and (queue or (nxt := next(near, None)) is not None):
             i, at = queue.pop() if queue else (nxt, 0)
             shard.free[i] = False
