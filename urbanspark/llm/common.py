@@ -36,6 +36,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column of ``numbered``.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written once, each row together with a number of its own (``ROW``): however it is split and read again, the number stays with the row."""
+    from pyspark.sql import functions as F
+
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def plain_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of a table can't clash with those an operator adds."""
     return df.select(*[df[f"`{n}`"] for n in names])

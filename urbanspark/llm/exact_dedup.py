@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import ROW, maybe_broadcast, numbered, written
 
 #: Items of the sketch, and so the most digests that are ever broadcast (32 bytes each).
 TRACKED = 256
@@ -27,11 +27,12 @@ def without_space(text: Column) -> Column:
     return out
 
 
-def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, uid, n, digest): one small row per document, written once; uid tells repeated rows apart."""
+def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", uid: Column | None = None) -> DataFrame:
+    """(doc_id, uid, n, digest): one small row per document, written once; uid (by default a number of this scan) tells repeated rows apart."""
+    uid = F.monotonically_increasing_id() if uid is None else uid
     t = F.coalesce(docs[f"`{text}`"], F.lit(""))
     small = docs.select(
-        docs[f"`{key}`"].alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.length(t).alias("n"),
+        docs[f"`{key}`"].alias("doc_id"), uid.alias("uid"), F.length(t).alias("n"),
         F.unhex(F.sha2(without_space(docs[f"`{text}`"]), 256)).alias("digest"),
     )
     return written(small, "digests")
@@ -50,7 +51,7 @@ def _best(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
 
 
-def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", uid: Column | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (and uid, the row's number).
 
     Texts are equal when identical without white space; null counts as empty, and empty texts are equal to each
@@ -58,7 +59,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     repeated whole, one stays. Columns other than the text and the key are not looked at. An empty table gives
     an empty result.
     """
-    small = digests(docs, text, key)
+    small = digests(docs, text, key, uid)
     top = F.broadcast(winners(small))
     hot = small.join(top, "digest", "left_semi")
     rest = small.join(top, "digest", "left_anti")
@@ -74,9 +75,9 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns.
 
-    The texts aren't shuffled: what goes is known by (doc_id, uid), and the table read again in the same order
-    numbers its rows alike. Where the same folder could be split differently, write the table first.
+    The texts aren't shuffled. The table is written once with a number in each row; what goes is known by that
+    number, which is read, never counted again, so it doesn't matter how either scan is split.
     """
-    gone = maybe_broadcast(written(exact_groups(docs, text, key).where("not kept").select(F.col("uid").alias("__uid")), "exact-gone"))
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return rows.join(gone, "__uid", "left_anti").drop("__uid")
+    rows = numbered(docs)
+    gone = exact_groups(rows, text, key, F.col(ROW)).where("not kept").select(F.col("uid").alias(ROW))
+    return rows.join(maybe_broadcast(written(gone, "exact-gone")), ROW, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
