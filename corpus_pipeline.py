@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbanspark.llm import exact_dedup, mixing, packing, quality, simhash
+from urbanspark.llm import exact_dedup, mixing, near, packing, quality
 from urbanspark.llm.common import shared_folder, table
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of linked fingerprints one stays."""
-    return simhash.near_dedup(docs)
+    """Near copies: of texts linked by a similarity of 0.8 or more on five-word shingles one stays (op7 has a contract of its own)."""
+    return near.near_dedup(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

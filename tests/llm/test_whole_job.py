@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from urbanspark.llm import exact_dedup
+import random
+
+from urbanspark.llm import exact_dedup, near
 
 DOCS = "doc_id long, text string"
 
@@ -25,3 +27,40 @@ def test_exact_dedup_stands_other_splits(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(name, before)
     assert got == list(range(300))
+
+
+def brute_near(rows):
+    """Components of all pairs with a Jaccard similarity of 0.8 or more on five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_near_dedup_catches_pairs_from_similarity_0_8(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+
+    def changed(t, times):
+        out = t.split()
+        for _ in range(times):
+            out[rng.randrange(len(out))] = word()
+        return " ".join(out)
+
+    texts = [" ".join(word() for _ in range(rng.randrange(60, 200))) for _ in range(80)]
+    texts += [changed(t, 1 + i % 6) for i, t in enumerate(texts)]
+    texts += [changed(texts[0], 1 + i % 3) for i in range(60)] + [None, "", " ", "one", "one two", "One  two"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    label = brute_near(rows)
+    got = [r["doc_id"] for r in near.near_dedup(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got) == [i for i in range(len(rows)) if label.index(label[i]) == i]
+    assert len(got) < len(rows) - 60
