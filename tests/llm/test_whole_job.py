@@ -64,3 +64,14 @@ def test_near_dedup_catches_pairs_from_similarity_0_8(spark):
     got = [r["doc_id"] for r in near.near_dedup(spark.createDataFrame(rows, DOCS)).collect()]
     assert sorted(got) == [i for i in range(len(rows)) if label.index(label[i]) == i]
     assert len(got) < len(rows) - 60
+
+
+def test_near_dedup_ids_repeated_and_null(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    rows = [(5, text), (5, text + " end"), (5, other), (7, text + " stop"), (None, text + " last"), (None, "alone with no id"), (None, "alone"), (9, "the same row"), (9, "the same row")]
+    got = sorted(map(str, near.near_dedup(spark.createDataFrame(rows, DOCS)).collect()))
+    kept = [t for t in got if "w1 " in t]
+    assert len(kept) == 1 and "doc_id=5" in kept[0]
+    assert len(got) == 5 and sum(other in t for t in got) == 1 and sum("alone" in t for t in got) == 2 and sum("same row" in t for t in got) == 1
+    assert near.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
