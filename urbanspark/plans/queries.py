@@ -725,14 +725,14 @@ def shape_measures(spark, d):
 
 @query()
 def street_closeness(spark, d):
-    edges = _edges(spark, d).where("a < 60 and b < 60").withColumn("length", (F.col("a") * 7 + F.col("b") * 3) % 90 + 10.0)
+    edges = _edges(spark, d).withColumn("length", (F.col("a") * 7 + F.col("b") * 3) % 90 + 10.0)
     reach = graphs.within_reach(edges, 120.0)
-    return graphs.closeness(reach, 60).join(graphs.meshedness(reach, edges), "node")
+    return graphs.closeness(reach, 300).join(graphs.meshedness(reach, edges), "node")
 
 
 @query()
 def delaunay_edges(spark, d):
-    rows = bld(spark, d).where("id % 5 = 0").select("id", (F.col("x0") + F.col("bw") / 2).alias("x"), (F.col("y0") + F.col("bl") / 2).alias("y"))
+    rows = bld(spark, d).select("id", (F.col("x0") + F.col("bw") / 2).alias("x"), (F.col("y0") + F.col("bl") / 2).alias("y"))
     return graphs.delaunay(rows, 600.0, 300.0)
 
 
