@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from urbanspark.llm import exact_dedup, near
+from urbanspark.llm import exact_dedup, near, url_filters
 
 DOCS = "doc_id long, text string"
 
@@ -75,3 +75,20 @@ def test_near_dedup_ids_repeated_and_null(spark):
     assert len(kept) == 1 and "doc_id=5" in kept[0]
     assert len(got) == 5 and sum(other in t for t in got) == 1 and sum("alone" in t for t in got) == 2 and sum("same row" in t for t in got) == 1
     assert near.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_url_targets_relative_and_repeated(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://x.com/a/b?q", link("/de/1")), (2, "http://y.net/a", link("//x.com/de/2")), (3, "http://x.com/de/c/d", link("../9")), (4, "http://x.com/q/r", link("../de/./3")),
+        (5, "http://z.net/1", link("http://other.net/") + link("http://x.com/de/4")), (6, "http://z.net/2", '<meta http-equiv="refresh" content="0; url=//x.com/de/5">'),
+        (7, "http://z.net/3", link("mailto:a@x.com")), (8, "http://z.net/4", link("/login?next=http://x.com/de/6")), (9, "nothing", link("/de/1")), (10, "http://x.com", link("de/7")),
+        (11, "http://z.net/5/", link("../../../a/..")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    targets = {(r["source"], r["target"]) for r in url_filters.stated_targets(pages).collect()}
+    assert ("http://x.com/q/r", "http://x.com/de/3") in targets and ("http://x.com/de/c/d", "http://x.com/de/9") in targets
+    assert ("http://z.net/4", "http://z.net/login?next=http://x.com/de/6") in targets and ("http://z.net/5/", "http://z.net/") in targets
+    assert not any(s in ("http://z.net/3", "nothing") for s, _ in targets)
+    got = {r["page_id"]: r["verdict"] for r in url_filters.url_verdicts(pages).collect()}
+    assert [i for i in got if got[i] == "block"] and {i for i in got if got[i] == "block"} == {1, 2, 3, 4, 5, 6, 10}

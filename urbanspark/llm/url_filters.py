@@ -41,13 +41,40 @@ def canonical_form(url: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"/+$", ""))
 
 
+def without_dots(path: Column) -> Column:
+    """``path``, which begins with a slash, without its segments ``.`` and ``..``."""
+    part = F.slice(F.split(path, "/"), 2, 1 << 30)
+    part = F.when(F.element_at(part, -1).isin(".", ".."), F.concat(part, F.array(F.lit("")))).otherwise(part)
+    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(part, F.array().cast("array<string>"), step), "/"))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """The address that ``target`` means on the page ``url``; null for other schemes, as ``mailto:``, and pages without a host."""
+    scheme, host, own = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, _PARTS, 1), path_of(url)
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    path = (
+        F.when(path == "", own)
+        .when(path.startswith("/"), without_dots(path))
+        .otherwise(without_dots(F.concat(F.coalesce(F.nullif(F.regexp_extract(own, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/")), path)))
+    )
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .otherwise(F.concat(scheme, F.lit("://"), host, path, rest))
+    )
+
+
 def stated_targets(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target): canonical links and refresh redirects in the pages' own html; relative ones are left out."""
+    """(source, target): all canonical links and refresh redirects in the pages' own html, relative ones resolved against the page's address."""
     text = F.col(html)
     hints = F.lower(text)
     page = pages.select(F.col(url).alias("source"), F.col(html).alias("html")).where(F.col(url).isNotNull() & (hints.contains("canonical") | hints.contains("http-equiv")))
-    found = page.select("source", F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))).alias("target"))
-    return found.where(F.col("target").contains("://"))
+    every = [F.regexp_extract_all("html", F.lit(e), F.lit(1)) for e in (_CANONICAL, _REFRESH)]
+    found = page.select("source", F.explode(F.concat(*every)).alias("target"))
+    return found.select("source", resolved(F.col("source"), F.col("target")).alias("target")).where("target is not null")
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html", default: str = "allow") -> DataFrame:
