@@ -2,7 +2,8 @@
 
 Rules are parsed to an NFA, determinised together by subset construction, minimised by partition refinement and
 stored as flat transition arrays. A scan cuts the texts into segments, runs all segments one byte at a time side
-by side, and reruns segments whose true entry state turns out to be another than the start state.
+by side, and reruns segments whose true entry state turns out to be another than the start state. Compiled
+backwards, an automaton that reads a text from its end marks the places where matches begin.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ class _Parser:
         return atom
 
 
-def _build(nfa: Nfa, tree, start: int) -> int:
+def _build(nfa: Nfa, tree, start: int, backwards: bool = False) -> int:
     kind = tree[0]
     if kind == "set":
         end = nfa.new()
@@ -116,29 +117,29 @@ def _build(nfa: Nfa, tree, start: int) -> int:
         nfa.arc[hop] = (tree[1], end)
         return end
     if kind == "row":
-        for part in tree[1]:
-            start = _build(nfa, part, start)
+        for part in reversed(tree[1]) if backwards else tree[1]:
+            start = _build(nfa, part, start, backwards)
         return start
     if kind == "or":
         end = nfa.new()
         for part in tree[1]:
             first = nfa.new()
             nfa.eps[start].append(first)
-            nfa.eps[_build(nfa, part, first)].append(end)
+            nfa.eps[_build(nfa, part, first, backwards)].append(end)
         return end
     _, atom, low, high = tree
     for _ in range(low):
-        start = _build(nfa, atom, start)
+        start = _build(nfa, atom, start, backwards)
     end = nfa.new()
     if high is None:
         loop = nfa.new()
         nfa.eps[start].append(loop)
-        nfa.eps[_build(nfa, atom, loop)].append(loop)
+        nfa.eps[_build(nfa, atom, loop, backwards)].append(loop)
         nfa.eps[loop].append(end)
         return end
     for _ in range(high - low):
         nfa.eps[start].append(end)
-        start = _build(nfa, atom, start)
+        start = _build(nfa, atom, start, backwards)
     nfa.eps[start].append(end)
     return end
 
@@ -152,8 +153,12 @@ class Dfa:
     states: int
 
 
-def compiled(rules: list[str]) -> Dfa:
-    """One minimal automaton that reports, at each byte, the set of rules (bit i for rule i, 16 at most) of which a match ends there."""
+def compiled(rules: list[str], backwards: bool = False, anywhere: bool = True) -> Dfa:
+    """One minimal automaton that reports, at each byte, the set of rules (bit i for rule i, 16 at most) of which a match ends there.
+
+    backwards: it reads texts from their end, so what it reports is where matches begin. Without anywhere a match
+    begins with the first byte read, and state -1 (a negative step) is one that no match comes from.
+    """
     if len(rules) > 16:
         raise ValueError("at most 16 rules share an automaton")
     nfa = Nfa()
@@ -161,7 +166,7 @@ def compiled(rules: list[str]) -> Dfa:
     for i, rule in enumerate(rules):
         first = nfa.new()
         nfa.eps[start].append(first)
-        accept[_build(nfa, _Parser(rule).either(False), first)] = 1 << i
+        accept[_build(nfa, _Parser(rule).either(False), first, backwards)] = 1 << i
 
     def closure(states) -> frozenset[int]:
         out, todo = set(states), list(states)
@@ -178,11 +183,11 @@ def compiled(rules: list[str]) -> Dfa:
     of = np.array([klass.setdefault(tuple(b in s for s in marks), len(klass)) for b in range(256)])
     sample = [int(np.flatnonzero(of == k)[0]) for k in range(len(klass))]
     base = closure([start])
-    ids, order, rows = {base: 0}, [base], []
+    ids, order, rows, again = {base: 0}, [base], [], base if anywhere else frozenset()
     for state in order:
         row = []
         for b in sample:
-            to = closure({nfa.arc[x][1] for x in state if nfa.arc[x] and b in nfa.arc[x][0]}) | base
+            to = closure({nfa.arc[x][1] for x in state if nfa.arc[x] and b in nfa.arc[x][0]}) | again
             if to not in ids:
                 ids[to] = len(order)
                 order.append(to)
@@ -203,44 +208,88 @@ def compiled(rules: list[str]) -> Dfa:
     small, small_bits = np.empty((n, table.shape[1]), np.int64), np.empty(n, np.int64)
     small[renumber], small_bits[renumber] = renumber[block[table[first]]], bits[first]
     full = small[:, of]
-    return Dfa((full * 256).astype(np.int32).ravel(), small_bits[full].astype(np.uint16).ravel(), n)
+    seen = small_bits[full].astype(np.uint16).ravel()
+    if frozenset() in ids:
+        full = np.where(full == renumber[block[ids[frozenset()]]], -1, full)
+    return Dfa((full * 256).astype(np.int32).ravel(), seen, n)
 
 
 #: Bytes that a segment has.
 SEGMENT = 512
 
 
-def rules_seen(dfa: Dfa, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each text (data[start : start + size]) the bits of the rules that match somewhere in it."""
-    out = np.zeros(len(starts), np.uint16)
-    if not len(starts):
-        return out
+def places(dfa: Dfa, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``data`` rules are reported, rising, and which (bits); each text (data[start : start + size]) is read by itself."""
     per = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(starts)), per)
     if not len(owner):
-        return out
+        return np.zeros(0, np.int64), np.zeros(0, np.uint16)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     begin = starts[owner] + nth * SEGMENT
     length = np.minimum(SEGMENT, sizes[owner] - nth * SEGMENT)
     entry, end = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-    seen = np.zeros(len(owner), np.uint16)
+    some = np.zeros(len(owner), bool)
     todo = np.arange(len(owner))
     while len(todo):
         todo = todo[np.argsort(-length[todo], kind="stable")]
-        state, pos, size = entry[todo], begin[todo], length[todo]
         acc = np.zeros(len(todo), np.uint16)
-        alive = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # how many have a byte at each step
-        for t in range(int(size[0])):
-            k = int(alive[t])
-            at = state[:k] + data[pos[:k]]
-            state[:k] = dfa.step.take(at)
+        for k, at, state in _lockstep(dfa, data, begin[todo], length[todo], entry[todo]):
             acc[:k] |= dfa.seen.take(at)
-            pos[:k] += 1
-        end[todo] = state
-        seen[todo] |= acc
+        end[todo], some[todo] = state, acc != 0
         true = np.zeros(len(owner), np.int32)
         true[1:] = np.where(owner[1:] == owner[:-1], end[:-1], 0)
         todo = np.flatnonzero(true != entry)
         entry = true
-    np.bitwise_or.at(out, owner, seen)
+    # Segments that report something are few: they are read once more, now from their true entry states.
+    todo = np.flatnonzero(some)
+    todo = todo[np.argsort(-length[todo], kind="stable")]
+    where, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+    for t, (k, at, _) in enumerate(_lockstep(dfa, data, begin[todo], length[todo], entry[todo])):
+        seen = dfa.seen.take(at)
+        hit = np.flatnonzero(seen)
+        where.append(begin[todo[:k]][hit] + t)
+        bits.append(seen[hit])
+    at, what = np.concatenate(where), np.concatenate(bits)
+    order = np.argsort(at, kind="stable")
+    return at[order], what[order]
+
+
+def _lockstep(dfa: Dfa, data: np.ndarray, begin: np.ndarray, length: np.ndarray, entry: np.ndarray):
+    """Segments, the longest first, a byte at a time: how many have one, where they are in the tables, and all states."""
+    state, pos = entry.copy(), begin.copy()
+    if not len(state):
+        return
+    alive = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+    for k in alive.tolist():
+        at = state[:k] + data[pos[:k]]
+        state[:k] = dfa.step.take(at)
+        pos[:k] += 1
+        yield k, at, state
+
+
+def rules_seen(dfa: Dfa, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text (rising starts) the bits of the rules that are reported somewhere in it."""
+    out = np.zeros(len(starts), np.uint16)
+    at, bits = places(dfa, data, starts, sizes)
+    np.bitwise_or.at(out, np.searchsorted(starts, at, side="right") - 1, bits)
     return out
+
+
+class Anchored:
+    """A rule's forward automaton as plain lists, for runs of a few bytes."""
+
+    def __init__(self, rule: str) -> None:
+        dfa = compiled([rule], anywhere=False)
+        self.step = [[x // 256 for x in row] for row in dfa.step.reshape(-1, 256).tolist()]
+        self.seen = dfa.seen.reshape(-1, 256).tolist()
+
+    def longest(self, data: bytes, start: int) -> int:
+        """The end of the longest match that begins at ``start``; ``start`` if there is none."""
+        step, seen, state, end = self.step, self.seen, 0, start
+        for i in range(start, len(data)):
+            byte = data[i]
+            if seen[state][byte]:
+                end = i + 1
+            if (state := step[state][byte]) < 0:
+                break
+        return end

@@ -33,7 +33,9 @@ FAMILIES = {"mit": "mit", "apache": "apache", "bsd": "bsd", "0bsd": "bsd", "isc"
 #: An exception loosens what the licence asks for.
 WITH_GAIN = 0.3
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_EXPRESSION = re.compile(r"spdx[^\w\n]{0,3}licen[sc]e[^\w\n]{0,3}identifier\s{0,3}[:=]?[ \t]*([A-Za-z0-9.+\-() \t]*)", re.I)
+#: A tag wherever its three words stand consecutively, and the rest of the line. No part can take what the next needs, so a search is linear.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_EXPRESSION = re.compile(rf"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?ia:spdx){_GAP}+(?ia:license){_GAP}+(?ia:identifier)\s*[:=]?[ \t]*([A-Za-z0-9.+\-() \t]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
 
 
@@ -115,22 +117,29 @@ def scanned(data: bytes, text: str | None = None) -> tuple[int, int, int | None,
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     words = data.translate(_WORDS).split()
     line = b" ".join([b"", *words, b""]).decode("latin-1")  # a byte a character: what is found counts words alone
-    places, labels, base, permits = [], set(), set(), []
+    places, labels, base, tags = [], set(), set(), False
+    counted, seen = 0, 0  # words that begin before the place counted last
     for end, phrase in _automaton().iter(line):
         if phrase in BASE:
-            places.append(line.count(" ", 0, end - len(phrase) - 1))
+            at = end - len(phrase) - 1
+            seen += line.count(" ", counted, at) if at >= counted else -line.count(" ", at, counted)
+            counted = at
+            places.append(seen)
             base.add(BASE[phrase])
         elif phrase == TAG:
-            for m in _EXPRESSION.finditer(text if text is not None else data.decode()):
-                if exp := _trimmed(m[1].rstrip(".")):
-                    named, free = evaluated(exp)
-                    labels |= named
-                    permits.append(free)
+            tags = True
         else:
             labels.add(NOTICES[phrase])
     labels |= base
-    # What the strictest statement permits; 0.5 where a text states nothing.
-    score = min([*(PERMITS[x] for x in labels if not permits), *permits], default=0.5)
+    # What the strictest statement permits, notice or tag; 0.5 where a text states nothing.
+    permits = [PERMITS[x] for x in labels]
+    if tags:
+        for m in _EXPRESSION.finditer(text if text is not None else data.decode()):
+            if exp := _trimmed(m[1].rstrip(".")):
+                named, free = evaluated(exp)
+                labels |= named
+                permits.append(free)
+    score = min(permits, default=0.5)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), float(score)
 
 

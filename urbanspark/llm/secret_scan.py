@@ -1,14 +1,14 @@
-"""Secret scan: all rules in one automaton find the texts that hold something, exact expressions then give the spans.
+"""Secret scan: all rules in one minimal automaton, compiled backwards, mark in a single byte pass where matches begin.
 
-A rule of the automaton is the head of its expression, with the least length where that keeps the automaton
-small (long counters of several rules multiply its states); wherever an expression matches, its rule does. So a
-text without a mark has no finding, and only marked texts are looked at again.
+A text is read from its end, so the automaton reports every place where a match of some rule begins. From the
+leftmost of these a rule's own forward automaton runs to the longest match's end; the next match begins at or after
+it. That gives leftmost non-overlapping spans, and a text without a place is never looked at again. Lengths are
+checked on the spans: counted in the automaton, those of several rules would multiply its states.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -18,58 +18,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks, plain_columns
-from .dfa import Dfa, compiled, rules_seen
+from .dfa import Anchored, Dfa, compiled, places
+
+
+def _assigned(span: bytes) -> bool:
+    """Whether the value after the first colon or equals sign has 12 characters or more."""
+    at = min(i for i in (span.find(b":"), span.find(b"=")) if i >= 0)
+    value = span[at + 1 :].lstrip(b" ")
+    return len(value) - (value[:1] in (b'"', b"'")) >= 12
 
 
 @dataclass(frozen=True)
 class Kind:
-    """name; the automaton's rule; the expression of spans; how long which group has to be."""
+    """name; the rule; whether a match counts."""
 
     name: str
     rule: str
-    spans: str
-    group: int = 0
-    least: int = 0
+    counts: Callable[[bytes], bool] = lambda span: True
     base: bool = False
 
 
-_VALUE = "[A-Za-z0-9+/_.=-]"
-_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 KINDS = [
-    Kind("assign", _ASSIGN + _VALUE + "{3}", r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, True),
-    Kind("access", "AKIA[A-Z0-9]{3}", "AKIA[A-Z0-9]+", 0, 18, True),
-    Kind("hex", "[0-9a-f]{16,}", "[0-9a-f]+", 0, 16, True),
-    Kind("private_key", "-----BEGIN ", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Kind("forge_token", "gh[oprsu]_[A-Za-z0-9]", "gh[oprsu]_[A-Za-z0-9]+", 0, 34),
-    Kind("chat_token", "xox[abprs]-", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Kind("web_token", "eyJ[A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Kind("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", _assigned, True),
+    Kind("access", "AKIA[A-Z0-9]+", lambda span: len(span) >= 18, True),
+    Kind("hex", "[0-9a-f]{16,}", base=True),
+    Kind("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Kind("forge_token", "gh[oprsu]_[A-Za-z0-9]+", lambda span: len(span) >= 34),
+    Kind("chat_token", "xox[abprs]-[A-Za-z0-9-]+", lambda span: len(span) >= 15),
+    Kind("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", lambda span: min(map(len, span[3:].split(b"."))) >= 8),
 ]
 
 
 @cache
-def _automaton() -> tuple[Dfa, list[re.Pattern]]:
-    return compiled([k.rule for k in KINDS]), [re.compile(k.spans) for k in KINDS]
+def _automata() -> tuple[Dfa, list[Anchored]]:
+    return compiled([k.rule for k in KINDS], backwards=True), [Anchored(k.rule) for k in KINDS]
 
 
-def spans_of(text: str, marks: int = -1) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) in code points, by start and then kind; marks: the kinds that may occur."""
+def _spans(data: bytes, at: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) in bytes, by start and then kind, from the places where matches begin."""
     found = []
-    for n, (kind, exp) in enumerate(zip(KINDS, _automaton()[1], strict=True)):
-        if marks >> n & 1:
-            found += [(m.start(), n, m.end()) for m in exp.finditer(text) if len(m[kind.group]) >= kind.least]
+    for n, kind in enumerate(KINDS):
+        begin = at[bits >> n & 1 == 1]
+        i = 0
+        while i < len(begin):
+            start = int(begin[i])
+            end = _automata()[1][n].longest(data, start)
+            if kind.counts(data[start:end]):
+                found.append((start, n, end))
+            i = int(np.searchsorted(begin, end))
     return sorted(found)
 
 
+def _code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    if data.isascii():
+        return spans
+    before = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])
+    return [(int(before[a]), n, int(before[b])) for a, n, b in spans]
+
+
 def batch_spans(batch: pa.RecordBatch, column: str = "text") -> list[list[tuple[int, int, int]]]:
-    """The spans of each row's text."""
+    """(start, kind's number, end) in code points of each row's text, by start and then kind."""
     col = batch.column(batch.schema.get_field_index(column)).fill_null("")
     col = col.cast(pa.large_binary())
     bounds = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
-    marks = rules_seen(_automaton()[0], data, bounds[:-1], np.diff(bounds))
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    at, bits = places(_automata()[0], data[::-1], len(data) - bounds[1:], np.diff(bounds))
+    at, bits = len(data) - 1 - at[::-1], bits[::-1]
+    cut = np.searchsorted(at, bounds)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(col))]
-    for i in np.flatnonzero(marks):
-        out[i] = spans_of(col[int(i)].as_py().decode(), int(marks[i]))
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        text, a, b = data[bounds[i] : bounds[i + 1]].tobytes(), cut[i], cut[i + 1]
+        out[i] = _code_points(text, _spans(text, at[a:b] - bounds[i], bits[a:b]))
     return out
 
 
