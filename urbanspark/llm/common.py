@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; bounds its memory whatever a batch holds.
 CHUNK_BYTES = 4 << 20
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode, where that is unset, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="urbanspark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -36,15 +39,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The column of ``numbered``.
-ROW = "__row"
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` written once, each row together with a number of its own (``ROW``): however it is split and read again, the number stays with the row."""
-    from pyspark.sql import functions as F
-
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, each row together with a number of its own in the column ``name``: however it is split and read again, the number stays with the row."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def plain_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -83,7 +88,27 @@ BROADCAST_ROWS = 1_000_000
 
 def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if it is counted to be within ``limit`` rows, else as it is (a shuffled join)."""
-    from pyspark.sql import functions as F
-
     few = small.limit(limit + 1).count() <= limit
     return F.broadcast(small) if few else small
+
+
+#: A key is hot if it has more than one row in so many.
+HOT_SHARE = 1000
+
+
+def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+    """Keys that may have over 1/share of the rows (a mergeable sketch proposes them): at most 2 x share rows, written; nulls are none."""
+    sketch = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k({key}, {2 * share}, {8 * share})").alias("top"), F.count("*").alias("rows"))
+    top = sketch.select("rows", F.explode("top").alias("x")).where(F.col("x.count") * share > F.col("rows"))
+    return written(top.select(F.col("x.item").alias(key)), "hot-keys")
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has at most one row a key: rows of hot keys meet a broadcast, all others are shuffled.
+
+    ``left`` should be a written table; it is read three times.
+    """
+    hot = F.broadcast(hot_keys(left, key))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    rest = left.join(hot, key, "left_anti")
+    return left.join(hot, key, "left_semi").join(few, key, how).unionByName(rest.join(right, key, how))

@@ -1,9 +1,11 @@
 """Exact dedup with a heavy-hitter split, in DataFrame operations only.
 
 A frequent-items sketch (Spark's ``approx_top_k``, a mergeable Misra-Gries summary) proposes frequent digests
-in one partial aggregate. An exact count verifies them; the verified winners, at most ``tracked`` of them, are
-broadcast. Their rows never meet in a shuffle: each task reduces them to one row per winner. All other digests
-are below the verified share and are grouped by an ordinary shuffle.
+in one partial aggregate. Its counts are off by less than 1.4 rows in ``tracked`` (its counters), which is a
+sixth of the share that makes a winner, so every digest above the share is proposed. An exact count verifies
+them; the winners, under ``share`` in number, are broadcast. Their rows never meet in a shuffle: each task
+reduces them to one row per winner. All other digests hold at most one row in ``share`` and are grouped by an
+ordinary shuffle.
 """
 
 from __future__ import annotations
@@ -11,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, maybe_broadcast, numbered, written
+from .common import fresh, maybe_broadcast, numbered, written
 
-#: Items of the sketch, and so the most digests that are ever broadcast (32 bytes each).
-TRACKED = 256
-#: A winner holds at least one row in so many.
+#: A winner holds more than one row in so many.
 SHARE = 1000
+#: Counters of the sketch; a quarter of them is the most digests that are ever broadcast (32 bytes each).
+TRACKED = 8 * SHARE
 
 
 def without_space(text: Column) -> Column:
@@ -39,8 +41,8 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", uid: Colum
 
 
 def winners(small: DataFrame, tracked: int = TRACKED, share: int = SHARE) -> DataFrame:
-    """Digests that hold over 1/share of the rows, exactly counted; at most ``tracked`` rows."""
-    sketch = small.agg(F.expr(f"approx_top_k(hex(digest), {tracked // 2}, {tracked})").alias("top"), F.count("*").alias("rows"))
+    """Digests that hold over 1/share of the rows, exactly counted; under ``share`` rows."""
+    sketch = small.agg(F.expr(f"approx_top_k(hex(digest), {tracked // 4}, {tracked})").alias("top"), F.count("*").alias("rows"))
     named = sketch.select("rows", F.explode(F.expr("transform(top, x -> unhex(x.item))")).alias("digest"))
     counted = small.join(F.broadcast(named), "digest").groupBy("digest").agg(F.count("*").alias("size"), F.max("rows").alias("rows"))
     return written(counted.where(F.col("size") * share > F.col("rows")).select("digest"), "winners")
@@ -63,7 +65,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", uid:
     top = F.broadcast(winners(small))
     hot = small.join(top, "digest", "left_semi")
     rest = small.join(top, "digest", "left_anti")
-    # Each winner's best row: at most TRACKED rows after partial aggregates, so they are broadcast.
+    # Each winner's best row: under SHARE rows after partial aggregates, so they are broadcast.
     hot = hot.join(F.broadcast(_best(hot)), "digest")
     rest = rest.join(_best(rest), "digest")
     return hot.unionByName(rest).select(
@@ -76,8 +78,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """The rows of ``docs`` that stay, with their own columns.
 
     The texts aren't shuffled. The table is written once with a number in each row; what goes is known by that
-    number, which is read, never counted again, so it doesn't matter how either scan is split.
+    number, which is read, never counted again, so it doesn't matter how either scan is split. Null texts are
+    empty and equal; of rows repeated whole one stays; null ids come last. An empty table gives an empty result.
     """
-    rows = numbered(docs)
-    gone = exact_groups(rows, text, key, F.col(ROW)).where("not kept").select(F.col("uid").alias(ROW))
-    return rows.join(maybe_broadcast(written(gone, "exact-gone")), ROW, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
+    row = fresh(docs, "__row")
+    rows = numbered(docs, row)
+    gone = exact_groups(rows, text, key, F.col(f"`{row}`")).where("not kept").select(F.col("uid").alias(row))
+    return rows.join(maybe_broadcast(written(gone, "exact-gone")), row, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
