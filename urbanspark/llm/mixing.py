@@ -4,7 +4,8 @@ A source's target over its size is the copies that each of its documents gets on
 given to all; the fraction is rounded by pairs: mass, in words, moves from one document to the other until one of
 them is integral, and chance chooses the direction so that each keeps its expected copies. A block of documents
 leaves one residual; a reduction tree pairs the residuals of blocks, level by level, until a source has one, and
-a last coin settles it. So a source's words miss its target by less than one document.
+a last coin settles it. So a source's words miss its target by less than one document. Rows repeated whole are one
+row with a multiple of the copies, and share what it gets.
 """
 
 from __future__ import annotations
@@ -16,28 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, maybe_broadcast, text_bytes, written
+from .common import chunks, fresh, maybe_broadcast, numbered, text_bytes, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
+#: Repeats that are written out by one task.
+REPEATS = 4096
 #: Documents in a block, and residuals that a node of the tree combines.
 BLOCK, FAN_IN = 1024, 64
 _EPS = 1e-9
 
 
-def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, salt): words of ``[^\\x20\\x09-\\x0D]+``; a null text has none. salt tells unlike rows of one id apart."""
+def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", row: str | None = None) -> DataFrame:
+    """(doc_id, source, size, salt, row): row is the column of that name, 0 without one; words of ``[^\\x20\\x09-\\x0D]+``; a null text has none. salt tells unlike rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text"):
                 n = pa.array([len(x.split()) for x in text_bytes(batch)], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, batch.column(3)], ["doc_id", "source", "size", "salt"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, batch.column(3), batch.column(4)], ["doc_id", "source", "size", "salt", "row"])
 
     t = docs[f"`{text}`"]
-    rows = docs.select(docs[f"`{key}`"].alias("doc_id"), docs[f"`{source}`"].alias("source"), t.alias("text"), F.xxhash64(t, docs[f"`{source}`"]).alias("salt"))
-    return rows.mapInArrow(run, "doc_id long, source string, size long, salt long")
+    rows = docs.select(docs[f"`{key}`"].alias("doc_id"), docs[f"`{source}`"].alias("source"), t.alias("text"), F.xxhash64(t, docs[f"`{source}`"]).alias("salt"), (docs[f"`{row}`"] if row else F.lit(0).cast("long")).alias("row"))
+    return rows.mapInArrow(run, "doc_id long, source string, size long, salt long, row long")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -96,22 +99,26 @@ def _round_block(rows: pa.Table) -> pa.Table:
     return rows
 
 
-_SCHEMA = "doc_id long, source string, size long, salt long, source_size long, target double, base int, part double, tick long, block long, open boolean"
+_SCHEMA = "doc_id long, source string, size long, salt long, m long, row long, source_size long, target double, base long, part double, tick long, block long, open boolean"
 
 
 def copies(sized: DataFrame, goal: DataFrame, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, salt, source_size, target, copies for every row.
+    """doc_id, source, size, salt, m, row, source_size, target, copies for every distinct row.
 
-    Blocks are by hash of the row, so the same rows give the same copies however they are partitioned. Rows
-    repeated whole are rounded one by one. Documents without words get the whole part.
+    m is how often the row is there, row the smallest of their numbers, copies what all of them get together. Blocks
+    are by hash of the row, so the same rows give the same copies however they are partitioned. Documents without
+    words get the whole part.
     """
+    sized = sized.groupBy("doc_id", "source", "size", "salt").agg(F.count("*").alias("m"), F.min("row").alias("row"))
     both = sized.alias("s").join(maybe_broadcast(goal).alias("g"), F.expr("s.source <=> g.source"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = both.select("doc_id", "s.source", "size", "salt", "source_size", "target", "n", ratio.alias("ratio"))
+    rows = both.select("doc_id", "s.source", "size", "salt", "m", "row", "source_size", "target", "n", ratio.alias("ratio"))
     tick = F.xxhash64("doc_id", "salt", "source", F.lit(seed))
+    whole, due = F.floor(F.col("ratio") + _EPS) * F.col("m"), F.col("ratio") * F.col("m")
+    base = F.when(F.col("size") > 0, F.floor(due + _EPS)).otherwise(whole)
     rows = rows.select(
-        "doc_id", "source", "size", "salt", "source_size", "target", F.floor(F.col("ratio") + _EPS).cast("int").alias("base"),
-        F.when(F.col("size") > 0, F.greatest(F.col("ratio") - F.floor(F.col("ratio") + _EPS), F.lit(0.0))).otherwise(0.0).alias("part"), tick.alias("tick"),
+        "doc_id", "source", "size", "salt", "m", "row", "source_size", "target", base.alias("base"),
+        F.when(F.col("size") > 0, F.greatest(due - base, F.lit(0.0))).otherwise(0.0).alias("part"), tick.alias("tick"),
         F.pmod(F.shiftright(tick, 8), F.ceil(F.col("n") / BLOCK)).alias("block"), F.lit(True).alias("open"),
     )
     most = goal.agg(F.max("n")).first()[0] or 0
@@ -126,25 +133,50 @@ def copies(sized: DataFrame, goal: DataFrame, seed: int = 42) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "salt", "source_size", "target", (F.col("base") + F.round("part").cast("int")).alias("copies"))
+    return out.select("doc_id", "source", "size", "salt", "m", "row", "source_size", "target", (F.col("base") + F.round("part").cast("long")).alias("copies"))
+
+
+#: What the nth (from 0) of m repeated rows takes of their copies.
+_TAKE = "copies div m + if(nth < copies % m, 1, 0)"
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (size times copies) for every row; a null source is a source."""
+    """doc_id, size, source_size, target, taken (size times copies), copies for every row.
+
+    A null source is a source, a null text has no words; rows repeated whole share their copies as evenly as can be.
+    An empty table gives an empty result; other columns aren't looked at.
+    """
     sized = written(sizes(docs), "sizes")
-    got = copies(sized, targets(sized))
-    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    got = written(copies(sized, targets(sized)), "mix-copies")
+    once = got.where("m = 1").withColumn("nth", F.lit(0).cast("long"))
+    # A row may be there any number of times: first its thousands are dealt to tasks, then each writes its own.
+    parts = got.where("m > 1").withColumn("part", F.explode(F.expr(f"sequence(0L, (m - 1) div {REPEATS})"))).repartition("doc_id", "salt", "part")
+    often = parts.withColumn("nth", F.explode(F.expr(f"sequence(part * {REPEATS}, least(m, (part + 1) * {REPEATS}) - 1)"))).drop("part")
+    out = once.unionByName(often).withColumn("copies", F.expr(_TAKE))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs`` with their own columns, each as often as it was given copies."""
-    sized = written(sizes(docs), "sizes")
-    got = copies(sized, targets(sized)).groupBy(F.col("doc_id").alias("__id"), F.col("salt").alias("__salt")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    rows = docs.withColumn("__h", F.xxhash64("text", "source")).join(got, F.expr("doc_id <=> __id and __h = __salt"))
-    # Rows repeated whole share their copies: the first takes what doesn't divide.
-    alone = rows.where("__rows = 1").withColumn("__take", F.col("__copies"))
-    number = F.row_number().over(Window.partitionBy("__id", "__salt").orderBy("__rows"))
-    shared = rows.where("__rows > 1").withColumn("__no", number)
-    shared = shared.withColumn("__take", F.expr("__copies div __rows + if(__no <= __copies % __rows, 1, 0)")).drop("__no")
-    out = alone.unionByName(shared).where("__take > 0")
-    return out.withColumn("__copy", F.explode(F.expr("sequence(1L, __take)"))).select(*docs.columns)
+    """The mix itself: rows of ``docs`` with their own columns, whatever their names, each as often as it was given copies.
+
+    The table is written once with a number in each row; what is taken is known by that number, so texts are
+    shuffled only where the rows taken are too many to be broadcast. A null source is a source and a null text has
+    no words; rows repeated whole share their copies evenly, in the order of their numbers. An empty table gives an
+    empty result.
+    """
+    row, take = fresh(docs, "__row"), fresh(docs, "__take")
+    rows = numbered(docs, row)
+    sized = written(sizes(rows, row=row), "sizes")
+    got = written(copies(sized, targets(sized)), "mix-copies")
+    once = got.where("m = 1").select("row", F.col("copies").alias("take"))
+    often = written(got.where("m > 1").select(F.col("doc_id").alias("id"), F.col("salt").alias("s"), "m", "copies"), "mix-often")
+    shared = sized.join(maybe_broadcast(often), F.expr("doc_id <=> id and salt = s")).select("id", "s", "m", "copies", "row", F.spark_partition_id().alias("part"))
+    shared = written(shared, "mix-shared")
+    # Numbers of repeats: within a task, after those of the tasks before it; so no task gets a hot row's repeats all.
+    before = shared.groupBy("id", "s", "part").count()
+    before = before.withColumn("before", F.sum("count").over(Window.partitionBy("id", "s").orderBy("part")) - F.col("count")).select(F.col("id").alias("i"), F.col("s").alias("t"), F.col("part").alias("p"), "before")
+    within = F.row_number().over(Window.partitionBy("id", "s", "part").orderBy("row")) - 1
+    shared = shared.withColumn("within", within).join(maybe_broadcast(before), F.expr("id <=> i and s = t and part = p")).withColumn("nth", F.col("before") + F.col("within"))
+    taken = written(once.union(shared.select("row", F.expr(_TAKE).alias("take"))).where("take > 0"), "mix-taken")
+    out = rows.join(maybe_broadcast(taken.select(F.col("row").alias(row), F.col("take").alias(take))), row)
+    return out.withColumn(take, F.explode(F.expr(f"sequence(1L, `{take}`)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
