@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, plain_columns, text_bytes, written
+from .common import chunks, plain_columns, split_join, text_bytes, written
 from .components import connected_components
 
 BITS = 2
@@ -38,7 +38,9 @@ def fingerprint(data: bytes, k: int = SHINGLE) -> int:
     rows = [words[i:] for i in range(k)] if len(words) >= k else [[w] for w in words]
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(b" ".join(s), SEED) for s in zip(*rows, strict=False)], dtype="<u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
@@ -96,7 +98,9 @@ def near_edges(fps: DataFrame) -> DataFrame:
     """(a, b): for distinct fingerprints (column fp), links that connect whatever is connected within BITS bits."""
     keep = [np.array(sum(0xFF << 8 * b for b in range(8) if b not in c), np.uint64).view(np.int64).item() for c in _CHOICES]
     keys = F.array(*[F.struct(F.lit(n).cast("byte").alias("n"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(keep)])
-    filed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.n", "k.key")
+    # Dealt out anew: the few bytes of distinct fingerprints would else be merged into a task or two ahead of the 28-fold explode.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = fps.select("fp").repartition(tasks, "fp").select("fp", F.explode(keys).alias("k")).select("fp", "k.n", "k.key")
     files = filed.groupBy("n", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +127,6 @@ def near_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = written(named, "fp-roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Most fingerprints are alone: these are their own smallest id, and only the others have to be joined.
-    out = docs_fp.join(named.join(ids, "root").select("fp", "component_id"), "fp")
+    # A fingerprint may have any share of the documents, as that of texts without words.
+    out = split_join(docs_fp, written(named.join(ids, "root").select("fp", "component_id"), "fp-components"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
