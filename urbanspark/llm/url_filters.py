@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, split_join, written
 from .components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,6 +77,13 @@ def stated_targets(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     return found.select("source", resolved(F.col("source"), F.col("target")).alias("target")).where("target is not null")
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """A left join with a table of one row a key: by broadcast within the bound, else with hot keys split off."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, "left")
+    return split_join(written(left, what), right, key, "left")
+
+
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, and component (null without an alias) for every row of ``pages``.
 
@@ -99,8 +106,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirec
     node = lambda c: F.when(host_of(F.col(c)) != "", F.md5(canonical_form(F.col(c))))
     links = written(stated.select(node("source").alias("a"), node("target").alias("b"), "source", "target"), "url-links")
     roots = connected_components(links)
-    base = base.withColumn("node", F.when(F.col("host") != "", F.md5(canonical_form(F.col("url")))))
-    named = base.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    base = base.withColumn("node", F.when(F.col("host") != "", F.md5(canonical_form(F.col("url"))))).drop("url")
+    # A page's address may be there under any number of queries: hot nodes and components meet a broadcast.
+    named = _joined(base, roots, "node", "url-base").withColumn("component", F.coalesce("root", "node")).drop("root")
 
     # What the rules say of the component's addresses: pages' own, and those that links only name.
     ends = links.select(F.explode(F.array("source", "target")).alias("url")).where("url is not null")
@@ -108,7 +116,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirec
     ends = ends.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
     ends = ends.withColumn("hit", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules))
     said = named.select("component", "hit").union(ends.select("component", "hit")).where("hit is not null and component is not null")
-    said = said.groupBy("component").agg(F.min("hit.verdict").alias("said"))  # 'allow' sorts before 'block'
-    open_rows = named.where("hit is null").join(said, "component", "left").withColumn("verdict", F.coalesce("said", F.lit(default))).drop("said")
+    said = written(said.groupBy("component").agg(F.min("hit.verdict").alias("said")), "url-said")  # 'allow' sorts before 'block'
+    open_rows = _joined(named.where("hit is null"), said, "component", "url-open").withColumn("verdict", F.coalesce("said", F.lit(default))).drop("said")
     ruled = named.where("hit is not null").withColumn("verdict", F.col("hit.verdict"))
     return ruled.unionByName(open_rows).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), "verdict", "component")
