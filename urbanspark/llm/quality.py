@@ -28,6 +28,8 @@ KEEP_FROM = 0.5
 BAD, GOOD, NONE = 0, 1, 2
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _SYMBOLS = b"#$%&*|~^=<>{}[]\\@!_+"
+#: Ends of sentences in several scripts.
+_STOPS = [x.encode() for x in ".?。？؟।։"]
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 if b in b" \t\n\r\v\f" else b for b in range(256))
 #: Function words of the corpus's languages.
 _FUNCTION = frozenset(
@@ -56,6 +58,7 @@ class Facts:
     length: float
     lines: int
     same_lines: float
+    latin: float
 
 
 def facts(data: bytes) -> Facts:
@@ -72,7 +75,8 @@ def facts(data: bytes) -> Facts:
         repeats=sum(map(eq, words, words[1:])) / max(n - 1, 1),
         variety=len(set(words)) / some**0.5,
         symbols=(len(data) - len(data.translate(None, _SYMBOLS))) / some,
-        stops=(data.count(b".") + data.count(b"?")) / some,
+        stops=sum(map(data.count, _STOPS)) / some,
+        latin=(upper + lower) / max(len(data) - n, 1),
         function=sum(map(_FUNCTION.__contains__, data.lower().split())) / some,
         length=(len(data) - n) / some,
         lines=len(lines),
@@ -91,7 +95,7 @@ LABELLERS = {
     "few_words": lambda f: _vote(f.words >= 40, f.variety < 2.5, False),
     "symbols": lambda f: _vote(f.words >= 8, f.symbols > 0.3, False),
     "sentences": lambda f: _vote(f.words >= 30, f.stops < 1 / 80, 1 / 40 < f.stops < 0.5),
-    "function_words": lambda f: _vote(f.words >= 25, f.function < 0.03, f.function > 0.1),
+    "function_words": lambda f: _vote(f.words >= 25 and f.latin > 0.5, f.function < 0.03, f.function > 0.1),
     "word_length": lambda f: _vote(f.words >= 10, not 2.0 < f.length < 15.0, False),
     "same_lines": lambda f: _vote(f.lines >= 4, f.same_lines > 0.4, False),
 }
@@ -223,16 +227,21 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Counts every document's votes; trains on a sample by hash of the text. The driver gets the patterns, 3**8 at most, and the sample's features."""
+    """Counts every document's votes; trains on ``sample`` distinct texts at most, chosen by a hash. The driver gets the patterns, 3**8 at most, and the sample's features."""
     only = plain_columns(docs, "text")
     rows = only.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counts = {r["pattern"]: r["n"] for r in rows}
     posterior, accuracy = expectation_maximisation(counts)
+    # A bottom-k sample of distinct texts by hash: copies count once, and the bound holds whatever the texts are.
     n = sum(counts.values())
-    share = min(1.0, 0.95 * sample / n) if n else 1.0
+    share = min(1.0, 4 * sample / n) if n else 1.0
+    ticked = only.withColumn("tick", F.xxhash64("text", F.lit(9)))
     if share < 1:
-        only = only.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    drawn = written(only.mapInArrow(_examples, "pattern long, cols array<int>, vals array<double>"), "quality-sample").limit(2 * sample)
+        few = ticked.where(F.pmod("tick", F.lit(1 << 30)) < int(share * (1 << 30)))
+        ticked = few if few.select("tick").distinct().limit(sample).count() == sample else ticked  # many copies: look at all
+    ticks = ticked.select("tick", F.pmod("tick", F.lit(1 << 30)).alias("order")).distinct().orderBy("order", "tick").limit(sample).select("tick")
+    texts = ticked.join(F.broadcast(ticks), "tick").groupBy("tick").agg(F.first("text").alias("text")).select("text")
+    drawn = written(texts.mapInArrow(_examples, "pattern long, cols array<int>, vals array<double>"), "quality-sample")
     examples = [(r["cols"], r["vals"], posterior.get(r["pattern"], 0.5)) for r in drawn.collect()]
     return Model(trained(examples), posterior, accuracy)
 
