@@ -4,7 +4,8 @@ Labelled rows that aren't held out teach which words and word beginnings mark to
 after another, each for the toxic texts that the earlier ones leave uncovered, so that words which only happen to
 share a text with a term stay out. The terms' trie is intersected with the Levenshtein automaton of each position
 (subset construction over trie node and edits) into one automaton, which all words of a batch run through side by
-side. A hit in quotation, or reported, weighs less; a logistic function of a text's hits gives its score.
+side. Signs and digits inside a word stand for letters that look alike, or for one letter each. A hit in quotation,
+or reported, weighs less; a logistic function of a text's hits gives its score.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,17 +25,25 @@ from .common import chunks, plain_columns, texts, written
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
 SAMPLE = 20_000
-#: Candidates looked at, terms kept, texts that a term has to mark, and how purely.
-CANDIDATES, TERMS, LEAST, PURITY = 3000, 128, 3, 0.8
-#: Share of the toxic texts that a term has to mark: words of one much copied text stay below it.
-SUPPORT = 0.02
+#: Candidates looked at and terms kept, at most (the best ones stay); texts that a term has to mark, and how purely.
+CANDIDATES, TERMS, LEAST, PURITY = 5000, 512, 3, 0.8
+#: A term has to mark more toxic texts than chance does at this level, shared by all words in LEAST texts or more. Copies count once.
+LEVEL = 0.05
 #: Terms that each toxic text should be marked by, where it has so many.
 DEPTH = 4
 #: Lengths of word beginnings that may be terms; the least length of a term that is matched with one edit.
-STEMS, FUZZY_FROM = (4, 5, 6), 5
+STEMS, FUZZY_FROM = (4, 5, 6, 7, 8), 4
+#: Clean words within an edit of a term from which on it isn't matched with an edit: there the language has words of its own.
+CROWDED = 3
+#: What a misspelled term weighs at least, of what the term itself does. Training texts may have none.
+FUZZY_WEIGHT = 0.9
 #: Words before and after a hit that are looked at.
 CONTEXT = 4
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters, with signs and digits where letters stand on both sides.
+_WORD = re.compile(r"[^\W\d_]+(?:[0-9@$*!#|+]+[^\W\d_]+)*")
+_PLAIN = re.compile(r"[^\W\d_]+")
+#: Letters that signs are put for.
+_LOOK = str.maketrans("013457@$!|+", "oieastasilt")
 _QUOTES = {"“": "”", "«": "»", "„": "“", '"': '"', "‘": "’"}
 #: Words that report what somebody else said.
 REPORTING = frozenset("said says wrote called calls quoted quote word words term dit écrit mot terme sagte schrieb wort begriff dijo escribió palabra término".split())
@@ -42,10 +51,14 @@ QUOTED_WEIGHT = 0.3
 EXACT, STEM, FUZZY = 3, 2, 1
 
 
+class TooLarge(ValueError):
+    """An automaton with more states than it may have."""
+
+
 class LexiconAutomaton:
     """Words within one edit of a term, or beginning with a stem: table[state, letter]; best[state] is what a word ending there is."""
 
-    def __init__(self, terms: list[str], stems: list[str], limit: int = 40_000) -> None:
+    def __init__(self, terms: list[str], stems: list[str], limit: int = 20_000, exact: frozenset[str] = frozenset(), fuzzy_from: int = 5) -> None:
         letters = sorted({c for w in [*terms, *stems] for c in w})
         self.letters = {c: i for i, c in enumerate(letters)}
         other, n = len(letters), len(letters) + 1
@@ -62,7 +75,7 @@ class LexiconAutomaton:
                     fuzzy.append(False)
                 node = children[node][c]
             term_at[node], stem_at[node] = term_at[node] or not is_stem, stem_at[node] or is_stem
-            fuzzy[node] = fuzzy[node] or (not is_stem and len(w) >= FUZZY_FROM)
+            fuzzy[node] = fuzzy[node] or (not is_stem and len(w) >= fuzzy_from and w not in exact)
         # Only ways that lead to a term matched with an edit are followed with one.
         useful = fuzzy[:]
         for node in range(len(children) - 1, -1, -1):
@@ -93,7 +106,7 @@ class LexiconAutomaton:
                 key = closed(to)
                 if key not in ids:
                     if len(order) >= limit:
-                        raise ValueError("the lexicon's automaton is too large; keep fewer terms")
+                        raise TooLarge
                     ids[key] = len(order)
                     order.append(key)
                 row.append(ids[key])
@@ -108,11 +121,9 @@ class LexiconAutomaton:
             return np.zeros(0, np.int8)
         size = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        known = np.full(0x3000, self.other, np.int32)
-        for c, i in self.letters.items():
-            if ord(c) < len(known):
-                known[ord(c)] = i
-        letter = known[np.minimum(code, len(known) - 1)]
+        alphabet = np.array([ord(c) for c in self.letters], np.uint32)  # in order
+        letter = np.minimum(np.searchsorted(alphabet, code), max(len(alphabet) - 1, 0)).astype(np.int32)
+        letter = np.where(alphabet[letter] == code, letter, self.other) if len(alphabet) else np.full(len(code), self.other, np.int32)
         order = np.argsort(-size, kind="stable")
         pos, size_sorted = (np.cumsum(size) - size)[order], size[order]
         state = np.zeros(len(words), np.int32)
@@ -124,38 +135,89 @@ class LexiconAutomaton:
         return out
 
 
+class Lexicon:
+    """As many automata as it takes to keep each within its limit; a word is the most that any says of it."""
+
+    def __init__(self, terms: list[str], stems: list[str], limit: int = 20_000, exact: frozenset[str] = frozenset()) -> None:
+        try:
+            self.parts = [LexiconAutomaton(terms, stems, limit, exact, FUZZY_FROM)]
+        except TooLarge:
+            if len(terms) + len(stems) < 2:
+                raise
+            halves = [Lexicon(terms[i::2], stems[i::2] if len(terms) > 1 else [*stems][1 - i :: 2], limit, exact) for i in (0, 1)]
+            self.parts = halves[0].parts + halves[1].parts
+
+    def kinds(self, words: list[str]) -> np.ndarray:
+        """What each word is. One with signs or digits in it is a misspelling at most: as it stands, or read as the letters they look like."""
+        out = np.zeros(len(words), np.int8)
+        for part in self.parts:
+            out = np.maximum(out, part.kinds(words))
+        odd = [i for i, w in enumerate(words) if not w.isalpha() and _PLAIN.fullmatch(w) is None]
+        if odd:
+            read = [words[i].translate(_LOOK) for i in odd]
+            for part in self.parts:
+                out[odd] = np.maximum(out[odd], part.kinds(read))
+            out[odd] = np.minimum(out[odd], FUZZY)
+        return out
+
+
 @dataclass
 class Model:
+    """Terms, word beginnings, weights; words of clean texts that only look like misspelled terms, and terms with many such."""
+
     terms: list[str]
     stems: list[str]
     weights: list[float]
-    automaton: LexiconAutomaton | None = field(default=None, repr=False)
+    clean: frozenset[str] = frozenset()
+    exact: frozenset[str] = frozenset()
+    automaton: Lexicon | None = field(default=None, repr=False)
 
-    def ready(self) -> LexiconAutomaton:
+    def ready(self) -> Lexicon:
         if self.automaton is None:
-            self.automaton = LexiconAutomaton(self.terms, self.stems)
+            self.automaton = Lexicon(self.terms, self.stems, exact=self.exact)
         return self.automaton
 
+    def kinds(self, words: list[str]) -> dict[str, int]:
+        """What those words are that are anything."""
+        kinds = self.ready().kinds(words)
+        return {words[i]: int(kinds[i]) for i in np.flatnonzero(kinds).tolist() if not (kinds[i] == FUZZY and words[i] in self.clean)}
+
 
 #: Of a text: exact, stem and fuzzy hits outside quotation, hits in it, share of hits among its words; each damped.
 N_FEATURES = 6
 
 
-def _quoted(text: str, at: int) -> bool:
-    """Whether a quotation mark opened within the line is still open at ``at``."""
-    line = text[max(text.rfind("\n", 0, at) + 1, at - 400) : at]
-    return any(line.count(a) % 2 == 1 if a == b else line.rfind(a) > line.rfind(b) for a, b in _QUOTES.items())
+_MARKS = re.compile("[\n" + "".join(sorted({*_QUOTES, *_QUOTES.values()})) + "]")
+
+
+def _quoted(text: str, places: list[int]) -> list[bool]:
+    """For each place (rising) whether a quotation mark opened earlier in its line is still open; one pass over the marks."""
+    out, opened, at = [], dict.fromkeys(_QUOTES, False), 0
+    marks = [(m.start(), m.group()) for m in _MARKS.finditer(text)]
+    for place in places:
+        while at < len(marks) and marks[at][0] < place:
+            sign = marks[at][1]
+            at += 1
+            if sign == "\n":
+                opened = dict.fromkeys(_QUOTES, False)
+                continue
+            for a, b in _QUOTES.items():
+                if sign == a:
+                    opened[a] = not opened[a] if a == b else True
+                elif sign == b:
+                    opened[a] = False
+        out.append(any(opened.values()))
+    return out
 
 
 def text_features(text: str, low: str, hits: dict[str, int]) -> np.ndarray:
     """Features of one text, given what its words are (only hits are in ``hits``)."""
     out, spans = np.zeros(N_FEATURES), [(m.start(), m.group()) for m in _WORD.finditer(low)]
-    same = len(low) == len(text)
-    for i, (at, word) in enumerate(spans):
-        if kind := hits.get(word):
-            around = {w for _, w in spans[max(0, i - CONTEXT) : i]}
-            aside = bool(around & REPORTING) or _quoted(text if same else low, at)
-            out[3 if aside else {EXACT: 0, STEM: 1, FUZZY: 2}[kind]] += 1
+    found = [i for i, (_, word) in enumerate(spans) if word in hits]
+    quoted = _quoted(text if len(low) == len(text) else low, [spans[i][0] for i in found])
+    for i, inside in zip(found, quoted, strict=True):
+        aside = inside or any(w in REPORTING for _, w in spans[max(0, i - CONTEXT) : i + CONTEXT + 1])
+        out[3 if aside else {EXACT: 0, STEM: 1, FUZZY: 2}[hits[spans[i][1]]]] += 1
     total = out[:4].sum() - (1 - QUOTED_WEIGHT) * out[3]
     damped = 1 - np.exp(-2 * out)  # the first hit says most
     damped[4], damped[5] = min(1.0, 10 * total / max(1, len(spans))), 1.0
@@ -165,9 +227,7 @@ def text_features(text: str, low: str, hits: dict[str, int]) -> np.ndarray:
 def batch_features(model: Model, strings: list[str]) -> np.ndarray:
     lows = [t.lower() for t in strings]
     words = [set(_WORD.findall(t)) for t in lows]
-    every = list(set().union(*words))
-    kinds = model.ready().kinds(every)
-    hits = {every[i]: int(kinds[i]) for i in np.flatnonzero(kinds).tolist()}
+    hits = model.kinds(list(set().union(*words)))
     out = np.zeros((len(strings), N_FEATURES))
     out[:, 5] = 1.0
     for i, own in enumerate(words):
@@ -181,7 +241,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled rows that aren't held out, chosen by a hash of the id.
+    """(text, toxic) of the distinct texts of at most ``sample`` labelled ids that aren't held out, chosen by a hash of the id.
 
     The chosen labels, two numbers a row, are within the bound, so they are broadcast and no text is shuffled.
     """
@@ -192,7 +252,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     share = min(1.0, 0.95 * sample / n) if n else 1.0
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.join(F.broadcast(rows.limit(sample)), docs["doc_id"] == F.col("id")).select("text", "toxic")
+    found = docs.join(F.broadcast(rows.limit(sample)), docs["doc_id"] == F.col("id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # A text counts once, however many documents have it.
+    return found.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def _stems(word: str) -> list[str]:
@@ -204,7 +266,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(whole, "text", 16 << 20):
             counts: tuple[Counter, Counter] = Counter(), Counter()
             for t, toxic in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
-                words = set(_WORD.findall(t.lower()))
+                words = set(_PLAIN.findall(t.lower()))
                 counts[toxic == 1].update(words | {s for w in words for s in _stems(w)})
             keys = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], ["term", "pos", "neg"])
@@ -212,6 +274,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Lexicon and weights. Only bounded tables reach the driver: candidates, and the sample's hits and features."""
+    # Never more than the sample's distinct texts.
     train = written(training_rows(plain_columns(docs, "doc_id", "text"), labels, sample).repartition(32), "toxic-train")
     sums = train.groupBy("toxic").count().collect()
     pos_docs = sum(r["count"] for r in sums if r["toxic"] == 1)
@@ -223,9 +286,14 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     pure = F.col("pos") * neg_docs / (F.col("pos") * neg_docs + F.col("neg") * pos_docs + 1.0)
     top = counts.where(F.col("pos") >= LEAST).where(pure >= PURITY).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.log1p("pos")), "term").limit(CANDIDATES)
     candidates = [r["term"] for r in top.collect()]
-    chosen = _cover(train, candidates, max(LEAST, round(SUPPORT * pos_docs)))
+    seen = counts.where(F.col("pos") + F.col("neg") >= LEAST).count()
+    rate = pos_docs / (pos_docs + neg_docs)
+    chosen = _cover(train, candidates, lambda p, n: _by_chance(p, n, rate) * seen < LEVEL)
     terms, stems = [t for t in chosen if not t.endswith("*")], [t[:-1] for t in chosen if t.endswith("*")]
     model = Model(terms, stems, [])
+    model.clean = _clean_words(train, model)
+    model.exact = _crowded(model)
+    model.automaton = None
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -236,12 +304,43 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = train.mapInArrow(features, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["toxic"] == 1) for r in rows])
     model.weights = _logistic(x, y, np.array([r["count"] for r in rows], float)).tolist()
+    model.weights[2] = max(model.weights[2], FUZZY_WEIGHT * model.weights[0])
     model.automaton = None
     return model
 
 
-def _cover(train: DataFrame, candidates: list[str], least: int) -> list[str]:
+def _by_chance(pos: int, neg: int, rate: float) -> float:
+    """The probability that of pos + neg texts, each toxic at ``rate``, pos or more are."""
+    n = pos + neg
+    log = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate) for k in range(pos, n + 1)]
+    return math.fsum(math.exp(x) for x in log)
+
+
+def _clean_words(train: DataFrame, model: Model) -> frozenset[str]:
+    """Words of clean training texts that the lexicon takes for misspelled terms: they are words of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                words = list(set().union(*(_WORD.findall(t.lower()) for t in texts(batch))))
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, k in model.kinds(words).items() if k == FUZZY], pa.string())], ["word"])
+
+    return frozenset(r["word"] for r in train.where("toxic = 0").mapInArrow(run, "word string").distinct().collect())
+
+
+def _crowded(model: Model) -> frozenset[str]:
+    """Terms that CROWDED clean words or more share a spelling with, a letter left out of either."""
+    cut = lambda w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+    near: dict[str, set[str]] = {}
+    for w in model.clean:
+        for x in cut(w):
+            near.setdefault(x, set()).add(w)
+    return frozenset(t for t in model.terms if len(set().union(*(near.get(x, ()) for x in cut(t)))) >= CROWDED)
+
+
+def _cover(train: DataFrame, candidates: list[str], clear: Callable[[int, int], bool]) -> list[str]:
     """Terms chosen greedily: most toxic texts that have under DEPTH of the chosen terms, less texts of the other kind.
+    What a term adds must be ``clear`` (toxic texts, others), so that words which share texts with better terms stay out.
 
     Words of copied texts have the very same documents as each other; a set of documents that over three words of
     unlike beginnings share says nothing of any of them.
@@ -253,7 +352,7 @@ def _cover(train: DataFrame, candidates: list[str], least: int) -> list[str]:
             for batch in chunks(whole, "text"):
                 found = []
                 for t in texts(batch):
-                    words = set(_WORD.findall(t.lower()))
+                    words = set(_PLAIN.findall(t.lower()))
                     found.append(sorted({index[k] for w in words for k in (w, *_stems(w)) if k in index}))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
 
@@ -269,17 +368,19 @@ def _cover(train: DataFrame, candidates: list[str], least: int) -> list[str]:
     heads: dict[frozenset[int], set[str]] = {}
     for i, p in pos.items():
         heads.setdefault(frozenset(p), set()).add(candidates[i][:4])
-    pos = {i: p for i, p in pos.items() if len(heads[frozenset(p)]) <= 3}
+    pos = {i: p for i, p in pos.items() if len(heads[frozenset(p)]) <= 3 and clear(len(p), neg[i])}
     chosen: list[str] = []
     depth: Counter = Counter()
     while len(chosen) < TERMS and pos:
         # Of terms that gain alike the one that says most: a whole word before a beginning, a long one before a short one.
         gain, _, _, best = max((sum(depth[n] < DEPTH for n in p) - 2 * neg[i], not candidates[i].endswith("*"), len(candidates[i]), -i) for i, p in pos.items())
-        if gain < least:
+        if gain < LEAST:
             break
-        term = candidates[-best]
+        term, own = candidates[-best], pos.pop(-best)
+        if not clear(sum(depth[n] < DEPTH for n in own), neg[-best]):
+            continue
         chosen.append(term)
-        depth.update(pos.pop(-best))
+        depth.update(own)
         # What begins with a chosen beginning is known, and a shorter beginning of a chosen term says no more.
         bare = term.rstrip("*")
         pos = {i: p for i, p in pos.items() if not (term.endswith("*") and candidates[i].startswith(bare)) and not (candidates[i].endswith("*") and bare.startswith(candidates[i][:-1]))}
@@ -319,7 +420,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """Fit on ``labels`` (doc_id, toxic) and score every row of ``docs``.
 
     Inputs of a score are the text alone. Labels that are null, of unknown documents or held out teach nothing;
-    several labels of a document count as toxic if one is. Without labels of both kinds every text has the same
+    several labels of a document, or of one text, count as toxic if one is. Without labels of both kinds every text has the same
     score. Repeated rows are scored each; an empty table gives an empty result; other columns aren't looked at.
     """
     return scored(docs, fitted(docs, labels, sample))
