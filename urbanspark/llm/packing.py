@@ -2,9 +2,10 @@
 
 One pass turns each document into token ids. Its full windows are sequences of their own; what remains, less than a
 window, is packed by retrieval. Remainders are dealt to shards of a bounded number of documents by a sketch of
-their words, so that lexical neighbours meet, and each shard is an inverted index with BM25 weights whose
-document frequencies are counted over the whole corpus. A seed document asks the index for its best unused
-neighbours, which fill its window greedily; the one that crosses the end is cut there, and its rest is the next seed.
+their words (rare ones count more), so that lexical neighbours meet, and each shard is an inverted index with BM25
+weights whose document frequencies are counted over the whole corpus. A seed document asks its shard with all its
+words for the best unused neighbours, which fill its window greedily; the one that crosses the end is cut there, and
+its rest is the next seed. A task holds many shards, one after another.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,14 @@ WINDOW = 2048
 END_ID = 1
 #: Remainders in a shard.
 SHARD = 2000
-#: Words of a seed that are looked up, rarest first, and BM25's parameters.
-QUERY_TERMS, K1, B = 24, 1.2, 0.75
-#: Words a worker remembers the ids of.
-_REMEMBER = 500_000
+#: Bytes of remainders that a task is meant to have.
+TASK_BYTES = 64 << 20
+#: A token is common in a shard if one text in so many has it.
+COMMON = 8
+#: BM25's parameters.
+K1, B = 1.2, 0.75
+#: Bytes of words a worker remembers the ids of, each counted as its characters and _EACH.
+_REMEMBER, _EACH = 56 << 20, 120
 #: Ids below this are counted in tables; a tokenizer with more needs wider pieces.
 _IDS = 1 << 16
 
@@ -55,6 +61,7 @@ class Tokens:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.pool, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
@@ -73,13 +80,14 @@ class Tokens:
         rest = self._encoded(other)
         sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(r) for r in rest], np.int64)]).astype(np.int32)
         base = len(self.known)
+        self.held += sum(map(len, plain)) + sum(map(len, other)) + _EACH * len(sizes)
         self.known.update(zip(plain + other, range(base, base + len(sizes)), strict=True))
         self.first = np.concatenate([self.first, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.size = np.concatenate([self.size, sizes])
         self.pool = np.concatenate([self.pool, flat, _joined(rest)])
 
     def _look_up(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > _REMEMBER:
+        if self.held > _REMEMBER:
             self.clear()
         if fresh := [w for w in words if w not in self.known]:
             self._learn(fresh)
@@ -123,76 +131,121 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-_FIELDS = {"kind": pa.int8(), "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary(), "sketch": pa.int64()}
-_SCHEMA = "kind byte, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sketch long"
+_FIELDS = {"kind": pa.int8(), "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary()}
+_SCHEMA = "kind byte, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _WINDOW_ROW, _REST_ROW, _COUNT_ROW = 0, 1, 2
 
 
 def _cut(path: str):
-    """Windows, remainders and the batch's document frequencies (doc_id: term, -1 for documents, length: how many)."""
+    """Windows, remainders and the batch's document frequencies (doc_id: term, -1 for documents, -2 for tokens, -3 for those of remainders; length: how many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, df, docs, total = _tokens(path), np.zeros(_IDS, np.int64), 0, 0
+        tokens, df, docs, total, rests = _tokens(path), np.zeros(_IDS, np.int64), 0, 0, 0
         for whole in batches:
             for batch in chunks(whole, "text"):
                 ids, bounds = tokens.batch(batch.column(1))
                 rows = []
                 for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     own, n = ids[a:b], b - a
-                    distinct = np.unique(own)
-                    df[distinct] += 1
+                    df[_counted(own)[0]] += 1
                     for at in range(0, n - WINDOW + 1, WINDOW):
-                        rows.append((_WINDOW_ROW, doc, at, WINDOW, _crc(own[at : at + WINDOW]), n, None, 0))
+                        rows.append((_WINDOW_ROW, doc, at, WINDOW, _crc(own[at : at + WINDOW]), n, None))
                     if rest := n % WINDOW:
-                        rows.append((_REST_ROW, doc, n - rest, rest, 0, n, own[n - rest :].tobytes(), _sketch(distinct)))
+                        rows.append((_REST_ROW, doc, n - rest, rest, 0, n, own[n - rest :].tobytes()))
+                        rests += rest
                 docs, total = docs + len(batch), total + len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)], list(_FIELDS))
         terms = np.flatnonzero(df)
-        counts = [(_COUNT_ROW, int(t), 0, int(df[t]), 0, 0, None, 0) for t in terms] + [(_COUNT_ROW, -1, 0, docs, 0, 0, None, 0), (_COUNT_ROW, -2, 0, total, 0, 0, None, 0)]
+        counts = [(_COUNT_ROW, int(t), 0, int(df[t]), 0, 0, None) for t in terms] + [(_COUNT_ROW, -k, 0, x, 0, 0, None) for k, x in ((1, docs), (2, total), (3, rests))]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*counts, strict=True), _FIELDS.values(), strict=True)], list(_FIELDS))
 
     return run
 
 
-def _sketch(distinct: np.ndarray) -> int:
-    """The smallest two hashes of the text's tokens: texts with many tokens in common are often neighbours in its order."""
-    h = (distinct.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h = ((h >> np.uint64(29)) ^ h) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(34)
-    low = np.partition(h, 1)[:2] if len(h) > 1 else np.array([h[0], h[0]])
-    low.sort()
-    return int(low[0] << np.uint64(30) | low[1])
+def _hashes() -> np.ndarray:
+    """For each token id a number from 0 to 1, by a mixing function."""
+    h = (np.arange(_IDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = ((h >> np.uint64(29)) ^ h) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(12)).astype(float) + 0.5) / (1 << 52)
+
+
+def _sketched(idf: Broadcast):
+    """Adds to each remainder the first of its tokens in an order by chance in which the idf of a token is its rate: texts that share rare tokens often share it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.argsort(np.argsort(-np.log(_hashes()) / np.maximum(idf.value, 1e-6), kind="stable"), kind="stable")
+        for batch in batches:
+            first = [np.partition(rank[np.frombuffer(x, np.uint16)], 0)[0] for x in batch.column(3).to_pylist()]
+            yield batch.append_column("sketch", pa.array(first, pa.int64()))
+
+    return run
+
+
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, rising, and how often each occurs."""
+    line = np.sort(ids, kind="stable")  # by radix: ids are short
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    return line[first].astype(np.int64), np.diff(first, append=len(line))
 
 
 class Shard:
-    """BM25 over the remainders of a shard; used documents' scores are struck out."""
+    """BM25 over the remainders of a shard: rows of weights for tokens that many texts have, lists of texts for all others.
+
+    Used documents go from both when they are half of all.
+    """
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        self.idf = idf
-        self.rarest: list[np.ndarray] = []
-        docs, terms, weights = [], [], []
-        for i, ids in enumerate(texts):
-            term, tf = np.unique(ids, return_counts=True)
-            docs.append(np.full(len(term), i))
-            self.rarest.append(term[np.argsort(-idf[term], kind="stable")][:QUERY_TERMS])
-            terms.append(term)
-            weights.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-        doc, term, weight = np.concatenate(docs), np.concatenate(terms), np.concatenate(weights)
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], (weight[order] * idf[term[order]]).astype(np.float32)
-        self.bounds = np.searchsorted(term[order], np.arange(_IDS + 1))
-        self.free = np.ones(len(texts), bool)
+        self.terms, tfs = [], []
+        for ids in texts:
+            term, tf = _counted(ids)
+            self.terms.append(term)
+            tfs.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
+        size = np.array([len(t) for t in self.terms])
+        term, doc = np.concatenate(self.terms), np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        weight = (np.concatenate(tfs) * idf[term]).astype(np.float32)
+        common = np.bincount(term, minlength=_IDS) * COMMON > len(texts)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        rows = self.row[term]
+        self.dense = np.zeros((int(common.sum()), len(texts)), np.float32)
+        self.dense[rows[rows >= 0], doc[rows >= 0]] = weight[rows >= 0]
+        order = np.flatnonzero(rows < 0)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.term, self.doc, self.weight = term[order], doc[order], weight[order]
+        self.free, self.left = np.ones(len(texts), bool), len(texts)
+        self.docs = np.arange(len(texts))
+        self._bound()
+
+    def _bound(self) -> None:
+        self.place = np.zeros(len(self.free), np.int32)
+        self.place[self.docs] = np.arange(len(self.docs))
+        self.bounds = np.searchsorted(self.term, np.arange(_IDS + 1))
+
+    def use(self, i: int) -> None:
+        self.left -= bool(self.free[i])
+        self.free[i] = False
+        if 2 * self.left < len(self.docs) and len(self.docs) > 64:
+            keep = self.free[self.docs[self.doc]]
+            kept = self.free[self.docs]
+            self.docs, self.dense = self.docs[kept], self.dense[:, kept]
+            place = np.cumsum(kept) - 1
+            self.term, self.doc, self.weight = self.term[keep], place[self.doc[keep]].astype(np.int32), self.weight[keep]
+            self._bound()
 
     def neighbours(self, seed: int, tokens: np.ndarray, need: int) -> Iterator[int]:
         """Unused documents by falling score (ties: in order), as many as ``need`` tokens ask for."""
-        score = np.zeros(len(self.free), np.float32)
-        for t in self.rarest[seed].tolist():
-            a, b = self.bounds[t], self.bounds[t + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
-        left = np.flatnonzero(self.free)
-        own = score[left]
+        t = self.terms[seed]
+        rows = self.row[t]
+        score = self.dense[rows[rows >= 0]].sum(axis=0)
+        t = t[rows < 0]
+        a, n = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
+        at = np.repeat(a - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        score = score + np.bincount(self.doc[at], self.weight[at], len(self.docs))
+        left = np.flatnonzero(self.free[self.docs])
+        own, left = score[left], self.docs[left]
         for most in (64, len(left)):  # a few are enough as a rule
             best = left if most >= len(left) else left[own >= np.partition(own, len(own) - most)[len(own) - most]]
-            order = best[np.argsort(-score[best], kind="stable")]
+            order = best[np.argsort(-score[self.place[best]], kind="stable")]
             reached = np.cumsum(tokens[order])
             if most >= len(left) or reached[-1] >= need:
                 break
@@ -210,13 +263,14 @@ def _fill(texts: list[np.ndarray], idf: np.ndarray, mean: float) -> list[tuple[i
             seed = next((i for i in seeds if shard.free[i]), None)
             if seed is None:
                 return out
-            cut, shard.free[seed] = (seed, 0), False
+            cut = (seed, 0)
+            shard.use(seed)
         doc, at = cut
         queue, cut = [(doc, at)], None
         near = shard.neighbours(doc, sizes, WINDOW)
         while filled < WINDOW and (queue or (nxt := next(near, None)) is not None):
             i, at = queue.pop() if queue else (nxt, 0)
-            shard.free[i] = False
+            shard.use(i)
             n = min(WINDOW - filled, int(sizes[i]) - at)
             out.append((i, at, n, sequence, filled))
             filled += n
@@ -242,7 +296,7 @@ def packed(docs: DataFrame, path: str | None = None, text: str = "text", key: st
     cut = written(rows.mapInArrow(_cut(path), _SCHEMA), "packing")
     # Bounded by the vocabulary, whatever the corpus: one number a token id.
     counts = {r["doc_id"]: r["n"] for r in cut.where(F.col("kind") == _COUNT_ROW).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
-    n, total = counts.pop(-1, 0), counts.pop(-2, 0)
+    n, total, rests = (counts.pop(k, 0) for k in (-1, -2, -3))
     idf = np.zeros(_IDS, np.float32)
     if counts:
         df = np.array(list(counts.values()), float)
@@ -275,9 +329,12 @@ def packed(docs: DataFrame, path: str | None = None, text: str = "text", key: st
         if held:
             yield done()
 
-    rest = cut.where(F.col("kind") == _REST_ROW).select("doc_id", "start", "doc_tokens", "ids", "sketch", F.xxhash64("doc_id", "start", "ids").alias("tie"))
-    # Ties of the sketch, such as a large group of copies, are split by a hash of the row.
-    dealt = rest.repartitionByRange(max(1, round(n / SHARD)), "sketch", "tie").sortWithinPartitions("sketch", "tie")
+    rest = cut.where(F.col("kind") == _REST_ROW).select("doc_id", "start", "doc_tokens", "ids")
+    rest = rest.mapInArrow(_sketched(table), "doc_id long, start long, doc_tokens long, ids binary, sketch long").withColumn("tie", F.xxhash64("doc_id", "start", "ids"))
+    # Tasks by bytes, no more than the session's partitions as long as these are small enough. Ties of the sketch, such as a large group of copies, are split by a hash of the row.
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(usual, round(n / SHARD)), -(-2 * rests // TASK_BYTES))
+    dealt = rest.repartitionByRange(tasks, "sketch", "tie").sortWithinPartitions("sketch", "tie")
     pieces = dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(shards, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long, offset long")
     pieces = pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", ((F.spark_partition_id().cast("long") * (1 << 33) + F.col("number")) * 2 + 1).alias("sequence_id"), "offset")
     return windows.unionByName(pieces)
