@@ -64,20 +64,21 @@ def delaunay(points: DataFrame, tile: float, halo: float) -> DataFrame:
     return keyed.groupBy("tx", "ty").applyInPandas(one, "a long, b long").distinct()
 
 
-def within_reach(edges: DataFrame, limit: float, rounds: int = 32) -> DataFrame:
+def within_reach(edges: DataFrame, limit: float) -> DataFrame:
     """(source, node, dist): nodes no farther than ``limit`` along edges (a, b, length), sources left out.
 
-    Each round extends only distances that the last one found or shortened, and keeps the least per pair.
+    Each round extends only distances that the last one found or shortened, and keeps the least per pair; it ends
+    when a round shortens none. Edges of negative, infinite or no length are an error.
     """
+    if not edges.where(F.col("length").isNull() | F.isnan("length") | (F.col("length") < 0)).isEmpty():
+        raise ValueError("an edge without a length of 0 or more")
     both = edges.select("a", "b", "length").union(edges.select("b", "a", "length"))
     best = both.where(F.col("length") <= limit).groupBy(F.col("a").alias("source"), F.col("b").alias("node")).agg(F.min("length").alias("dist")).where("source <> node").checkpoint()
     front = best
-    for _ in range(rounds):
+    while not front.isEmpty():
         step = front.join(both, front["node"] == both["a"]).where((F.col("dist") + F.col("length") <= limit) & (F.col("source") != F.col("b")))
         step = step.groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("length")).alias("near"))
         front = step.join(best, ["source", "node"], "left").where("dist is null or near < dist").select("source", "node", F.col("near").alias("dist")).checkpoint()
-        if front.isEmpty():
-            break
         best = best.unionByName(front).groupBy("source", "node").agg(F.min("dist").alias("dist")).checkpoint()
     return best
 

@@ -74,26 +74,28 @@ def nearest_within(points: DataFrame, targets: DataFrame, limit: float) -> DataF
 def knn(points: DataFrame, k: int, cell: float) -> DataFrame:
     """(id, other, dist, rank): exactly the k nearest other points (ties to the smaller id).
 
-    Rings of cells are searched until k are found within the ring's safe distance; points that are done leave the
-    search, so each round joins fewer.
+    Each point looks into the nine cells about it and is done when k are found within a cell's width; for those
+    that aren't, cells get twice as wide, so an outlier costs a round for each doubling and never a flood of
+    cells. Points without finite coordinates are left out, and of an id that is repeated the smallest point counts.
     """
-    n = points.count()
-    k = min(k, max(n - 1, 0))
-    p = points.select("id", "x", "y").withColumns({"kx": F.floor(F.col("x") / cell), "ky": F.floor(F.col("y") / cell)})
-    others = p.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "kx", "ky")
-    todo, reach, done = p, 1, None
+    number = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))  # noqa: E731  (NaN is above infinity)
+    own = points.where(number("x") & number("y")).groupBy("id").agg(F.min(F.struct("x", "y")).alias("p"))
+    p = own.select("id", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y")).checkpoint()
+    k = min(k, max(p.count() - 1, 0))
+    spread = F.explode(F.array(*[F.lit(v) for v in (-1, 0, 1)]))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    todo, done = p, None
     while k and not todo.isEmpty():
-        span = F.sequence(F.lit(-reach), F.lit(reach))
-        seek = todo.withColumn("i", F.explode(span)).withColumn("j", F.explode(span)).withColumns({"kx": F.col("kx") + F.col("i"), "ky": F.col("ky") + F.col("j")})
-        dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+        others = p.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.floor(F.col("x") / cell).alias("kx"), F.floor(F.col("y") / cell).alias("ky"))
+        seek = todo.withColumn("i", spread).withColumn("j", spread).withColumns({"kx": F.floor(F.col("x") / cell) + F.col("i"), "ky": F.floor(F.col("y") / cell) + F.col("j")})
         pairs = seek.join(others, ["kx", "ky"]).where("id <> other").select("id", "other", F.sqrt(dx * dx + dy * dy).alias("dist"))
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "other"))).where(F.col("rank") <= k)
-        sure = ranked.groupBy("id").agg(F.count("*").alias("n"), F.max("dist").alias("far")).where((F.col("n") == k) & (F.col("far") <= reach * cell)).select("id")
+        sure = ranked.groupBy("id").agg(F.count("*").alias("n"), F.max("dist").alias("far")).where((F.col("n") == k) & (F.col("far") <= cell)).select("id")
         found = ranked.join(sure, "id", "left_semi").checkpoint()
         done = found if done is None else done.unionByName(found)
-        todo = todo.join(sure, "id", "left_anti").checkpoint()
-        reach *= 2
-    return done if done is not None else points.select("id", F.col("id").alias("other"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).where("false")
+        todo = todo.join(found.select("id").distinct(), "id", "left_anti").checkpoint()
+        cell *= 2
+    return done if done is not None else p.select("id", F.col("id").alias("other"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).where("false")
 
 
 def contiguity(shapes: DataFrame) -> DataFrame:

@@ -137,10 +137,10 @@ def building_heights(spark, d):
     return buildings.process_heights(bld(spark, d)).select("id", F.round("hauteur", 6).alias("hauteur"), "height_source", "noHauteur")
 
 
-@query(f"WITH {BLD}, z AS (SELECT id, CASE WHEN id % 3 = 0 THEN 0e0 ELSE hauteur END AS hauteur FROM bld WHERE id % 4 = 0) SELECT id, hauteur FROM z WHERE hauteur > 0")
+@query(f"WITH {BLD}, z AS (SELECT id, CASE WHEN id % 3 = 0 THEN 0e0 ELSE hauteur END AS hauteur, nombre_d_etages, hauteur_2, w, l FROM bld), m AS (SELECT coalesce(sum(w * l * hauteur) / nullif(sum(CASE WHEN hauteur IS NOT NULL THEN w * l END), 0), 0e0) AS mean FROM z), f AS (SELECT id, round(coalesce(hauteur, nombre_d_etages * 3e0, hauteur_2, mean), 6) AS hauteur FROM z, m) SELECT id, hauteur FROM f WHERE hauteur > 0")
 def building_heights_strict(spark, d):
-    rows = bld(spark, d).where("id % 4 = 0").withColumn("hauteur", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("hauteur")))
-    return buildings.process_heights(rows, strict_positive=True).select("id", "hauteur")
+    rows = bld(spark, d).withColumn("hauteur", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("hauteur")))
+    return buildings.process_heights(rows, strict_positive=True).select("id", F.round("hauteur", 6).alias("hauteur"))
 
 
 @query(f"WITH {BLD} SELECT round({_MEAN}, 8) AS mean_height")
@@ -189,7 +189,7 @@ def roughness(spark, d):
 
 _PROFILE = W.Profile("power", 10.0, 0.5)
 _PIX = "pix AS (SELECT CAST(r AS INT) AS \"row\", CAST(c AS INT) AS col, c * 5e0 + 0.37e0 AS x, 299.79e0 - r * 5e0 AS y, CAST((r * 7 + c * 3) % 20 AS DOUBLE) AS z FROM range(60) a(r), range(80) b(c))"
-_ZONES = f"""WITH {_EXT.replace('FROM part)', 'FROM part WHERE p_partkey % 50 < 13 AND p_partkey < 500)')}, {_PIX},
+_ZONES = f"""WITH {_EXT}, {_PIX},
 rel AS (SELECT p."row", p.col, p.z, b.*, (p.x - cx) * cos({_A}) + (p.y - cy) * sin({_A}) AS al, (p.y - cy) * cos({_A}) - (p.x - cx) * sin({_A}) AS cr, 3 * lr AS lw FROM pix p, len b),
 dd AS (SELECT *, -(al + l / 2) AS up, al - l / 2 AS dn, cr / (w / 2) AS sd, pow(z / 10e0, 0.24e0) AS here0, pow(greatest(z, 0.01e0) / 10e0, 0.24e0) AS here, pow(greatest(h, 0.01e0) / 10e0, 0.24e0) AS roof FROM rel),
 zz AS (SELECT *, CASE WHEN abs(al) <= l / 2 AND abs(cr) <= w / 2 THEN 1
@@ -211,30 +211,30 @@ def _pixels(spark):
     return spark.range(60 * 80).select(r.cast("int").alias("row"), c.cast("int").alias("col"), (c * 5.0 + 0.37).alias("x"), (F.lit(299.79) - r * 5.0).alias("y"), ((r * 7 + c * 3) % 20).cast("double").alias("z"))
 
 
-def _few(spark, d):
-    return buildings.wind_extents(bld(spark, d).where("id % 50 < 13 and id < 500"), _DIR)
+def _extents(spark, d):
+    return buildings.wind_extents(bld(spark, d), _DIR)
 
 
 @query(f"{_ZONES} SELECT \"row\", col, id, CAST(zone AS INT) AS zone, round(factor, 6) AS factor FROM ff WHERE zone <> 0")
 def rockle_zones(spark, d):
-    hits = wind.with_factors(wind.near_pairs(_pixels(spark), _few(spark, d), _DIR), _PROFILE)
+    hits = wind.with_factors(wind.near_pairs(_pixels(spark), _extents(spark, d), _DIR), _PROFILE)
     return hits.select("row", "col", F.col("b.id").alias("id"), "zone", F.round("factor", 6).alias("factor"))
 
 
-@query(f"{_ZONES}, best AS (SELECT \"row\", col, arg_min(zone, struct_pack(f := factor, i := id)) AS zone FROM ff WHERE zone <> 0 GROUP BY 1, 2) SELECT p.\"row\", p.col, CAST(coalesce(zone, 0) AS INT) AS zone FROM pix p LEFT JOIN best b ON b.\"row\" = p.\"row\" AND b.col = p.col")
+@query(f"{_ZONES}, best AS (SELECT DISTINCT ON (\"row\", col) \"row\", col, zone FROM ff WHERE zone <> 0 ORDER BY \"row\", col, factor, id) SELECT p.\"row\", p.col, CAST(coalesce(zone, 0) AS INT) AS zone FROM pix p LEFT JOIN best b ON b.\"row\" = p.\"row\" AND b.col = p.col")
 def zone_raster(spark, d):
-    return wind.zone_raster(_pixels(spark), _few(spark, d), _DIR, _PROFILE)
+    return wind.zone_raster(_pixels(spark), _extents(spark, d), _DIR, _PROFILE)
 
 
 @query(f"""{_ZONES}, m AS (SELECT "row", col, any_value(z) AS z, min(factor) AS f, bool_or(zone <> 0) AS hit FROM ff GROUP BY 1, 2)
   SELECT "row", col, round(CASE WHEN NOT hit OR f > 1 THEN pow(greatest(z, 0.1e0) / 10e0, 0.24e0) ELSE greatest(f, 0e0) END * 3e0, 6) AS speed, 225e0 AS direction FROM m""")
 def wind_field_2d(spark, d):
-    return wind.wind_field_2d(_pixels(spark), _few(spark, d), _DIR, _PROFILE, 3.0).withColumn("speed", F.round("speed", 6))
+    return wind.wind_field_2d(_pixels(spark), _extents(spark, d), _DIR, _PROFILE, 3.0).withColumn("speed", F.round("speed", 6))
 
 
 @query(f"{_ZONES} SELECT DISTINCT \"row\", col FROM ff WHERE zone IN (4, 5)")
 def wake_exists(spark, d):
-    return wind.in_wake(_pixels(spark), _few(spark, d), _DIR).select("row", "col")
+    return wind.in_wake(_pixels(spark), _extents(spark, d), _DIR).select("row", "col")
 
 
 @query(f"WITH {WEATHER} SELECT event_id, round(wdir * cos(radians(30e0)) + 7e0 * sin(radians(30e0)), 6) AS along, round(7e0 * cos(radians(30e0)) - wdir * sin(radians(30e0)), 6) AS cross_, round(wdir, 6) AS back FROM weather")
@@ -460,10 +460,10 @@ def nearest_street(spark, d):
     return spatialjoin.nearest_within(rows, targets, 100.0).withColumn("dist", F.round("dist", 6))
 
 
-@query(f"""WITH {BLD}, c AS (SELECT id, x0 + w / 2 AS x, y0 + l / 2 AS y FROM bld WHERE id % 5 = 0), p AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM c a, c b WHERE a.id <> b.id),
+@query(f"""WITH {BLD}, c AS (SELECT id, x0 + w / 2 AS x, y0 + l / 2 AS y FROM bld), p AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM c a, c b WHERE a.id <> b.id),
   r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS rank FROM p) SELECT id, other, round(dist, 6) AS dist, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def knn_buildings(spark, d):
-    rows = bld(spark, d).where("id % 5 = 0").select("id", (F.col("x0") + F.col("bw") / 2).alias("x"), (F.col("y0") + F.col("bl") / 2).alias("y"))
+    rows = bld(spark, d).select("id", (F.col("x0") + F.col("bw") / 2).alias("x"), (F.col("y0") + F.col("bl") / 2).alias("y"))
     return spatialjoin.knn(rows, 5, 150.0).withColumn("dist", F.round("dist", 6))
 
 
@@ -556,10 +556,10 @@ def burn_trees(spark, d):
     return mapalgebra.burn_trees(base, _trees(spark, d), GRID).select("row", "col", F.round("cdsm", 6).alias("cdsm"))
 
 
-@query(f"""WITH {BLD}, g AS (SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM range(25) a(r), range(50) b(c)), s AS (SELECT id, CAST((id * 13) % 180 AS DOUBLE) AS sx, CAST((id * 17) % 80 AS DOUBLE) AS sy, w, l FROM bld WHERE id % 10 = 0)
+@query(f"""WITH {BLD}, g AS (SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM range(25) a(r), range(50) b(c)), s AS (SELECT id, CAST((id * 13) % 180 AS DOUBLE) AS sx, CAST((id * 17) % 80 AS DOUBLE) AS sy, w, l FROM bld)
   SELECT g."row", g.col, CAST(coalesce(arg_max(id % 7 + 1, id), 0) AS INT) AS value FROM g LEFT JOIN s ON col * 4e0 + 2 >= sx AND col * 4e0 + 2 < sx + w AND 100 - "row" * 4e0 - 2 >= sy AND 100 - "row" * 4e0 - 2 < sy + l GROUP BY 1, 2""")
 def rasterize_last_wins(spark, d):
-    rows = bld(spark, d).where("id % 10 = 0").withColumns({"sx": (F.col("id") * 13 % 180).cast("double"), "sy": (F.col("id") * 17 % 80).cast("double")})
+    rows = bld(spark, d).withColumns({"sx": (F.col("id") * 13 % 180).cast("double"), "sy": (F.col("id") * 17 % 80).cast("double")})
     ring = G.rectangle(F.col("sx"), F.col("sy"), F.col("sx") + F.col("bw"), F.col("sy") + F.col("bl"))
     return mapalgebra.rasterize(rows.select(ring.alias("ring"), (F.col("id") % 7 + 1).alias("value"), F.col("id").alias("ord")), GRID)
 
@@ -691,10 +691,10 @@ def _edges(spark, d):
 
 
 def _areas(spark, d):
-    return read(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("id"), F.abs("c_acctbal").alias("area"))
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.abs("c_acctbal").alias("area"))
 
 
-_BOTH = f"e AS ({_EDGES}), n AS (SELECT a AS id, b AS o FROM e UNION ALL SELECT b, a FROM e), v AS (SELECT c_custkey AS id, abs(c_acctbal) AS area FROM customer WHERE c_custkey < 300)"
+_BOTH = f"e AS ({_EDGES}), n AS (SELECT a AS id, b AS o FROM e UNION ALL SELECT b, a FROM e), v AS (SELECT c_custkey AS id, abs(c_acctbal) AS area FROM customer)"
 
 
 @query(f"WITH {_BOTH} SELECT id, count(*) AS degree FROM n GROUP BY 1")
@@ -723,11 +723,17 @@ def shape_measures(spark, d):
     return urban.shape_measures(bld(spark, d).select("id", "ring")).select("id", *[F.round(c, 6).alias(c) for c in ("area", "perimeter", "elongation", "eri")])
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), l AS (SELECT a, b, (a * 7 + b * 3) % 90 + 10e0 AS len FROM e UNION ALL SELECT b, a, (a * 7 + b * 3) % 90 + 10e0 FROM e),
+  w(source, node, dist) AS (SELECT a, b, len FROM l WHERE len <= 120 UNION SELECT w.source, l.b, w.dist + l.len FROM w JOIN l ON l.a = w.node WHERE w.dist + l.len <= 120 AND l.b <> w.source),
+  r AS (SELECT source, node, min(dist) AS dist FROM w WHERE source <> node GROUP BY 1, 2), c AS (SELECT source, count(*) AS n, sum(dist) AS total FROM r GROUP BY 1),
+  own AS (SELECT source, node FROM r UNION SELECT source, source FROM r), v AS (SELECT source, count(*) AS v FROM own GROUP BY 1),
+  k AS (SELECT x.source, count(*) AS k FROM e JOIN own x ON x.node = e.a JOIN own y ON y.node = e.b AND y.source = x.source GROUP BY 1)
+  SELECT source AS node, round(n / total * n / 299e0, 9) AS closeness, round((coalesce(k, 0) - v + 1) / (2e0 * v - 5), 9) AS meshedness FROM c JOIN v USING (source) LEFT JOIN k USING (source)""")
 def street_closeness(spark, d):
     edges = _edges(spark, d).withColumn("length", (F.col("a") * 7 + F.col("b") * 3) % 90 + 10.0)
     reach = graphs.within_reach(edges, 120.0)
-    return graphs.closeness(reach, 300).join(graphs.meshedness(reach, edges), "node")
+    out = graphs.closeness(reach, 300).join(graphs.meshedness(reach, edges), "node")
+    return out.select("node", F.round("closeness", 9).alias("closeness"), F.round("meshedness", 9).alias("meshedness"))
 
 
 @query()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from urllib.parse import quote
+from xml.etree import ElementTree
 
 from ..core import BBox
 
@@ -31,10 +33,28 @@ def wms_url(layer: str, box: BBox, key: str, res: float = 1.0) -> str:
     return f"{WMS_RASTER}?LAYERS={layer}&FORMAT=image/geotiff&SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&STYLES=&CRS=EPSG:4326&BBOX={','.join(f'{s:g}' if s == int(s) else repr(s) for s in sides)}&WIDTH={w}&HEIGHT={h}"
 
 
-def bbox_filter_xml(box: BBox, geometry: str = "geometrie") -> str:
-    return (
-        f"<Filter><BBOX><PropertyName>{geometry}</PropertyName><gml:Box><gml:coordinates>{box.min_y},{box.min_x} {box.max_y},{box.max_x}</gml:coordinates></gml:Box></BBOX></Filter>"
-    )
+# Namespaces and names of the filter that the services read.
+OGC, GML = "http://www.opengis.net/ogc", "http://www.opengis.net/gml"
+
+
+def bbox_filter_xml(box: BBox, geometry: str = "Geometry", srs: str = "EPSG:4326") -> str:
+    """A filter of the features in a box; latitude comes first in its corners."""
+    ElementTree.register_namespace("ogc", OGC)
+    ElementTree.register_namespace("gml", GML)
+    top = ElementTree.Element(f"{{{OGC}}}Filter")
+    inside = ElementTree.SubElement(top, f"{{{OGC}}}Bbox")
+    ElementTree.SubElement(inside, f"{{{OGC}}}PropertyName").text = geometry
+    envelope = ElementTree.SubElement(inside, f"{{{GML}}}Envelope", srsName=srs)
+    for name, (x, y) in {"lowerCorner": (box.min_x, box.min_y), "upperCorner": (box.max_x, box.max_y)}.items():
+        ElementTree.SubElement(envelope, f"{{{GML}}}{name}").text = f"{plain_number(y)} {plain_number(x)}"
+    return ElementTree.tostring(top, encoding="unicode")
+
+
+def plain_number(value: float) -> str:
+    """A number as text without a needless fraction or exponent: 12 and not 12.0."""
+    if value != value or math.isinf(value):
+        return "NaN" if value != value else "inf" if value > 0 else "-inf"
+    return format(Decimal(repr(float(value))).normalize(), "f") if value else "-0" if math.copysign(1, value) < 0 else "0"
 
 
 def wfs_url(base: str, layer: str, box: BBox | None = None, cql: str | None = None, limit: int = WFS_CAP) -> str:
