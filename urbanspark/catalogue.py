@@ -1,5 +1,6 @@
 """Registered queries and their SQL."""
 
+from .plans import more  # noqa: F401  (registers its queries)
 from .plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -46,6 +46,10 @@ def _cross(e: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
+    return bound(ring, _signed_area)
+
+
+def _signed_area(ring: Column) -> Column:
     return F.when(F.size(ring) > 2, _sum(_edges(ring), _cross) / 2).otherwise(0.0)
 
 
@@ -70,6 +74,10 @@ def _centroid(ring: Column) -> Column:
 
 def vertex_mean(ring: Column) -> Column:
     """Mean of the vertices, the closing one left out."""
+    return bound(ring, _vertex_mean)
+
+
+def _vertex_mean(ring: Column) -> Column:
     n = F.greatest(F.size(ring) - 1, F.lit(1))
     open_ring = F.slice(ring, F.lit(1), n)
     return point(_sum(open_ring, lambda p: p["x"]) / n, _sum(open_ring, lambda p: p["y"]) / n)
@@ -82,7 +90,10 @@ def envelope(ring: Column) -> Column:
 
 def circumscribed_radius(ring: Column) -> Column:
     """The farthest vertex from the centre of the envelope."""
-    e = envelope(ring)
+    return bound(F.struct(ring.alias("ring"), envelope(ring).alias("e")), lambda v: _farthest(v["ring"], v["e"]))
+
+
+def _farthest(ring: Column, e: Column) -> Column:
     cx, cy = (e["min_x"] + e["max_x"]) / 2, (e["min_y"] + e["max_y"]) / 2
     return F.array_max(F.transform(ring, lambda p: F.sqrt((p["x"] - cx) * (p["x"] - cx) + (p["y"] - cy) * (p["y"] - cy))))
 

@@ -122,3 +122,42 @@ def cache_name(url: Column) -> Column:
 
 def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
+
+
+HEIGHT_COLUMNS = ["hauteur", "height", "HAUTEUR", "h_mean", "Hauteur", "H"]
+
+
+def ensure_height(rows: DataFrame, candidates: list[str] = HEIGHT_COLUMNS, name: str = "hauteur") -> DataFrame:
+    """The first of the candidate columns that the table has, as ``name``; an error if it has none."""
+    found = next((c for c in candidates if c in rows.columns), None)
+    if found is None:
+        raise ValueError(f"none of the columns {', '.join(candidates)}")
+    return rows if found == name else rows.withColumn(name, F.col(f"`{found}`"))
+
+
+def without_times(rows: DataFrame) -> DataFrame:
+    """The table without columns of dates and times."""
+    return rows.select(*[F.col(f"`{n}`") for n, t in rows.dtypes if t not in ("date", "timestamp", "timestamp_ntz")])
+
+
+def numbered_subset(rows: DataFrame, column: str, wanted: list, order: str, name: str = "uniqueid") -> DataFrame:
+    """Rows whose column is one of ``wanted``, numbered from 1 in an order.
+
+    Numbers run within ranges of the order, each after the rows of the ranges before it, so no task sees all rows.
+    """
+    ranged = rows.where(F.col(column).isin(wanted)).repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()).checkpoint()
+    before = ranged.groupBy("__part").count()
+    before = before.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))  # a row a task
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return ranged.withColumn("__within", within).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__within")).drop("__part", "__before", "__within")
+
+
+def newest(rows: DataFrame, name: str = "name") -> DataFrame:
+    """The row with the greatest file name."""
+    return rows.groupBy().agg(F.max(F.struct(name, *[c for c in rows.columns if c != name])).alias("r")).select("r.*").where(F.col(name).isNotNull())
+
+
+def number_text(x: Column) -> Column:
+    """A number as text without a needless fraction or exponent, up to 12 digits after the point."""
+    text = F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    return F.when(x == 0, F.lit("0")).when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(text)

@@ -174,3 +174,32 @@ def wms_size(box: DataFrame, cap: int = 5010, res: float = 1.0) -> DataFrame:
     fit = lambda v: F.when(scale > 1, F.greatest(F.floor(v / scale), F.lit(1))).otherwise(v).cast("int")
     return box.withColumns({"width_px": fit(w), "height_px": fit(h)})
 
+
+def class_histogram(cells: DataFrame, value: str = "value") -> DataFrame:
+    """value, n: how many cells each class has; cells without one count as a class of their own."""
+    return cells.groupBy(value).agg(F.count("*").alias("n"))
+
+
+def filled_share(before: Column, after: Column, nodata: float = -9999.0) -> tuple[Column, Column]:
+    """Aggregates: how many cells without a value got one, and their share of all."""
+    gained = F.count_if(_bad(before, nodata) & ~_bad(after, nodata))
+    return gained, gained / F.count("*")
+
+
+def canopy_band(raster: DataFrame, bands: list[str], nodata: float = -9999.0) -> Column:
+    """The third of at least three bands, else the first; nodata is null."""
+    band = F.col(bands[2] if len(bands) > 2 else bands[0])
+    return F.when(~_bad(band, nodata), band)
+
+
+def class_colour(cells: DataFrame, colours: DataFrame, key: str, default: str) -> DataFrame:
+    """Cells with the colour of their class from a small table (key, colour); unknown classes have the default."""
+    return cells.join(F.broadcast(colours.select(key, "colour")), key, "left").withColumn("colour", F.coalesce("colour", F.lit(default)))
+
+
+def domain_square(box: DataFrame, half: float | None = None) -> DataFrame:
+    """Boxes (min_x ... max_y) as they are, or the square of a half side about their centres."""
+    if half is None:
+        return box
+    cx, cy = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
+    return box.withColumns({"min_x": cx - half, "min_y": cy - half, "max_x": cx + half, "max_y": cy + half})

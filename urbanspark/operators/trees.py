@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import Grid
+from ..functions import geometry as G
+from .polygons import in_any
+from .spatialjoin import thin
 
 
 def cleaned(canopy: DataFrame) -> DataFrame:
@@ -73,3 +76,20 @@ def crowns(canopy: DataFrame, grid: Grid, min_height: float = 2.0, distance: int
         return pd.DataFrame(rows, columns=["H", "D", "LAI", "x", "y"], dtype=float)
 
     return cells.groupBy("ti", "tj").applyInPandas(one, "H double, D double, LAI double, x double, y double")
+
+
+#: Classes of a canopy model where none are named: ground and three heights of vegetation.
+CANOPY_CLASSES = (2, 3, 4, 5)
+
+
+def not_taller(trees: DataFrame, most: float, height: str = "H") -> DataFrame:
+    return trees.where(F.col(height) <= most)
+
+
+def crown_circles(trees: DataFrame, most: float, spacing: float, mask: DataFrame | None = None) -> DataFrame:
+    """Trees (id, x, y, H, D) no taller than ``most``, in the mask's shapes (ring) if there is one, thinned from the tallest down; ring is the crown's circle."""
+    rows = not_taller(trees, most)
+    if mask is not None:
+        rows = in_any(rows, mask)
+    kept = thin(rows.select("id", "x", "y", F.col("H").alias("height")), spacing)
+    return rows.join(kept.select("id"), "id", "left_semi").withColumn("ring", G.circle(F.col("x"), F.col("y"), F.col("D") / 2))

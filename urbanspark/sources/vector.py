@@ -150,5 +150,5 @@ def read_dxf(spark: SparkSession, path: str) -> DataFrame:
 
 def layer_polygon(layer: Column, ring: Column) -> Column:
     """A tree layer's shape becomes a circle about its vertices' mean, as wide as the farthest vertex is from its box's centre; others stay."""
-    c = G.vertex_mean(ring)
-    return F.when(layer.contains("ENON-arbres"), G.circle(c["x"], c["y"], G.circumscribed_radius(ring))).otherwise(ring)
+    about = lambda r: G.bound(F.struct(G.vertex_mean(r).alias("c"), G.circumscribed_radius(r).alias("radius")), lambda v: G.circle(v["c"]["x"], v["c"]["y"], v["radius"]))
+    return G.bound(ring, lambda r: F.when(layer.contains("ENON-arbres"), about(r)).otherwise(r))
