@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, maybe_broadcast, numbered, text_bytes, written
+from .common import chunks, fresh, maybe_broadcast, numbered, text_bytes, tidy, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -40,7 +40,7 @@ def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 
     t = docs[f"`{text}`"]
     rows = docs.select(docs[f"`{key}`"].alias("doc_id"), docs[f"`{source}`"].alias("source"), t.alias("text"), F.xxhash64(t, docs[f"`{source}`"]).alias("salt"), (docs[f"`{row}`"] if row else F.lit(0).cast("long")).alias("row"))
-    return rows.mapInArrow(run, "doc_id long, source string, size long, salt long, row long")
+    return rows.mapInArrow(tidy(run), "doc_id long, source string, size long, salt long, row long")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, maybe_broadcast, numbered, text_bytes, written
+from .common import chunks, fresh, maybe_broadcast, numbered, text_bytes, tidy, written
 from .components import connected_components
 
 SHINGLE, SEED = 5, 42
@@ -161,7 +161,7 @@ def near_components(rows: DataFrame, row: str) -> DataFrame:
 
     Components are those of all pairs with a similarity of 0.8 or more; texts without words are alike.
     """
-    small = written(rows.select(F.col(f"`{row}`").alias("row"), "doc_id", "text").mapInArrow(_sketches, "row long, doc_id long, hash binary, same binary, bands array<long>"), "near-sketches")
+    small = written(rows.select(F.col(f"`{row}`").alias("row"), "doc_id", "text").mapInArrow(tidy(_sketches), "row long, doc_id long, hash binary, same binary, bands array<long>"), "near-sketches")
     # Texts of one set are one node, named by its smallest row.
     nodes = small.groupBy("same").agg(F.min("row").alias("node"))
     named = written(small.select("row", "doc_id", "hash", "same").join(nodes, "same").drop("same"), "near-nodes")
@@ -170,7 +170,7 @@ def near_components(rows: DataFrame, row: str) -> DataFrame:
     files = written(filed.groupBy("n", "key").agg(F.count("*").alias("members")).where("members > 1").select("n", "key"), "near-files")
     members = written(filed.join(maybe_broadcast(files), ["n", "key"], "left_semi"), "near-members")
     meant = maybe_broadcast(written(members.select(F.col("node").alias(row)).distinct(), "near-meant"))
-    sets = written(rows.select(f"`{row}`", "text").join(meant, row, "left_semi").mapInArrow(_sets, "node long, own array<long>, fp binary"), "near-sets")
+    sets = written(rows.select(f"`{row}`", "text").join(meant, row, "left_semi").mapInArrow(tidy(_sets), "node long, own array<long>, fp binary"), "near-sets")
     # Shingles that a single text has; with more than a fifth of them it has no near copy.
     lone = sets.select("node", F.explode("own").alias("x")).groupBy("x").agg(F.count("*").alias("texts"), F.min("node").alias("node")).where("texts = 1")
     lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
@@ -187,7 +187,7 @@ def near_components(rows: DataFrame, row: str) -> DataFrame:
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         cut = cut.select("n", "key", F.least("side", "other").alias("c"), F.greatest("side", "other").alias("d"), "node", "root", "side", "core")
         whole = cut.join(sets, "node").select("n", "key", "c", "d", "node", "root", "side", "core", "own", "fp")
-        found = whole.repartition("n", "key", "c", "d").sortWithinPartitions("n", "key", "c", "d").mapInArrow(_linked, "a long, b long")
+        found = whole.repartition("n", "key", "c", "d").sortWithinPartitions("n", "key", "c", "d").mapInArrow(tidy(_linked), "a long, b long")
         found = written(found, "near-links")
         links = found if links is None else links.union(found)
         roots = connected_components(links)

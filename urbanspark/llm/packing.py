@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, plain_columns, written
+from .common import chunks, plain_columns, tidy, written
 
 WINDOW = 2048
 END_ID = 1
@@ -34,7 +34,7 @@ COMMON = 8
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: Bytes of words a worker remembers the ids of, each counted as its characters and _EACH.
-_REMEMBER, _EACH = 56 << 20, 120
+_REMEMBER, _EACH = 40 << 20, 120
 #: Ids below this are counted in tables; a tokenizer with more needs wider pieces.
 _IDS = 1 << 16
 
@@ -293,7 +293,7 @@ def packed(docs: DataFrame, path: str | None = None, text: str = "text", key: st
 
         path = public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(docs[f"`{key}`"].alias("doc_id"), docs[f"`{text}`"].alias("text"))
-    cut = written(rows.mapInArrow(_cut(path), _SCHEMA), "packing")
+    cut = written(rows.mapInArrow(tidy(_cut(path)), _SCHEMA), "packing")
     # Bounded by the vocabulary, whatever the corpus: one number a token id.
     counts = {r["doc_id"]: r["n"] for r in cut.where(F.col("kind") == _COUNT_ROW).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     n, total, rests = (counts.pop(k, 0) for k in (-1, -2, -3))
@@ -330,12 +330,12 @@ def packed(docs: DataFrame, path: str | None = None, text: str = "text", key: st
             yield done()
 
     rest = cut.where(F.col("kind") == _REST_ROW).select("doc_id", "start", "doc_tokens", "ids")
-    rest = rest.mapInArrow(_sketched(table), "doc_id long, start long, doc_tokens long, ids binary, sketch long").withColumn("tie", F.xxhash64("doc_id", "start", "ids"))
+    rest = rest.mapInArrow(tidy(_sketched(table)), "doc_id long, start long, doc_tokens long, ids binary, sketch long").withColumn("tie", F.xxhash64("doc_id", "start", "ids"))
     # Tasks by bytes, no more than the session's partitions as long as these are small enough. Ties of the sketch, such as a large group of copies, are split by a hash of the row.
     usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(usual, round(n / SHARD)), -(-2 * rests // TASK_BYTES))
     dealt = rest.repartitionByRange(tasks, "sketch", "tie").sortWithinPartitions("sketch", "tie")
-    pieces = dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(shards, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long, offset long")
+    pieces = dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(tidy(shards), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long, offset long")
     pieces = pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", ((F.spark_partition_id().cast("long") * (1 << 33) + F.col("number")) * 2 + 1).alias("sequence_id"), "offset")
     return windows.unionByName(pieces)
 

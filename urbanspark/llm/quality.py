@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, plain_columns, text_bytes, written
+from .common import chunks, plain_columns, text_bytes, tidy, written
 
 #: Features of the scorer, and documents it is trained on, at most.
 BUCKETS, SAMPLE = 1 << 12, 6000
@@ -229,7 +229,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts every document's votes; trains on ``sample`` distinct texts at most, chosen by a hash. The driver gets the patterns, 3**8 at most, and the sample's features."""
     only = plain_columns(docs, "text")
-    rows = only.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    rows = only.mapInArrow(tidy(_patterns), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counts = {r["pattern"]: r["n"] for r in rows}
     posterior, accuracy = expectation_maximisation(counts)
     # A bottom-k sample of distinct texts by hash: copies count once, and the bound holds whatever the texts are.
@@ -241,7 +241,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Model:
         ticked = few if few.select("tick").distinct().limit(sample).count() == sample else ticked  # many copies: look at all
     ticks = ticked.select("tick", F.pmod("tick", F.lit(1 << 30)).alias("order")).distinct().orderBy("order", "tick").limit(sample).select("tick")
     texts = ticked.join(F.broadcast(ticks), "tick").groupBy("tick").agg(F.first("text").alias("text")).select("text")
-    drawn = written(texts.mapInArrow(_examples, "pattern long, cols array<int>, vals array<double>"), "quality-sample")
+    drawn = written(texts.mapInArrow(tidy(_examples), "pattern long, cols array<int>, vals array<double>"), "quality-sample")
     examples = [(r["cols"], r["vals"], posterior.get(r["pattern"], 0.5)) for r in drawn.collect()]
     return Model(trained(examples), posterior, accuracy)
 
@@ -287,4 +287,4 @@ def quality_filter(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEE
                 score, _ = _scores(text_bytes(batch), weights)
                 yield batch.filter(pa.array(score >= keep_from)).rename_columns(whole.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
