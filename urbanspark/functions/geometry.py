@@ -122,6 +122,30 @@ def strictly_contains(ring: Column, x: Column, y: Column) -> Column:
     return contains(ring, x, y) & ~F.exists(F.zip_with(a, b, on_edge), lambda v: v)
 
 
+def _to_segments(x: Column, y: Column, ring: Column) -> Column:
+    """Smallest squared distance from a point to a ring's sides."""
+
+    def one(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        square = dx * dx + dy * dy
+        t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - p["x"]) * dx + (y - p["y"]) * dy) / square))).otherwise(0.0)
+        ex, ey = p["x"] + t * dx - x, p["y"] + t * dy - y
+        return ex * ex + ey * ey
+
+    return F.array_min(F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), one))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Between two rings whose sides don't cross: from the corners of either to the sides of the other; 0 where one holds a corner of the other."""
+
+    def of(v: Column) -> Column:
+        near = F.array_min(F.concat(F.transform(v["a"], lambda p: _to_segments(p["x"], p["y"], v["b"])), F.transform(v["b"], lambda p: _to_segments(p["x"], p["y"], v["a"]))))
+        inside = F.exists(v["a"], lambda p: contains(v["b"], p["x"], p["y"])) | F.exists(v["b"], lambda p: contains(v["a"], p["x"], p["y"]))
+        return F.when(inside, 0.0).otherwise(F.sqrt(near))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), of)
+
+
 def boxes_overlap(a: Column, b: Column) -> Column:
     """Closed envelopes: touching counts."""
     return (a["min_x"] <= b["max_x"]) & (a["max_x"] >= b["min_x"]) & (a["min_y"] <= b["max_y"]) & (a["max_y"] >= b["min_y"])

@@ -287,3 +287,38 @@ def uniform_wind(spark, d):
     return out.select("row", "col", "k", *[F.round(c, 9).alias(c) for c in "uvw"])
 
 
+@query(f"WITH {BLD} SELECT id, round(0.75e0 * w * l, 5) AS area, round(2 * (w + l), 5) AS perimeter, round(least(w, l) / greatest(w, l), 6) AS elongation, round(sqrt(0.75e0), 6) AS eri, round(6 / 7e0, 6) AS convexity FROM bld")
+def rotated_shapes(spark, d):
+    # Footprints with a quarter taken out, turned by as many degrees as their number says.
+    e = G.envelope(F.col("ring"))
+    turn = F.radians((F.col("id") % 180).cast("double"))
+    cut = bld(spark, d).select("id", (e["max_x"] - e["min_x"]).alias("w"), (e["max_y"] - e["min_y"]).alias("l"))
+    at = lambda x, y: G.point(x * F.cos(turn) - y * F.sin(turn), x * F.sin(turn) + y * F.cos(turn))
+    w, l, o = F.col("w"), F.col("l"), F.lit(0.0)
+    ring = F.array(at(o, o), at(w, o), at(w, l / 2), at(w / 2, l / 2), at(w / 2, l), at(o, l), at(o, o))
+    out = urban.shape_measures(cut.select("id", ring.alias("ring")))
+    return out.select("id", F.round("area", 5).alias("area"), F.round("perimeter", 5).alias("perimeter"), *[F.round(c, 6).alias(c) for c in ("elongation", "eri", "convexity")])
+
+
+@query(f"""WITH {BLD}, r AS (SELECT id, floor(id / 50e0) AS line, l FROM bld), m AS (SELECT a.id, sum(least(a.l, b.l)) AS shared FROM r a JOIN r b ON b.line = a.line AND b.id IN (a.id - 1, a.id + 1) GROUP BY 1)
+SELECT id, round(coalesce(shared, 0), 5) AS shared, round(coalesce(shared, 0) / (2 * (10 + l)), 6) AS share FROM r LEFT JOIN m USING (id)""")
+def shared_walls(spark, d):
+    # Rows of fifty houses side by side.
+    e = G.envelope(F.col("ring"))
+    x = (F.col("id") % 50) * 10.0
+    rows = bld(spark, d).select("id", G.rectangle(x, e["min_y"], x + 10.0, e["max_y"]).alias("ring"))
+    return urban.shared_walls(rows).select("id", F.round("shared", 5).alias("shared"), F.round("share", 6).alias("share"))
+
+
+@query(f"""WITH {BLD}, e AS (SELECT a.id, b.id AS other, sqrt(power(greatest(a.x0 - b.x0 - b.w, b.x0 - a.x0 - a.w, 0), 2) + power(greatest(a.y0 - b.y0 - b.l, b.y0 - a.y0 - a.l, 0), 2)) AS d
+  FROM bld a JOIN bld b ON b.id IN (a.id - 1, a.id + 1)) SELECT bld.id, round(avg(d), 6) AS distance FROM bld LEFT JOIN e ON e.id = bld.id GROUP BY 1""")
+def neighbour_distance(spark, d):
+    b = bld(spark, d)
+    pairs = b.select(F.col("id").alias("a")).join(b.select(F.col("id").alias("b")), F.col("b") == F.col("a") + 1)
+    return urban.neighbour_distance(b, pairs).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT s_suppkey AS id, round(sqrt(power(1 + s_suppkey % 7, 2) + power(s_suppkey % 5, 2)) / (1 + s_suppkey % 7 + s_suppkey % 5), 9) AS linearity FROM supplier")
+def street_linearity(spark, d):
+    a, b, o = 1 + F.col("s_suppkey") % 7, F.col("s_suppkey") % 5, F.lit(0.0)
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(urban.linearity(F.array(G.point(o, o), G.point(a, o), G.point(a, b))), 9).alias("linearity"))
