@@ -1,7 +1,8 @@
 """Layers with one protocol: construct, set_bbox, set_crs, run, then read the result as a DataFrame.
 
-Nothing is fetched: ``request_url`` says what a layer's data would be asked for with, and ``run`` reads files that
-hold the answers. Setters return the layer, and keep what the others set.
+``request_url`` says what a layer's data would be asked for with. ``run`` reads files that hold the answers, or an address
+with open places ({min_x} ... {max_y} of a service, {tx}, {ty} of a folder) in tiles. Setters return the layer, and keep
+what the others set.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .functions import crs
 from .functions import geometry as G
 from .functions import wind as W
 from .operators import buildings, features, mapalgebra, points, solver, trees, wind
-from .sources import files, geotiff, las, requests, vector
+from .sources import files, geotiff, las, requests, tiles, vector
 
 
 class Layer:
@@ -61,9 +62,19 @@ class Layer:
 
 
 class VectorLayer(Layer):
-    """Features as they are: id, properties (JSON text), kind, coordinates (JSON text), srid 4326; the box filters by envelope."""
+    """Features as they are: id, properties (JSON text), kind, coordinates (JSON text), srid 4326; the box filters by envelope.
+
+    An address with {min_x} ... {max_y} (a service, see ``tiles.service_url``) or {tx}, {ty} (a folder) is read in tiles of ``tile`` degrees that meet the context's box.
+    """
+
+    tile = 0.05
 
     def load(self) -> DataFrame:
+        if "{" in self.paths[0]:
+            if self.context.bbox is None:
+                raise ValueError("a tiled layer wants the context's box")
+            layer = tiles.within(tiles.read_tiles(self.spark, self.paths[0], self.context.bbox, self.tile), self.context.bbox)
+            return layer.select("id", "properties", "kind", "coordinates", F.lit(WGS84).alias("srid"))
         rows = files.read_geojson(self.spark, *self.paths).withColumn("srid", F.lit(WGS84))
         if self.context.bbox is None:
             return rows
@@ -123,7 +134,11 @@ class Building(Layer):
         self.storey, self.srid = max(storey, 0.1), srid
 
     def load(self) -> DataFrame:
-        rows = features.buildings_from_geojson(self.spark.read.text(list(self.paths), wholetext=True))
+        if "{" in self.paths[0]:
+            layer = tiles.read_tiles(self.spark, self.paths[0], self._box(), VectorLayer.tile)
+            rows = features.buildings_of(tiles.within(layer, self._box()).withColumn("id", F.monotonically_increasing_id()))
+        else:
+            rows = features.buildings_from_geojson(self.spark.read.text(list(self.paths), wholetext=True))
         rows = rows.withColumn("ring", crs.transform_ring(F.col("ring"), self.srid, self.context.epsg)).withColumn("srid", F.lit(self.context.epsg))
         return buildings.process_heights(buildings.with_shape(rows), self.storey)
 
@@ -138,9 +153,15 @@ class Building(Layer):
 
 
 class RasterLayer(Layer):
+    """Cells of files, or of tiles (of ``tile`` units, ``res`` a pixel) where the address has {min_x} ... or {tx}, {ty}."""
+
     service = "WMS"
+    tile, res = 1000.0, 1.0
 
     def load(self) -> DataFrame:
+        if "{" in self.paths[0]:
+            box = self._box()
+            return tiles.within(tiles.read_tiles(self.spark, self.paths[0], box, self.tile, "raster", res=self.res), box, "raster").drop("tx", "ty")
         return geotiff.read_geotiff(self.spark, *self.paths)
 
 

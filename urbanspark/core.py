@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,17 @@ from pyspark.sql import functions as F
 WGS84, LAMBERT93, CC46 = 4326, 2154, 3946
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, where that is unset, one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="urbanspark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 @dataclass(frozen=True)
 class BBox:
     min_x: float

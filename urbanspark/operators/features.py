@@ -63,7 +63,12 @@ def read_features(texts: DataFrame, column: str = "value") -> DataFrame:
 
 def buildings_from_geojson(texts: DataFrame, column: str = "value") -> DataFrame:
     """id, ring, holes, heights and metadata; features without a polygon are skipped."""
-    rows = read_features(texts, column).withColumn("rings", polygon_of(F.col("kind"), F.col("coordinates"))).where("rings is not null")
+    return buildings_of(read_features(texts, column))
+
+
+def buildings_of(rows: DataFrame) -> DataFrame:
+    """The same from features (id, properties, kind, coordinates)."""
+    rows = rows.withColumn("rings", polygon_of(F.col("kind"), F.col("coordinates"))).where("rings is not null")
     holes = F.transform(F.slice("rings", F.lit(2), F.size("rings")), lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return coalesced_properties(rows).select("id", ring_of(F.col("rings")).alias("ring"), holes.alias("holes"), "hauteur", "nombre_d_etages", "hauteur_2", "noHauteur", "metadata")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..core import Grid
 
@@ -94,3 +98,35 @@ def write_geotiff(cells: DataFrame, grid: Grid, *bands: str, nodata: float = -99
         for band, name in zip(out, bands, strict=True):
             band[r["row"], r["col"]] = nodata if r[name] is None else r[name]
     return encode(out, grid, nodata)
+
+
+def write_tiles(cells: DataFrame, grid: Grid, folder: str, pixels: int, *bands: str, nodata: float = -9999.0) -> DataFrame:
+    """(tx, ty, path, size) of GeoTIFF tiles of ``pixels`` cells a side, written by the tasks themselves; tiles count from the lower left corner.
+
+    A tile without cells isn't written. ``folder`` is in a store that Arrow writes to and all executors share; a file gets its
+    name when it is whole, so a task that runs again does no harm. Lazy: the tiles are written when the result is.
+    """
+    low = grid.y_max - grid.height * grid.res
+    up = F.lit(grid.height - 1) - F.col("row")
+    rows = cells.select("row", "col", *bands, F.floor(F.col("col") / pixels).alias("tx"), F.floor(up / pixels).alias("ty"))
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
+        width, height = min(pixels, grid.width - tx * pixels), min(pixels, grid.height - ty * pixels)
+        top = grid.height - ty * pixels - height
+        out = [np.full((height, width), nodata) for _ in bands]
+        for band, name in zip(out, bands, strict=True):
+            v = pdf[name].to_numpy(float, na_value=np.nan)
+            band[pdf["row"].to_numpy() - top, pdf["col"].to_numpy() - tx * pixels] = np.where(np.isnan(v), nodata, v)
+        data = encode(out, Grid(grid.x_min + tx * pixels * grid.res, low + (ty * pixels + height) * grid.res, grid.res, width, height), nodata)
+        store, base = fs.FileSystem.from_uri(folder) if re.match(r"\w+:", folder) else (fs.LocalFileSystem(), folder)
+        store.create_dir(base)
+        path, part = f"{base}/{tx}_{ty}.tif", f"{base}/.{tx}_{ty}-{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as f:
+            f.write(data)
+        store.move(part, path)
+        return pd.DataFrame({"tx": [tx], "ty": [ty], "path": [path], "size": [len(data)]})
+
+    return rows.groupBy("tx", "ty").applyInPandas(tile, "tx long, ty long, path string, size long")
