@@ -224,7 +224,9 @@ class Lidar(Layer):
         return points.rasters(self.points(), self._box(), self.classes, self.resolution, self.fill)
 
     def trees(self, min_height: float = 2.0) -> DataFrame:
-        return trees.crowns(self.df(), Grid.over(self._box(), self.resolution), min_height)
+        """Crowns of the canopy; of a cloud for which no classes are named, ground and vegetation count."""
+        cells = self.df() if self.classes is not None else points.rasters(self.points(), self._box(), list(trees.CANOPY_CLASSES), self.resolution, self.fill)
+        return trees.crowns(cells, Grid.over(self._box(), self.resolution), min_height)
 
     def to_geotiff(self) -> bytes:
         return geotiff.write_geotiff(self.df(), Grid.over(self._box(), self.resolution), "dsm", "dtm", "chm")

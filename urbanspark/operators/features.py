@@ -129,7 +129,8 @@ def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
-HEIGHT_COLUMNS = ["hauteur", "height", "HAUTEUR", "h_mean", "Hauteur", "H"]
+# Names of height columns, in the order in which they are tried.
+HEIGHT_COLUMNS = ["hauteur", "height", "HAUTEUR", "hauteur_mean", "H_MEDIANE", "H_MAX"]
 
 
 def ensure_height(rows: DataFrame, candidates: list[str] = HEIGHT_COLUMNS, name: str = "hauteur") -> DataFrame:

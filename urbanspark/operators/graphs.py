@@ -41,6 +41,24 @@ def triangles(xy: np.ndarray) -> list[tuple[int, int, int]]:
     return [t for t in live if max(t) < n]
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) for every end of links (a, b): root is the least node that can be reached.
+
+    Every node takes the least root among its neighbours', roots are followed to theirs, until none changes: chains
+    shrink by doubling. Rounds are cut by checkpoints in the shared folder.
+    """
+    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().checkpoint()
+    labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
+    while True:
+        offered = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("offer"))
+        near = labels.join(offered.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("root", F.coalesce("offer", "root")).alias("near"), F.col("root").alias("was"))
+        up = near.select(F.col("node").alias("near"), F.col("near").alias("up"))
+        new = near.join(up, "near").select("node", F.least("near", "up").alias("root"), "was").checkpoint()
+        labels = new.select("node", "root")
+        if new.where("root <> was").isEmpty():
+            return labels
+
+
 def delaunay(points: DataFrame, tile: float, halo: float) -> DataFrame:
     """(a, b), a < b: edges of the triangulation of points (id, x, y), per tile with a halo.
 

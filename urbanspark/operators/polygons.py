@@ -1,14 +1,18 @@
-"""Set algebra of polygons: union, clip, difference and repair, by tiles.
+"""Set algebra of polygons: union, clip, difference and repair, by tiles that adapt to density.
 
-A feature's rings are handed to the tiles that its envelope covers. A tile cuts its plane into slabs between the
-heights of all vertices and crossings; no two sides cross inside a slab, so a slab's part of a result is a row of
-trapezoids between sides. Areas are exact, shapes are lists of trapezoids (closed rings), and no feature or parcel,
-however large, has to fit into one task.
+A feature's rings are handed to the tiles that its envelope meets. A tile cuts its plane into slabs between the
+heights of the vertices and crossings in it; no two sides cross inside a slab, so a slab's part of a result is a row
+of trapezoids between sides. Areas are exact, and no feature or parcel, however large, has to fit into one task.
+
+``as_polygons`` makes rings of them: inside a tile what trapezoids of a piece share falls away; along the tiles' borders
+the two sides' intervals cancel, and where they do the pieces are linked. Linked pieces (components found by rounds of
+joins) are one polygon each, whose remaining sides close to an outer ring and holes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,77 +20,321 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import tiling
+from .graphs import connected
 
 RING = "array<struct<x:double,y:double>>"
 #: Parts below this area are left out: what remains of them is rounding.
 LEAST_AREA = 1e-9
+#: Features a tile, about, where no tile size is given.
+CAPACITY = 300
+#: Steps of a unit to which the corners of rings are rounded; tiles begin and end on such steps.
+GRID = 1_000_000
+#: The least side of a tile: the finest halving of a unit that is whole in these steps.
+LEAST_TILE = 1 / 64
+
+Box = tuple[float, float, float, float]
+#: What a slab has: owner, begin and end (numbers of crossings) of each polygon's intervals; gives (label, begin, end) of its runs.
+Rule = Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[tuple[int, int, int]]]
 
 
-def _heights(sides: np.ndarray, y0: float, y1: float) -> np.ndarray:
-    """Where slabs begin and end: ends of sides, their crossings, and the tile's bounds."""
-    ax, ay, bx, by = sides.T
+def _heights(side: np.ndarray, box: Box) -> np.ndarray:
+    """Where slabs begin and end: ends and crossings of the sides that meet the box, and its own bounds."""
+    x0, y0, x1, y1 = box
+    ax, ay, bx, by = side.T
+    meets = (np.minimum(ax, bx) <= x1) & (np.maximum(ax, bx) >= x0) & (np.minimum(ay, by) <= y1) & (np.maximum(ay, by) >= y0)
+    ax, ay, bx, by = side[meets].T
     found = [np.array([y0, y1]), ay, by]
     dx, dy = bx - ax, by - ay
-    for i in range(len(sides) - 1):
-        det = dx[i] * dy[i + 1 :] - dy[i] * dx[i + 1 :]
-        ox, oy = ax[i + 1 :] - ax[i], ay[i + 1 :] - ay[i]
+    level = np.flatnonzero(dy != 0)
+    for i in level[(dx != 0)[level]].tolist():  # upright sides don't cross each other
+        o = level[(level > i) | (dx[level] == 0)]
+        det = dx[i] * dy[o] - dy[i] * dx[o]
+        ox, oy = ax[o] - ax[i], ay[o] - ay[i]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t, s = (ox * dy[i + 1 :] - oy * dx[i + 1 :]) / det, (ox * dy[i] - oy * dx[i]) / det
+            t, s = (ox * dy[o] - oy * dx[o]) / det, (ox * dy[i] - oy * dx[i]) / det
             cross = (det != 0) & (t > 0) & (t < 1) & (s > 0) & (s < 1)
-        found.append(ay[i] + t[cross] * dy[i])
+        found.append(np.where(dx[o] == 0, ay[o] + s * dy[o], ay[i] + t * dy[i])[cross])
+        # Where it leaves the tile to the left or right, seen alike from both tiles.
+        edge = np.array([x0, x1])
+        t = (edge - ax[i]) / dx[i]
+        found.append((ay[i] + t * dy[i])[(t > 0) & (t < 1)])
     y = np.unique(np.concatenate(found))
     return y[(y >= y0) & (y <= y1)]
 
 
-def trapezoids(polygons: list[list[np.ndarray]], label: Callable[[set[int]], int | None], box: tuple[float, float, float, float]) -> list[tuple[int, list[tuple[float, float]]]]:
-    """(label, closed ring): they cover the part of a box where the polygons (by number) that a point is in have a label.
+def slabs(polygons: list[list[np.ndarray]], box: Box) -> Iterator[tuple[float, float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For every slab of a box: its heights, the crossings' places at the bottom and the top from left to right, the sides they are on, where the box begins and ends, and the polygons' intervals of crossings.
 
-    A point is in a polygon if a ray from it crosses its rings an odd number of times.
+    A point is in a polygon if a ray from it crosses its rings an odd number of times; sides left of the box count for that alone.
     """
     x0, y0, x1, y1 = box
-    frame = np.array([[x0, y0, x0, y1], [x1, y0, x1, y1]])
-    sides, owner = [frame], [np.array([-1, -1])]
+    sides, owner = [np.array([[x0, y0, x0, y1], [x1, y0, x1, y1]])], [np.array([-1, -1])]
     for n, rings in enumerate(polygons):
         for r in rings:
             if len(r) > 2:
                 sides.append(np.hstack([r[:-1], r[1:]]))
                 owner.append(np.full(len(r) - 1, n))
     side, own = np.vstack(sides), np.concatenate(owner)
-    level = side[:, 1] != side[:, 3]
-    heights = _heights(side, y0, y1)
-    side, own = side[level], own[level]
-    ax, ay, bx, by = side.T
-    low, high = np.minimum(ay, by), np.maximum(ay, by)
-    out = []
-    for a, b in zip(heights[:-1], heights[1:], strict=True):
+    heights = _heights(side, box)
+    keep = (side[:, 1] != side[:, 3]) & (np.minimum(side[:, 0], side[:, 2]) <= x1) | (own < 0)
+    side, own = side[keep], own[keep]
+    low, high = np.minimum(side[:, 1], side[:, 3]), np.maximum(side[:, 1], side[:, 3])
+    # Sides that end right of the box were dropped; the rest of a polygon's crossings there is made even by the box's end.
+    for a, b in zip(heights[:-1].tolist(), heights[1:].tolist(), strict=True):
         mid = (a + b) / 2
         here = np.flatnonzero((low < mid) & (high > mid))
-        at = lambda y, h=here: ax[h] + (bx[h] - ax[h]) * (y - ay[h]) / (by[h] - ay[h])
+        ax, ay, bx, by = side[here].T
+        at = lambda y: np.where(ax == bx, ax, ax + (bx - ax) * (y - ay) / (by - ay))  # noqa: E731, B023
         order = np.argsort(at(mid), kind="stable")
-        bottom, top, who = at(a)[order], at(b)[order], own[here][order]
-        inside, framed, first, what = set(), False, 0, None
-        for k, n in enumerate(who.tolist()):
-            if n < 0:
-                framed = not framed
-            else:
-                inside ^= {n}
-            now = label(inside) if framed and inside else None
-            if now == what:
-                continue
-            if what is not None:
-                l0, l1, r0, r1 = (float(v) for v in (bottom[first], top[first], bottom[k], top[k]))
-                if (r0 - l0 + r1 - l1) * (b - a) / 2 > LEAST_AREA:
-                    out.append((what, [(l0, float(a)), (r0, float(a)), (r1, float(b)), (l1, float(b)), (l0, float(a))]))
-            first, what = k, now
+        who = own[here][order]
+        first, last = np.flatnonzero(who < 0).tolist()
+        by_owner = np.argsort(who, kind="stable")[2:]
+        owners = who[by_owner]
+        # Begin, end, begin, end ... of each owner; an odd one out goes on to the box's end.
+        nth = np.arange(len(owners)) - np.searchsorted(owners, owners, side="left")
+        begin = np.flatnonzero(nth % 2 == 0)
+        paired = np.zeros(len(begin), bool)
+        paired[begin + 1 < len(owners)] = owners[begin[begin + 1 < len(owners)] + 1] == owners[begin[begin + 1 < len(owners)]]
+        end = np.where(paired, by_owner[np.minimum(begin + 1, max(0, len(owners) - 1))] if len(owners) else 0, last)
+        start = np.maximum(by_owner[begin], first)
+        end = np.minimum(end, last)
+        some = start < end
+        yield a, b, at(a)[order], at(b)[order], side[here][order], who, (first, last), (owners[begin][some], start[some], end[some])
+
+
+def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def _cover(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    return (np.cumsum(np.bincount(start, minlength=n + 1)) - np.cumsum(np.bincount(end, minlength=n + 1)))[:n] > 0
+
+
+def union_rule(owner: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    return [(0, a, b) for a, b in _runs(_cover(start, end, n))]
+
+
+def first_rule(owner: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """What several polygons cover belongs to the first of them."""
+    label = np.full(n, -1)
+    for k in np.argsort(-owner, kind="stable").tolist():
+        label[start[k] : end[k]] = owner[k]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1, [n]])
+    return [(int(label[a]), a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if a < b and label[a] >= 0]
+
+
+def clip_rule(masks: int, outside: bool) -> Rule:
+    """Polygons from number ``masks`` on are cut to those before it, or to what these leave."""
+
+    def rule(owner: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+        mask = owner < masks
+        open_ = _cover(start[mask], end[mask], n) != outside
+        return [(o, a + s, a + e) for o, a, b in zip(owner[~mask].tolist(), start[~mask].tolist(), end[~mask].tolist(), strict=True) for s, e in _runs(open_[a:b])]
+
+    return rule
+
+
+def trapezoids(polygons: list[list[np.ndarray]], rule: Rule, box: Box) -> list[tuple[int, list[tuple[float, float]]]]:
+    """(label, closed ring): they cover the part of a box to which a rule gives a label."""
+    out = []
+    for a, b, bottom, top, _, _, _, intervals in slabs(polygons, box):
+        for what, i, k in rule(*intervals, len(bottom)):
+            l0, l1, r0, r1 = (float(v) for v in (bottom[i], top[i], bottom[k], top[k]))
+            if (r0 - l0 + r1 - l1) * (b - a) / 2 > LEAST_AREA:
+                out.append((what, [(l0, a), (r0, a), (r1, b), (l1, b), (l0, a)]))
     return out
 
 
-def _tiled(features: DataFrame, tile: float) -> DataFrame:
-    """Features once for each tile that their envelope covers: tx, ty."""
-    e = G.envelope(F.col("ring"))
-    span = lambda lo, hi: F.sequence(F.floor(lo / tile), F.greatest(F.ceil(hi / tile) - 1, F.floor(lo / tile)))
-    rows = features.where(F.size("ring") > 2).withColumn("e", e)
-    return rows.withColumn("tx", F.explode(span(F.col("e.min_x"), F.col("e.max_x")))).withColumn("ty", F.explode(span(F.col("e.min_y"), F.col("e.max_y")))).drop("e")
+def pieces(polygons: list[list[np.ndarray]], rule: Rule, box: Box) -> tuple[list[tuple], list[tuple]]:
+    """Connected pieces of a tile's result on the grid of rounded corners.
+
+    Sides (label, piece, x0, y0, x1, y1, line) with the piece on their left, and what lies on the tile's border, as
+    (label, piece, axis, line, from, to): along x for axis 0, along y for axis 1, backwards where ``to`` is less. Sides of
+    one line go on from each other without a corner.
+    """
+    whole = lambda v: int(round(v * GRID))
+    x0, y0, x1, y1 = map(whole, box)
+    parent: list[int] = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    sides: list[tuple] = []
+    flat: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)  # (label, height): from, to, +1 or -1, piece
+    below: dict[int, list[tuple[int, int, int]]] = {}
+    for a, b, bottom, top, side, who, (first, last), intervals in slabs(polygons, box):
+        ya, yb = whole(a), whole(b)
+        if ya == yb:
+            continue
+        rows: dict[int, list[list]] = defaultdict(list)
+        for what, i, k in rule(*intervals, len(bottom)):
+            row = [whole(bottom[i]), whole(top[i]), whole(bottom[k]), whole(top[k]), i, k]
+            if row[0] >= row[2] and row[1] >= row[3]:
+                continue
+            before = rows[what][-1] if rows[what] else None
+            if before and before[2] == row[0] and before[3] == row[1]:
+                before[2], before[3], before[5] = row[2], row[3], k
+            else:
+                rows[what].append(row)
+        now: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for what, found in rows.items():
+            under, j = below.get(what, []), 0
+            for l0, l1, r0, r1, i, k in found:
+                me = len(parent)
+                parent.append(me)
+                while j < len(under) and under[j][1] <= l0:
+                    j += 1
+                m = j
+                while m < len(under) and under[m][0] < r0:
+                    if under[m][1] > l0:
+                        parent[root(under[m][2])] = root(me)
+                    m += 1
+                flat[what, ya].append((l0, r0, 1, me))
+                flat[what, yb].append((l1, r1, -1, me))
+                now[what].append((l1, r1, me))
+                for x_at, x_to, y_at, y_to, n in ((r0, r1, ya, yb, k), (l1, l0, yb, ya, i)):
+                    sides.append((what, me, x_at, y_at, x_to, y_to, None if n in (first, last) else tuple(side[n].tolist())))
+        below = dict(now)
+    inner, border = [], []
+    for what, me, ax, ay, bx, by, line in sides:
+        if ax == bx and ax in (x0, x1):
+            border.append((what, root(me), 1, ax, ay, by))
+        else:
+            inner.append((what, root(me), ax, ay, bx, by, line))
+    for (what, y), found in flat.items():
+        for p, q, sign, me in _balance([(p, q, sign, root(me)) for p, q, sign, me in found])[0]:
+            p, q = (p, q) if sign > 0 else (q, p)
+            if y in (y0, y1):
+                border.append((what, me, 0, y, p, q))
+            else:
+                inner.append((what, me, p, y, q, y, None))
+    return inner, border
+
+
+def _balance(found: list[tuple[int, int, int, int]]) -> tuple[list[tuple[int, int, int, int]], set[tuple[int, int]]]:
+    """What is left of signed intervals (from, to, sign, piece) of a line where opposite ones cancel, and the pairs of pieces that meet there."""
+    cuts = sorted({v for p, q, _, _ in found for v in (p, q)})
+    place = {v: i for i, v in enumerate(cuts)}
+    up: list[list[int]] = [[] for _ in cuts]
+    down: list[list[int]] = [[] for _ in cuts]
+    for p, q, sign, me in found:
+        for i in range(place[min(p, q)], place[max(p, q)]):
+            ((up if sign > 0 else down)[i] if p < q else (down if sign > 0 else up)[i]).append(me)
+    left, met = [], set()
+    for i in range(len(cuts) - 1):
+        n = min(len(up[i]), len(down[i]))
+        met |= {(min(p), max(p)) for p in zip(up[i], down[i], strict=False) if p[0] != p[1]}
+        for sign, rest in ((1, up[i][n:]), (-1, down[i][n:])):
+            for me in rest:
+                if left and left[-1][1] == cuts[i] and left[-1][2:] == (sign, me):
+                    left[-1] = (left[-1][0], cuts[i + 1], sign, me)
+                else:
+                    left.append((cuts[i], cuts[i + 1], sign, me))
+    return left, met
+
+
+def linked(sides: list[tuple[int, int, int, int, tuple | None]]) -> tuple[list, list[list]]:
+    """(outer ring, holes) of one polygon's sides, which have it on their left; corners as doubles.
+
+    Where rings touch, the way on is the sharpest turn to the right: what is outside stays together, and rings apart.
+    """
+    count: dict[tuple, int] = defaultdict(int)
+    line_of = {}
+    for ax, ay, bx, by, line in sides:
+        if (ax, ay) == (bx, by):
+            continue
+        if count.get((bx, by, ax, ay), 0) > 0:
+            count[bx, by, ax, ay] -= 1
+        else:
+            count[ax, ay, bx, by] += 1
+            line_of[ax, ay, bx, by] = line
+    follow: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for (ax, ay, bx, by), n in sorted(count.items()):
+        follow[ax, ay] += [(bx, by)] * n
+    rings = []
+    for start in sorted(follow):
+        while follow[start]:
+            ring, at, to = [start], start, follow[start].pop()
+            while True:
+                ring.append(to)
+                if to == start:
+                    break
+                back = np.arctan2(at[1] - to[1], at[0] - to[0])
+                ends = follow[to]
+                turns = [(np.arctan2(e[1] - to[1], e[0] - to[0]) - back) % (2 * np.pi) or 2 * np.pi for e in ends]
+                at, to = to, ends.pop(int(np.argmin(turns)))
+            # A corner is where the way turns: not on one and the same side, nor along an axis.
+            lines = [line_of[(*p, *q)] for p, q in zip(ring[:-1], ring[1:], strict=True)]
+            kept = []
+            for i, p in enumerate(ring[:-1]):
+                o, q = ring[i - 1 if i else -2], ring[i + 1]
+                same = lines[i] is not None and lines[i] == lines[i - 1]
+                straight = (p[0] - o[0]) * (q[1] - p[1]) == (p[1] - o[1]) * (q[0] - p[0])
+                if not (same or straight):
+                    kept.append(p)
+            if len(kept) > 2:
+                area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(kept, kept[1:] + kept[:1], strict=True))
+                low = kept.index(min(kept))
+                kept = kept[low:] + kept[:low]
+                if area:
+                    rings.append((area, [{"x": x / GRID, "y": y / GRID} for x, y in [*kept, kept[0]]]))
+    outer = max(rings, key=lambda r: r[0], default=(0, []))
+    # What isn't the outer ring is a hole, or by rounding a speck.
+    return outer[1], [r for a, r in rings if a < 0]
+
+
+def bad_rings(features: DataFrame) -> DataFrame:
+    """Features (id, ring) that the operators here leave out, with the reason: no ring, fewer than three corners, a coordinate that is null or not finite, or no end at the beginning."""
+    r = F.col("ring")
+    odd = F.exists(r, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | ~(F.abs(p["x"]) < float("inf")) | ~(F.abs(p["y"]) < float("inf")))
+    why = (
+        F.when(r.isNull(), "no ring").when(F.size(r) < 4, "fewer than three corners").when(odd, "a coordinate is missing or not finite")
+        .when((r[0]["x"] != F.element_at(r, -1)["x"]) | (r[0]["y"] != F.element_at(r, -1)["y"]), "not closed")
+    )
+    return features.select("*", why.alias("reason")).where("reason is not null")
+
+
+def _good(features: DataFrame) -> DataFrame:
+    """Without the features that ``bad_rings`` names; a ring that isn't closed counts as it is."""
+    finite = F.forall("ring", lambda p: F.coalesce((F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")), F.lit(False)))
+    return features.where(F.col("ring").isNotNull() & (F.size("ring") > 3) & finite)
+
+
+class _Plane:
+    """Tiles of a size, or of a tree of the features' centres; a tile is a number, and its box can be told from it."""
+
+    def __init__(self, features: DataFrame, tile: float | None, capacity: int):
+        self.size = tile
+        e = G.envelope(F.col("ring"))
+        mid = features.select(e.alias("e")).select(((F.col("e.min_x") + F.col("e.max_x")) / 2).alias("x"), ((F.col("e.min_y") + F.col("e.max_y")) / 2).alias("y"), "e.*")
+        self.tree = tiling.tree_of(mid, capacity, least=LEAST_TILE) if tile is None else None
+        if tile is not None and abs(tile * GRID - round(tile * GRID)) > 1e-6:
+            raise ValueError(f"a tile's side has to be a multiple of 1/{GRID}")
+
+    def dealt(self, features: DataFrame) -> DataFrame:
+        """Features once for each tile that their envelope covers: tile."""
+        rows = features.withColumn("e", G.envelope(F.col("ring")))
+        sides = [F.col(f"e.{n}") for n in ("min_x", "min_y", "max_x", "max_y")]
+        if self.tree is not None:
+            return rows.withColumn("tile", F.explode(tiling.leaves_of(self.tree, *sides).cast("array<long>"))).drop("e")
+        span = lambda lo, hi: F.sequence(F.floor(lo / self.size), F.greatest(F.ceil(hi / self.size) - 1, F.floor(lo / self.size)))
+        rows = rows.withColumn("tx", F.explode(span(sides[0], sides[2]))).withColumn("ty", F.explode(span(sides[1], sides[3])))
+        return rows.withColumn("tile", (F.col("tx") + (1 << 30)) * (1 << 31) + F.col("ty") + (1 << 30)).drop("e", "tx", "ty")
+
+    def box(self, tile: int) -> Box:
+        if self.tree is not None:
+            return self.tree.box(tile)
+        tx, ty = (tile >> 31) - (1 << 30), (tile & (1 << 31) - 1) - (1 << 30)
+        return tx * self.size, ty * self.size, (tx + 1) * self.size, (ty + 1) * self.size
+
+    @property
+    def block(self) -> float:
+        return self.size if self.tree is None else self.tree.widest
 
 
 def _rings(row) -> list[np.ndarray]:
@@ -98,66 +346,172 @@ def _with_holes(rows: DataFrame) -> DataFrame:
     return rows if "holes" in rows.columns else rows.withColumn("holes", F.lit(None).cast(f"array<{RING}>"))
 
 
-def _parts(rows: DataFrame, tile: float, by: list[str], each: Callable[[pd.DataFrame, tuple], list[tuple]], schema: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        return pd.DataFrame(each(pdf, (tx * tile, ty * tile, (tx + 1) * tile, (ty + 1) * tile)), columns=[c.split()[0] for c in schema.split(", ")])
+def _points(shape: list[tuple[float, float]]) -> list[dict]:
+    return [{"x": x, "y": y} for x, y in shape]
 
-    return rows.groupBy(*by, "tx", "ty").applyInPandas(run, schema)
 
+#: A tile's job: its rows as (polygons, rule, key of each label).
+Each = Callable[[pd.DataFrame], Iterator[tuple[list[list[np.ndarray]], Rule, Callable[[int], object]]]]
 
-def _points(shape: list[tuple[float, float]]) -> list[dict]:
-    return [{"x": x, "y": y} for x, y in shape]
 
+class Parts:
+    """A result of set algebra: as trapezoids (``trapezoids``) or as polygons with holes (``polygons``), both lazy."""
 
-def dissolved(features: DataFrame, key: str, tile: float = 500.0) -> DataFrame:
-    """(key, ring): trapezoids of the union of each key's features (ring, maybe holes); they don't overlap, so their areas add up."""
-    rows = _tiled(_with_holes(features).select(F.col(key).alias("key"), "ring", "holes"), tile)
+    def __init__(self, rows: DataFrame, each: Each, key: str, tile: float | None, capacity: int):
+        rows = _good(rows)
+        self.plane, self.each, self.key, self.kind = _Plane(rows, tile, capacity), each, key, dict(rows.dtypes)[key]
+        self.rows = self.plane.dealt(rows)
 
-    def each(pdf: pd.DataFrame, box: tuple) -> list[tuple]:
-        shapes = trapezoids([_rings(r) for r in pdf.itertuples()], lambda inside: 0, box)
-        return [(pdf["key"].iloc[0], _points(s)) for _, s in shapes]
+    def trapezoids(self) -> DataFrame:
+        each, plane, key = self.each, self.plane, self.key
 
-    kind = dict(features.dtypes)[key]
-    return _parts(rows, tile, ["key"], each, f"key {kind}, ring {RING}").withColumnRenamed("key", key)
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            box = plane.box(int(pdf["tile"].iloc[0]))
+            found = [(name(n), _points(s)) for polygons, rule, name in each(pdf) for n, s in trapezoids(polygons, rule, box)]
+            return pd.DataFrame(found, columns=[key, "ring"])
 
+        return self.rows.groupBy("tile").applyInPandas(run, f"{key} {self.kind}, ring {RING}")
 
-def clipped(features: DataFrame, masks: DataFrame, key: str | None = None, tile: float = 500.0, outside: bool = False) -> DataFrame:
-    """(id, ring): trapezoids of the part of each feature (id, ring, maybe holes) that lies in the union of the masks of its key; what is left of nothing has no row.
+    def polygons(self) -> DataFrame:
+        """(key, ring, holes): a row for each connected polygon, rings with the inside on their left. Corners are rounded to ``GRID`` steps a unit.
 
-    Without a key all masks count for all features; with ``outside`` it is the part that lies in none.
-    """
+        The tiles' pieces are written once, as a checkpoint, since they are read for links and for sides.
+        """
+        each, plane, key = self.each, self.plane, self.key
+        side = "struct<x0:long,y0:long,x1:long,y1:long,line:array<double>>"
+        edge = "struct<axis:int,at:long,p:long,q:long>"
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            tile, names, n, out = int(pdf["tile"].iloc[0]), ["x0", "y0", "x1", "y1", "line"], 0, []
+            for polygons, rule, name in each(pdf):
+                inner, border = pieces(polygons, rule, plane.box(tile))
+                by: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
+                for what, me, *rest in inner:
+                    by[what, me][0].append(dict(zip(names, rest, strict=True)))
+                for what, me, *rest in border:
+                    by[what, me][1].append(dict(zip(("axis", "at", "p", "q"), rest, strict=True)))
+                for (what, _), (inside, outside) in by.items():
+                    out.append((name(what), tile, n, inside, outside))
+                    n += 1
+            return pd.DataFrame(out, columns=[key, "tile", "n", "sides", "border"])
+
+        found = self.rows.groupBy("tile").applyInPandas(run, f"{key} {self.kind}, tile long, n int, sides array<{side}>, border array<{edge}>")
+        found = found.withColumn("piece", F.struct("tile", "n")).drop("tile", "n").checkpoint()
+        step = float(plane.block * GRID)
+        edges = found.select(key, "piece", F.explode("border").alias("b")).select(key, "piece", "b.*", F.floor(F.least("b.p", "b.q") / step).alias("block"))
+
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            axis, at, out = int(pdf["axis"].iloc[0]), int(pdf["at"].iloc[0]), []
+            for name, rows in pdf.groupby(key, dropna=False):
+                ids = [(p["tile"], p["n"]) for p in rows["piece"]]
+                number = {v: i for i, v in enumerate(dict.fromkeys(ids))}
+                back = list(number)
+                left, met = _balance([(p, q, 1, number[i]) for p, q, i in zip(rows["p"].tolist(), rows["q"].tolist(), ids, strict=True)])
+                as_piece = lambda i: {"tile": back[i][0], "n": back[i][1]}  # noqa: B023, E731
+                for p, q, sign, me in left:
+                    p, q = (p, q) if sign > 0 else (q, p)
+                    ends = (p, at, q, at) if axis == 0 else (at, p, at, q)
+                    out.append((name, as_piece(me), None, dict(zip(("x0", "y0", "x1", "y1"), ends, strict=True)) | {"line": None}))
+                out += [(name, as_piece(a), as_piece(b), None) for a, b in sorted(met)]
+            return pd.DataFrame(out, columns=[key, "piece", "other", "side"])
+
+        piece = "struct<tile:long,n:int>"
+        met = edges.groupBy("axis", "at", "block").applyInPandas(meet, f"{key} {self.kind}, piece {piece}, other {piece}, side {side}").checkpoint()
+        roots = connected(met.where("other is not null").select(F.col("piece").alias("a"), F.col("other").alias("b")))
+        sides = found.select(key, "piece", F.col("sides")).unionByName(met.where("side is not null").select(key, "piece", F.array("side").alias("sides")))
+        whole = sides.join(roots.withColumnRenamed("node", "piece"), "piece", "left").withColumn("root", F.coalesce("root", "piece"))
+
+        def close(pdf: pd.DataFrame) -> pd.DataFrame:
+            plain = [(s["x0"], s["y0"], s["x1"], s["y1"], None if s["line"] is None else tuple(s["line"])) for part in pdf["sides"] for s in part]
+            ring, holes = linked(plain)
+            return pd.DataFrame([(pdf[key].iloc[0], ring, holes)] if ring else [], columns=[key, "ring", "holes"])
+
+        return whole.groupBy("root").applyInPandas(close, f"{key} {self.kind}, ring {RING}, holes array<{RING}>")
+
+
+def _by_key(pdf: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
+    for name, rows in pdf.groupby("key", dropna=False):
+        yield (None if pd.isna(name) else name), rows
+
+
+def union_parts(features: DataFrame, key: str, tile: float | None = None, capacity: int = CAPACITY) -> Parts:
+    """The union of each key's features (ring, maybe holes)."""
+
+    def each(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for name, rows in _by_key(pdf):
+            yield [_rings(r) for r in rows.itertuples()], union_rule, lambda _, name=name: name
+
+    return Parts(_with_holes(features).select(F.col(key).alias("key"), "ring", "holes"), each, "key", tile, capacity)
+
+
+def clip_parts(features: DataFrame, masks: DataFrame, key: str | None = None, tile: float | None = None, outside: bool = False, capacity: int = CAPACITY) -> Parts:
+    """The part of each feature (id, ring, maybe holes) in the union of the masks of its key, or with ``outside`` in none; without a key all masks count."""
     pick = lambda t, role, i: _with_holes(t).select((F.col(key) if key else F.lit(0)).alias("key"), i.alias("id"), "ring", "holes", F.lit(role).alias("role"))
     both = pick(features, 0, F.col("id").cast("long")).unionByName(pick(masks, 1, F.lit(None).cast("long")))
-    rows = _tiled(both, tile)
 
-    def each(pdf: pd.DataFrame, box: tuple) -> list[tuple]:
-        masks = [_rings(r) for r in pdf[pdf["role"] == 1].itertuples()]
-        wanted = lambda inside: 0 if 0 in inside and (len(inside) == 1) == outside else None
-        found = []
-        for r in pdf[pdf["role"] == 0].itertuples() if masks or outside else []:
-            found += [(int(r.id), _points(s)) for _, s in trapezoids([_rings(r), *masks], wanted, box)]
-        return found
+    def each(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for _, rows in _by_key(pdf):
+            masks = [_rings(r) for r in rows[rows["role"] == 1].itertuples()]
+            mine = rows[rows["role"] == 0]
+            if len(mine) and (masks or outside):
+                ids, n = mine["id"].tolist(), len(masks)
+                yield masks + [_rings(r) for r in mine.itertuples()], clip_rule(n, outside), lambda k, ids=ids, n=n: int(ids[k - n])
+
+    return Parts(both, each, "id", tile, capacity)
+
 
-    return _parts(rows, tile, ["key"], each, f"id long, ring {RING}")
+def overlay_parts(features: DataFrame, tile: float | None = None, capacity: int = CAPACITY) -> Parts:
+    """Each feature (id, weight, ord, ring) without what heavier ones cover; of equal weight the smaller ord goes first."""
 
+    def each(pdf: pd.DataFrame) -> Iterator[tuple]:
+        rows = pdf.sort_values(["weight", "ord"], ascending=[False, True])
+        ids = rows["id"].tolist()
+        yield [_rings(r) for r in rows.itertuples()], first_rule, lambda k: int(ids[k])
 
-def overlay(features: DataFrame, tile: float = 500.0) -> DataFrame:
-    """(id, ring): each feature (id, weight, ord, ring) without what heavier ones cover; of equal weight the smaller ord goes first."""
-    rows = _tiled(_with_holes(features).select(F.col("id").cast("long").alias("id"), "weight", "ord", "ring", "holes"), tile)
+    return Parts(_with_holes(features).select(F.col("id").cast("long").alias("id"), "weight", "ord", "ring", "holes"), each, "id", tile, capacity)
 
-    def each(pdf: pd.DataFrame, box: tuple) -> list[tuple]:
-        rows = list(pdf.sort_values(["weight", "ord"], ascending=[False, True]).itertuples())
-        return [(int(rows[n].id), _points(s)) for n, s in trapezoids([_rings(r) for r in rows], min, box)]
 
-    return _parts(rows, tile, [], each, f"id long, ring {RING}")
+def dissolved(features: DataFrame, key: str, tile: float | None = None) -> DataFrame:
+    """(key, ring): trapezoids of the union of each key's features (ring, maybe holes); they don't overlap, so their areas add up."""
+    return union_parts(features, key, tile).trapezoids().withColumnRenamed("key", key)
+
 
+def dissolved_polygons(features: DataFrame, key: str, tile: float | None = None) -> DataFrame:
+    """(key, ring, holes): the same as polygons, one for each connected part."""
+    return union_parts(features, key, tile).polygons().withColumnRenamed("key", key)
 
-def repaired(features: DataFrame, tile: float = 500.0) -> DataFrame:
+
+def clipped(features: DataFrame, masks: DataFrame, key: str | None = None, tile: float | None = None, outside: bool = False) -> DataFrame:
+    """(id, ring): trapezoids of what ``clip_parts`` says; what is left of nothing has no row."""
+    return clip_parts(features, masks, key, tile, outside).trapezoids()
+
+
+def clipped_polygons(features: DataFrame, masks: DataFrame, key: str | None = None, tile: float | None = None, outside: bool = False) -> DataFrame:
+    """The features' other columns with (ring, holes) of their parts in the masks, a row for each connected part. ``id`` names one feature."""
+    parts = clip_parts(features, masks, key, tile, outside).polygons()
+    return features.drop("ring", "holes").join(parts, "id")
+
+
+def overlay(features: DataFrame, tile: float | None = None) -> DataFrame:
+    """(id, ring): trapezoids of what ``overlay_parts`` says."""
+    return overlay_parts(features, tile).trapezoids()
+
+
+def overlay_polygons(features: DataFrame, tile: float | None = None) -> DataFrame:
+    """(id, ring, holes): the same as polygons."""
+    return overlay_parts(features, tile).polygons()
+
+
+def repaired(features: DataFrame, tile: float | None = None) -> DataFrame:
     """(id, ring): trapezoids of the area that features (id, ring) enclose, whatever loops their rings make."""
     return dissolved(features.select("id", "ring"), "id", tile)
 
 
+def repaired_polygons(features: DataFrame, tile: float | None = None) -> DataFrame:
+    """(id, ring, holes): the same as polygons without crossings."""
+    return dissolved_polygons(features.select("id", "ring"), "id", tile)
+
+
 def areas(parts: DataFrame, key: str) -> DataFrame:
     """Area of each key's parts; keys without one, or with nothing but slivers, have no row."""
     return parts.groupBy(key).agg(F.sum(G.area(F.col("ring"))).alias("area")).where(F.col("area") > LEAST_AREA)
@@ -211,6 +565,14 @@ def cell_rings(labelled: DataFrame, x_min: float, y_max: float, res: float) -> D
     return alone.groupBy("label", "value").applyInPandas(linked, f"label {kinds['label']}, value {kinds['value']}, ring {RING}")
 
 
+def _tiled(features: DataFrame, tile: float) -> DataFrame:
+    """Features once for each tile that their envelope covers: tx, ty."""
+    e = G.envelope(F.col("ring"))
+    span = lambda lo, hi: F.sequence(F.floor(lo / tile), F.greatest(F.ceil(hi / tile) - 1, F.floor(lo / tile)))
+    rows = features.where(F.size("ring") > 2).withColumn("e", e)
+    return rows.withColumn("tx", F.explode(span(F.col("e.min_x"), F.col("e.max_x")))).withColumn("ty", F.explode(span(F.col("e.min_y"), F.col("e.max_y")))).drop("e")
+
+
 def in_any(points: DataFrame, shapes: DataFrame, tile: float = 100.0) -> DataFrame:
     """Points (x, y and others) that lie in at least one shape (ring): the semi-join with a union, by tiles."""
     keyed = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import tiling
 
 
 def _covered(low: str, high: str, cell: float) -> Column:
@@ -19,6 +20,20 @@ def range_join(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     return keyed.join(filed, ["kx", "ky"]).where("x between min_x and max_x and y between min_y and max_y").drop("kx", "ky")
 
 
+#: Points of a leaf and depth of the quadtree.
+LEAF, DEPTH = 1000, 12
+
+
+def quadtree_join(points: DataFrame, boxes: DataFrame, capacity: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """The same pairs as ``range_join``, by the leaves of a quadtree of the points: dense places split, sparse ones stay whole.
+
+    Where a leaf of the last depth still has too many points, they are dealt over slots. Points and boxes that aren't finite match nothing.
+    """
+    tree = tiling.tree_of(points, capacity, depth=depth)
+    finite = points.where("abs(x) < double('Infinity') and abs(y) < double('Infinity')")
+    return tiling.dealt_points(finite, tree).join(tiling.dealt_boxes(boxes, tree), ["leaf", "slot"]).where("x between min_x and max_x and y between min_y and max_y").drop("leaf", "slot")
+
+
 def intersecting(shapes: DataFrame, boxes: DataFrame, cell: float, shape_id: str = "id", box_id: str = "box_id") -> DataFrame:
     """(shape, box) ids that meet: cells, then closed envelopes, then the exact clip. A pair met in several cells counts once."""
     s = shapes.select(shape_id, "ring", G.envelope(F.col("ring")).alias("e"))

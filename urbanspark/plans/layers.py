@@ -1,4 +1,4 @@
-"""Queries over layers that are written as tiles and read back through the tiled source; each with its SQL."""
+"""Queries over tiled layers, polygons with holes and adaptive joins; each with its SQL."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..core import BBox, shared_folder
 from ..functions import geometry as G
+from ..operators import polygons, spatialjoin
 from ..sources import geotiff, tiles
-from .fixtures import BLD, GRID, read
+from .fixtures import BLD, GRID, PTS, points, read
 from .fixtures import buildings as bld
+from .more import _CUT, _MASKED, _RECT, _rectangles
 from .queries import query
 
 _TILE = 128.0
@@ -49,3 +51,57 @@ def tiled_raster(spark, d):
     layer = tiles.read_tiles(spark, folder + "/{tx}_{ty}.tif", BBox(GRID.x_min, y0, x1, GRID.y_max), 8 * GRID.res, "raster", tilesPerPartition=4)
     found = tiles.within(layer, BBox(40.0, 10.0, 120.0, 77.0), "raster").where(F.col("bands")[0].isNotNull())
     return found.select("row", "col", "x", "y", F.col("bands")[0].alias("high"), F.col("bands")[1].alias("low"))
+
+
+# Polygons of rectangles. At a crossing of the cut lines one or three covered cells make a corner, two that only touch make two.
+_CORNERS = """q AS (SELECT parcel, {key}, c.x + dx * (c.nx - c.x) AS x, c.y + dy * (c.ny - c.y) AS y, count(*) AS n, min(CASE WHEN dx = dy THEN 1 ELSE 0 END) AS lo, max(CASE WHEN dx = dy THEN 1 ELSE 0 END) AS hi
+  FROM {cells} c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dx, dy) GROUP BY ALL),
+k AS (SELECT {key}, CAST(sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND lo = hi THEN 2 ELSE 0 END) AS BIGINT) AS corners,
+  CAST(sum(CASE WHEN n IN (1, 3) THEN x * 1000 + y WHEN n = 2 AND lo = hi THEN 2 * (x * 1000 + y) ELSE 0 END) AS BIGINT) AS corner_sum FROM q GROUP BY 1),
+a AS (SELECT {key}, round(sum((nx - x) * (ny - y)), 6) AS area FROM {cells} GROUP BY 1)
+SELECT {key}, area, corners, corner_sum FROM a JOIN k USING ({key})"""
+
+
+def _told(rows, key: str):
+    """Area, corners and a sum over the corners of each key's polygons."""
+    rings = F.concat(F.array("ring"), "holes")
+    corner = lambda r: F.aggregate(F.slice(r, 2, 1 << 30), F.lit(0.0), lambda s, p: s + p["x"] * 1000 + p["y"])
+    each = rows.select(
+        key, G.area(F.col("ring"), F.col("holes")).alias("area"), F.aggregate(rings, F.lit(0), lambda n, r: n + F.size(r) - 1).alias("n"),
+        F.aggregate(rings, F.lit(0.0), lambda s, r: s + corner(r)).alias("s"),
+    )
+    return each.groupBy(key).agg(F.round(F.sum("area"), 6).alias("area"), F.sum("n").alias("corners"), F.round(F.sum("s")).cast("long").alias("corner_sum"))
+
+
+@query(f"{_CUT}, o AS (SELECT * FROM c WHERE EXISTS (SELECT 1 FROM f WHERE f.parcel = c.parcel AND f.x0 <= c.x AND f.x1 >= c.nx AND f.y0 <= c.y AND f.y1 >= c.ny)), {_CORNERS.format(key='parcel', cells='o').replace('SELECT parcel, parcel,', 'SELECT parcel,')}")
+def dissolved_polygons(spark, d):
+    return _told(polygons.dissolved_polygons(_rectangles(spark, d), "parcel"), "parcel")
+
+
+@query(f"""{_CUT}, m AS (SELECT * FROM c WHERE EXISTS (SELECT 1 FROM f WHERE NOT {_MASKED} AND f.parcel = c.parcel AND f.x0 <= c.x AND f.x1 >= c.nx AND f.y0 <= c.y AND f.y1 >= c.ny)),
+  o AS (SELECT f.id, m.* FROM f JOIN m ON f.parcel = m.parcel AND f.x0 <= m.x AND f.x1 >= m.nx AND f.y0 <= m.y AND f.y1 >= m.ny WHERE {_MASKED}), {_CORNERS.format(key='id', cells='o')}""")
+def clipped_polygons(spark, d):
+    rows = _rectangles(spark, d)
+    parts = polygons.clipped_polygons(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0").select("parcel", "ring"), "parcel")
+    return _told(parts, "id")
+
+
+@query(f"""WITH {_RECT}, xs AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx FROM (SELECT x0 AS x FROM f UNION SELECT x1 FROM f)), ys AS (SELECT y, lead(y) OVER (ORDER BY y) AS ny FROM (SELECT y0 AS y FROM f UNION SELECT y1 FROM f)),
+  c AS (SELECT * FROM xs, ys WHERE nx IS NOT NULL AND ny IS NOT NULL), o AS (SELECT DISTINCT ON (x, y) 0 AS parcel, c.x, c.nx, c.y, c.ny, f.id FROM c JOIN f ON f.x0 <= c.x AND f.x1 >= c.nx AND f.y0 <= c.y AND f.y1 >= c.ny ORDER BY x, y, weight DESC, id),
+  {_CORNERS.format(key='id', cells='o')}""")
+def overlay_polygons(spark, d):
+    return _told(polygons.overlay_polygons(_rectangles(spark, d)), "id")
+
+
+# Half of all points lie in one cell of the plain grid.
+_DENSE = f"{PTS}, dense AS (SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN x / 400 ELSE x END AS x, CASE WHEN l_orderkey % 2 = 0 THEN y / 400 ELSE y END AS y, z FROM pts)"
+
+
+@query(f"WITH {_DENSE}, b AS (SELECT s_suppkey AS box, s_suppkey * 17 % 180 * (s_suppkey % 3) / 3e2 AS x0, s_suppkey * 29 % 80 * (s_suppkey % 3) / 3e2 AS y0, 1e0 + s_suppkey % 7 AS side FROM supplier) SELECT box, count(*) AS n, round(sum(z), 4) AS z FROM dense JOIN b ON x BETWEEN x0 AND x0 + side AND y BETWEEN y0 AND y0 + side GROUP BY 1")
+def quadtree_join(spark, d):
+    even = F.col("l_orderkey") % 2 == 0
+    dense = points(spark, d).select(F.when(even, F.col("x") / 400).otherwise(F.col("x")).alias("x"), F.when(even, F.col("y") / 400).otherwise(F.col("y")).alias("y"), "z")
+    k = F.col("s_suppkey")
+    low, side = [(k * a % b * (k % 3) / 300.0) for a, b in ((17, 180), (29, 80))], 1.0 + k % 7
+    boxes = read(spark, d, "supplier").select(k.alias("box"), low[0].alias("min_x"), low[1].alias("min_y"), (low[0] + side).alias("max_x"), (low[1] + side).alias("max_y"))
+    return spatialjoin.quadtree_join(dense, boxes).groupBy("box").agg(F.count("*").alias("n"), F.round(F.sum("z"), 4).alias("z"))

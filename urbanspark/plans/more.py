@@ -32,7 +32,7 @@ def _rectangles(spark, d):
 
 @query(f"{_CUT} SELECT parcel, round(sum((nx - x) * (ny - y)), 6) AS area FROM c WHERE EXISTS (SELECT 1 FROM f WHERE f.parcel = c.parcel AND f.x0 <= c.x AND f.x1 >= c.nx AND f.y0 <= c.y AND f.y1 >= c.ny) GROUP BY 1")
 def polygon_dissolve(spark, d):
-    parts = polygons.dissolved(_rectangles(spark, d), "parcel", 40.0)
+    parts = polygons.dissolved(_rectangles(spark, d), "parcel")
     return polygons.areas(parts, "parcel").select("parcel", F.round("area", 6).alias("area"))
 
 
@@ -43,7 +43,7 @@ _MASKED = "f.id % 3 <> 0"
   SELECT f.id, round(sum((nx - x) * (ny - y)), 6) AS area FROM f JOIN m ON f.parcel = m.parcel AND f.x0 <= m.x AND f.x1 >= m.nx AND f.y0 <= m.y AND f.y1 >= m.ny WHERE {_MASKED} GROUP BY 1""")
 def polygon_clip_to_parcel(spark, d):
     rows = _rectangles(spark, d)
-    parts = polygons.clipped(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"), "parcel", 40.0)
+    parts = polygons.clipped(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"), "parcel")
     return polygons.areas(parts, "id").select("id", F.round("area", 6).alias("area"))
 
 
@@ -51,7 +51,7 @@ def polygon_clip_to_parcel(spark, d):
   c AS (SELECT * FROM xs, ys WHERE nx IS NOT NULL AND ny IS NOT NULL), w AS (SELECT DISTINCT ON (x, y) c.x, c.nx, c.y, c.ny, f.id FROM c JOIN f ON f.x0 <= c.x AND f.x1 >= c.nx AND f.y0 <= c.y AND f.y1 >= c.ny ORDER BY x, y, weight DESC, id)
   SELECT id, round(sum((nx - x) * (ny - y)), 6) AS area FROM w GROUP BY 1""")
 def polygon_overlay_by_weight(spark, d):
-    parts = polygons.overlay(_rectangles(spark, d), 8.0)
+    parts = polygons.overlay(_rectangles(spark, d))
     return polygons.areas(parts, "id").select("id", F.round("area", 6).alias("area"))
 
 
@@ -201,9 +201,17 @@ def landcover_colour(spark, d):
     return mapalgebra.class_colour(rows, table, "classe", dims.COSIA_DEFAULT_COLOUR).select("id", "colour")
 
 
-@query(f"WITH {BLD} SELECT id, hauteur_2 AS hauteur FROM bld")
+@query(f"""WITH {BLD} SELECT id, k AS name, hauteur_2 + k AS hauteur FROM bld, range(6) t(k)""")
 def height_column(spark, d):
-    return features.ensure_height(bld(spark, d).select("id", F.col("hauteur_2").alias("HAUTEUR"))).select("id", "hauteur")
+    # A table for each of the names; later names are there too and don't count.
+    names = features.HEIGHT_COLUMNS
+    h = F.col("hauteur_2")
+    table = lambda k: bld(spark, d).select("id", F.lit(k).cast("long").alias("name"), *[(h + j).alias(n) for j, n in reversed(list(enumerate(names))) if j >= k and not (n == "HAUTEUR" and k == 0)])
+    out = [features.ensure_height(table(k)).select("id", "name", "hauteur") for k in range(len(names))]
+    every = out[0]
+    for t in out[1:]:
+        every = every.unionByName(t)
+    return every
 
 
 @query(f"WITH {BLD} SELECT id, x0 + w / 2 - 250e0 AS min_x, y0 + l / 2 - 250e0 AS min_y, x0 + w / 2 + 250e0 AS max_x, y0 + l / 2 + 250e0 AS max_y FROM bld")
