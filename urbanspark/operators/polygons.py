@@ -577,5 +577,5 @@ def in_any(points: DataFrame, shapes: DataFrame, tile: float = 100.0) -> DataFra
     """Points (x, y and others) that lie in at least one shape (ring): the semi-join with a union, by tiles."""
     keyed = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
     near = _tiled(shapes.select("ring"), tile)
-    inside = F.expr("p.tx = s.tx and p.ty = s.ty") & G.contains(F.col("s.ring"), F.col("p.x"), F.col("p.y"))
-    return keyed.alias("p").join(near.alias("s"), inside, "left_semi").drop("tx", "ty")
+    inside = F.expr("__points.tx = __shapes.tx and __points.ty = __shapes.ty") & G.contains(F.col("__shapes.ring"), F.col("__points.x"), F.col("__points.y"))
+    return keyed.alias("__points").join(near.alias("__shapes"), inside, "left_semi").drop("tx", "ty")

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..core import BBox, shared_folder
+from ..core import BBox, Grid, shared_folder
+from ..functions import crs
 from ..functions import geometry as G
-from ..operators import polygons, spatialjoin
+from ..operators import polygons, spatialjoin, warp
 from ..sources import geotiff, tiles
 from .fixtures import BLD, GRID, PTS, points, read
 from .fixtures import buildings as bld
@@ -105,3 +106,60 @@ def quadtree_join(spark, d):
     low, side = [(k * a % b * (k % 3) / 300.0) for a, b in ((17, 180), (29, 80))], 1.0 + k % 7
     boxes = read(spark, d, "supplier").select(k.alias("box"), low[0].alias("min_x"), low[1].alias("min_y"), (low[0] + side).alias("max_x"), (low[1] + side).alias("max_y"))
     return spatialjoin.quadtree_join(dense, boxes).groupBy("box").agg(F.count("*").alias("n"), F.round(F.sum("z"), 4).alias("z"))
+
+
+# Projections. SQL goes from one to the other by way of the isometric latitude, which both formulas have in common.
+
+
+def _sum(coefficients, term: str) -> str:
+    return " + ".join(f"({c!r}) * {term.format(j=2 * j)}" for j, c in enumerate(coefficients, 1))
+
+
+_T = crs.Transverse.of(25831)
+_C = crs.Cone.of(2154)
+_UTM = f"""(SELECT *, {_T.x0!r} + {_T.radius!r} * (eta + {_sum(_T.alpha, 'cos({j} * xi) * sinh({j} * eta)')}) AS east, {_T.y0!r} + {_T.radius!r} * (xi + {_sum(_T.alpha, 'sin({j} * xi) * cosh({j} * eta)')}) AS north
+  FROM (SELECT *, atan2(sinh(psi), cos(dl)) AS xi, asinh(sin(dl) / sqrt(sinh(psi) ** 2 + cos(dl) ** 2)) AS eta FROM (SELECT *, atanh(sin(radians(lat))) - {crs.GRS80.e!r} * atanh({crs.GRS80.e!r} * sin(radians(lat))) AS psi, radians(lon - 3) AS dl FROM l)))"""
+_LL = "l AS (SELECT c_custkey AS id, (c_custkey * 37 % 1000) / 125e0 - 1 AS lon, 42 + (c_custkey * 91 % 1000) / 125e0 AS lat FROM customer)"
+
+
+def _places(spark, d):
+    k = F.col("c_custkey")
+    return read(spark, d, "customer").select(k.alias("id"), ((k * 37 % 1000) / 125.0 - 1).alias("lon"), (F.lit(42) + (k * 91 % 1000) / 125.0).alias("lat"))
+
+
+@query(f"WITH {_LL} SELECT id, round(east, 3) AS x, round(north, 3) AS y FROM {_UTM}")
+def transverse_forward(spark, d):
+    x, y = crs.forward(F.col("lon"), F.col("lat"), 25831)
+    return _places(spark, d).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"WITH {_LL}, s AS (SELECT unnest([2154, 3945, 25831, 32632, 3857, 27572, 27700]) AS srid) SELECT id, srid, round(lon, 6) AS lon, round(lat, 6) AS lat FROM l, s")
+def projections_round_trip(spark, d):
+    rows, out = _places(spark, d), None
+    for srid in (2154, 3945, 25831, 32632, 3857, 27572, 27700):
+        p = rows.withColumn("p", crs.transform_point(F.col("lon"), F.col("lat"), 4326, srid))
+        q = p.withColumn("q", crs.transform_point(F.col("p.x"), F.col("p.y"), srid, 4326)).select("id", F.lit(srid).alias("srid"), F.round("q.x", 6).alias("lon"), F.round("q.y", 6).alias("lat"))
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
+# A raster of 4 m cells about 3 E 46.5 N, asked for on a grid of the other system, clipped to two rectangles.
+_SOURCE = Grid(699900.0, 6600050.0, 4.0, GRID.width, GRID.height)
+_TARGET = Grid(499893.0, 5149680.0, 3.0, 80, 50)
+_CLIPS = ((499900.0, 5149560.0, 500010.0, 5149645.0), (500040.5, 5149540.0, 500110.0, 5149620.5))
+_BACK = f"""WITH v AS (SELECT CAST(l_suppkey % {GRID.height} AS INT) AS "row", CAST(l_partkey % {GRID.width} AS INT) AS col, max(l_quantity) AS v FROM lineitem WHERE l_linenumber < 4 GROUP BY 1, 2),
+t AS (SELECT CAST(r AS INT) AS tr, CAST(c AS INT) AS tc, {_TARGET.x_min!r} + (c + 0.5e0) * {_TARGET.res!r} AS e, {_TARGET.y_max!r} - (r + 0.5e0) * {_TARGET.res!r} AS n FROM range({_TARGET.height}) a(r), range({_TARGET.width}) b(c)),
+i AS (SELECT *, (n - {_T.y0!r}) / {_T.radius!r} AS a, (e - {_T.x0!r}) / {_T.radius!r} AS b FROM t WHERE {" OR ".join(f"(e > {x0!r} AND e < {x1!r} AND n > {y0!r} AND n < {y1!r})" for x0, y0, x1, y1 in _CLIPS)}),
+j AS (SELECT *, a - ({_sum(_T.beta, 'sin({j} * a) * cosh({j} * b)')}) AS xi, b - ({_sum(_T.beta, 'cos({j} * a) * sinh({j} * b)')}) AS eta FROM i),
+k AS (SELECT *, {_C.scale!r} * exp(-{_C.n!r} * atanh(sin(xi) / cosh(eta))) AS rho, {_C.n!r} * (atan2(sinh(eta), cos(xi)) + radians({_T.lon0!r} - {_C.lon0!r})) AS theta FROM j),
+m AS (SELECT tr, tc, ({_C.x0!r} + rho * sin(theta) - {_SOURCE.x_min!r}) / 4e0 - 0.5e0 AS fx, ({_SOURCE.y_max!r} - ({_C.y0!r} + {_C.rho0!r} - rho * cos(theta))) / 4e0 - 0.5e0 AS fy FROM k)
+SELECT tr AS "row", tc AS col, round(sum(w * v) / sum(w), 5) AS v FROM (SELECT tr, tc, v.v, (CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS w
+  FROM m, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) s(dy, dx) JOIN v ON v."row" = floor(fy) + dy AND v.col = floor(fx) + dx) GROUP BY 1, 2"""
+
+
+@query(_BACK)
+def warp_and_clip(spark, d):
+    cells = read(spark, d, "lineitem").where("l_linenumber < 4").groupBy((F.col("l_suppkey") % GRID.height).cast("int").alias("row"), (F.col("l_partkey") % GRID.width).cast("int").alias("col")).agg(F.max("l_quantity").alias("v"))
+    mask = spark.createDataFrame([tuple(map(float, c)) for c in _CLIPS], "a double, b double, c double, d double").select(G.rectangle(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("ring"))
+    out = warp.warp(cells, _SOURCE, _TARGET, "v", source_srid=2154, target_srid=25831, mask=mask, tile=16)
+    return out.select("row", "col", F.round("v", 5).alias("v"))
