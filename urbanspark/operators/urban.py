@@ -70,8 +70,8 @@ def linearity(line: Column) -> Column:
     return F.when(length > 0, F.sqrt((last["x"] - first["x"]) ** 2 + (last["y"] - first["y"]) ** 2) / length)
 
 
-def shared_walls(buildings: DataFrame, tolerance: float = 1e-3, cell: float = 32.0) -> DataFrame:
-    """(id, shared, share): length of the walls that a footprint has in common with others, and over its perimeter.
+def wall_pairs(buildings: DataFrame, tolerance: float = 1e-3, cell: float = 32.0) -> DataFrame:
+    """(id, other, shared): length of the walls that two footprints (id, ring) have in common, seen from both.
 
     Walls meet by the line they lie on (direction and offset, to ``tolerance``) and by ``cell`` along it, so a long
     street front is many small groups; what overlaps inside a cell adds up. Footprints must not cover each other.
@@ -87,8 +87,13 @@ def shared_walls(buildings: DataFrame, tolerance: float = 1e-3, cell: float = 32
     walls = walls.withColumns({"lo": F.greatest("lo", F.col("at") * cell), "hi": F.least("hi", (F.col("at") + 1) * cell)})
     # A wall whose offset lies at the rim of its step is met from the next step as well.
     other = walls.withColumn("offset", F.explode(F.array(F.col("offset") - 1, F.col("offset"), F.col("offset") + 1))).select(F.col("id").alias("other"), "angle", "offset", "at", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = walls.join(other, ["angle", "offset", "at"]).where("id <> other").select("id", (F.least("hi", "hi2") - F.greatest("lo", "lo2")).alias("both")).where("both > 0")
-    per = met.groupBy("id").agg(F.sum("both").alias("shared"))
+    met = walls.join(other, ["angle", "offset", "at"]).where("id <> other").select("id", "other", (F.least("hi", "hi2") - F.greatest("lo", "lo2")).alias("both")).where("both > 0")
+    return met.groupBy("id", "other").agg(F.sum("both").alias("shared"))
+
+
+def shared_walls(buildings: DataFrame, tolerance: float = 1e-3, cell: float = 32.0) -> DataFrame:
+    """(id, shared, share): length of the walls that a footprint has in common with others (see ``wall_pairs``), and over its perimeter."""
+    per = wall_pairs(buildings, tolerance, cell).groupBy("id").agg(F.sum("shared").alias("shared"))
     out = buildings.select("id", G.perimeter(F.col("ring")).alias("perimeter")).join(per, "id", "left")
     return out.select("id", F.coalesce("shared", F.lit(0.0)).alias("shared"), F.when(F.col("perimeter") > 0, F.coalesce("shared", F.lit(0.0)) / F.col("perimeter")).alias("share"))
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..core import BBox, Grid, shared_folder
 from ..functions import crs
 from ..functions import geometry as G
-from ..operators import polygons, spatialjoin, warp
+from ..operators import neighbourhoods, polygons, spatialjoin, streets, urban, warp
 from ..sources import geotiff, tiles
 from .fixtures import BLD, GRID, PTS, points, read
 from .fixtures import buildings as bld
 from .more import _CUT, _MASKED, _RECT, _rectangles
-from .queries import query
+from .queries import _BOTH, _areas, _edges, query
 
 _TILE = 128.0
 
@@ -163,3 +163,98 @@ def warp_and_clip(spark, d):
     mask = spark.createDataFrame([tuple(map(float, c)) for c in _CLIPS], "a double, b double, c double, d double").select(G.rectangle(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("ring"))
     out = warp.warp(cells, _SOURCE, _TARGET, "v", source_srid=2154, target_srid=25831, mask=mask, tile=16)
     return out.select("row", "col", F.round("v", 5).alias("v"))
+
+
+# Neighbourhoods
+
+
+@query(f"""WITH {_BOTH}, r1 AS (SELECT DISTINCT id, o FROM n), r2 AS (SELECT DISTINCT r1.id, n.o FROM r1 JOIN n ON n.id = r1.o WHERE n.o <> r1.id), r3 AS (SELECT DISTINCT r2.id, n.o FROM r2 JOIN n ON n.id = r2.o WHERE n.o <> r2.id),
+  r AS (SELECT id, o, min(ring) AS ring FROM (SELECT *, 1 AS ring FROM r1 UNION ALL SELECT *, 2 FROM r2 UNION ALL SELECT *, 3 FROM r3) GROUP BY 1, 2), k AS (SELECT unnest([1, 2, 3]) AS k)
+  SELECT v.id, k, count(w.id) AS neighbours, round(sum(w.area), 4) AS total, CAST(floor(avg(w.area) * 1000 + 1e-4) AS BIGINT) AS mean_in_thousandths FROM v CROSS JOIN k LEFT JOIN r ON r.id = v.id AND r.ring <= k LEFT JOIN v w ON w.id = r.o GROUP BY 1, 2""")
+def ring_neighbours(spark, d):
+    values, out = _areas(spark, d), None
+    found = neighbourhoods.rings(_edges(spark, d), 3)
+    for k in (1, 2, 3):
+        rows = neighbourhoods.ring_statistics(found.where(F.col("ring") <= k), values, "area")
+        rows = rows.select("id", F.lit(k).alias("k"), "neighbours", F.round("total", 4).alias("total"), F.floor(F.col("mean") * 1000 + 1e-4).alias("mean_in_thousandths"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_ROWS = f"{BLD}, r AS (SELECT id, floor(id / 50e0) AS line, w, l FROM bld)"
+
+
+def _houses(spark, d):
+    """Rows of fifty houses side by side."""
+    e = G.envelope(F.col("ring"))
+    x = (F.col("id") % 50) * 10.0
+    return bld(spark, d).select("id", "area", G.rectangle(x, e["min_y"], x + 10.0, e["max_y"]).alias("ring"))
+
+
+def _sides(spark, d):
+    rows = bld(spark, d).select("id")
+    return rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("id").alias("b")), "id").where("floor(id / 50) = floor(b / 50)").select(F.col("id").alias("a"), "b")
+
+
+@query(f"WITH {_ROWS}, n AS (SELECT a.id, count(*) AS n FROM r a JOIN r b ON b.line = a.line AND b.id IN (a.id - 1, a.id + 1) GROUP BY 1) SELECT id, coalesce(n, 0) AS neighbours, round(coalesce(n, 0) / (2 * (10 + l)), 9) AS weighted FROM r LEFT JOIN n USING (id)")
+def weighted_neighbours(spark, d):
+    return neighbourhoods.weighted_neighbours(_sides(spark, d), _houses(spark, d)).select("id", "neighbours", F.round("weighted", 9).alias("weighted"))
+
+
+@query(f"WITH {_ROWS}, m AS (SELECT a.id, round(sum(b.w * b.l * least(a.l, b.l)) / sum(least(a.l, b.l)), 6) AS mean FROM r a JOIN r b ON b.line = a.line AND b.id IN (a.id - 1, a.id + 1) GROUP BY 1) SELECT id, mean FROM r LEFT JOIN m USING (id)")
+def wall_weighted_mean(spark, d):
+    houses = _houses(spark, d)
+    return neighbourhoods.wall_weighted_mean(houses, houses, "area").select("id", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH {BLD}, e AS (SELECT a.id AS a, b.id AS b, greatest(b.x0 - a.x0 - a.w, 0) AS d FROM bld a JOIN bld b ON b.id = a.id + 1 AND floor(a.id / 50e0) = floor(b.id / 50e0))
+  SELECT bld.id, round(avg(d), 6) AS distance FROM bld LEFT JOIN e ON e.a BETWEEN bld.id - 2 AND bld.id + 2 AND e.b BETWEEN bld.id - 2 AND bld.id + 2 GROUP BY 1""")
+def interbuilding_distance(spark, d):
+    # The neighbourhood is two houses to either side, over the rows' ends as well.
+    rows = bld(spark, d)
+    near = rows.select("id", F.explode(F.array(*[F.col("id") + k for k in (-2, -1, 1, 2)])).alias("node"))
+    return neighbourhoods.interbuilding_distance(rows, _sides(spark, d), near).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH {BLD}, c AS (SELECT id, floor(id / 50e0) * 10 + floor(id % 50 / 5e0) AS block FROM bld), n AS (SELECT a.id, b.block FROM c a JOIN c b ON b.id <> a.id AND b.id BETWEEN a.id - 7 AND a.id + 7)
+  SELECT c.id, round(count(DISTINCT n.block) / count(n.block), 9) AS adjacency FROM c LEFT JOIN n USING (id) GROUP BY 1""")
+def building_adjacency(spark, d):
+    # Fives of houses are joined.
+    rows = bld(spark, d)
+    near = rows.select("id", F.explode(F.expr("transform(filter(sequence(-7, 7), k -> k <> 0), k -> id + k)")).alias("node"))
+    joined = _sides(spark, d).where("floor(a % 50 / 5) = floor(b % 50 / 5)")
+    return neighbourhoods.adjacency_share(joined, near, rows).select("id", F.round("adjacency", 9).alias("adjacency"))
+
+
+# Streets: even ones run along x, odd ones along y, as far as their number says; many end on another or cross it.
+_STREETS = """h AS (SELECT s_suppkey AS k, CAST(s_suppkey AS DOUBLE) AS y, s_suppkey * 7 % 150 + 0e0 AS x0, s_suppkey * 7 % 150 + 40e0 + s_suppkey % 60 AS x1 FROM supplier WHERE s_suppkey % 2 = 0),
+v AS (SELECT s_suppkey AS k, CAST(s_suppkey AS DOUBLE) AS x, s_suppkey * 11 % 150 + 0e0 AS y0, s_suppkey * 11 % 150 + 40e0 + s_suppkey % 60 AS y1 FROM supplier WHERE s_suppkey % 2 = 1),
+x AS (SELECT h.k AS hk, v.k AS vk, v.x, h.y FROM h JOIN v ON v.x BETWEEN h.x0 AND h.x1 AND h.y BETWEEN v.y0 AND v.y1),
+p AS (SELECT hk AS id, x, y FROM x UNION SELECT vk, x, y FROM x UNION SELECT k, x0, y FROM h UNION SELECT k, x1, y FROM h UNION SELECT k, x, y0 FROM v UNION SELECT k, x, y1 FROM v),
+e AS (SELECT id, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM p WINDOW w AS (PARTITION BY id ORDER BY x, y))"""
+
+
+def _streets(spark, d, bends: bool = False):
+    k = F.col("s_suppkey")
+    rows = read(spark, d, "supplier")
+    at, far = k.cast("double"), 40.0 + k % 60
+    low = F.when(k % 2 == 0, k * 7 % 150).otherwise(k * 11 % 150).cast("double")
+    place = lambda t: F.when(k % 2 == 0, G.point(t, at)).otherwise(G.point(at, t))
+    line = [place(low), *([place(low + far / 3)] if bends else []), place(low + far)]
+    return rows.select(k.alias("id"), F.array(*line).alias("line"))
+
+
+@query(f"WITH {_STREETS} SELECT id, ax, ay, bx, by_ AS by, round(bx - ax + by_ - ay, 6) AS length FROM e WHERE bx IS NOT NULL")
+def street_edges(spark, d):
+    nodes, edges = streets.graph(_streets(spark, d))
+    at = lambda n: nodes.select(F.col("node").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    out = edges.join(at("a"), "a").join(at("b"), "b")
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by", "length")])
+
+
+@query(f"WITH {_STREETS}, n AS (SELECT x, y, count(*) AS degree FROM (SELECT ax AS x, ay AS y FROM e WHERE bx IS NOT NULL UNION ALL SELECT bx, by_ FROM e WHERE bx IS NOT NULL) GROUP BY 1, 2) SELECT x, y, degree FROM n WHERE degree <> 2")
+def street_nodes(spark, d):
+    # Bends along the streets are no true nodes.
+    nodes, edges = streets.graph(_streets(spark, d, bends=True))
+    whole = streets.simplified(edges)
+    return urban.node_degree(whole).join(nodes, "node").where("degree <> 2").select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "degree")
