@@ -103,3 +103,10 @@ def jfa_steps(width: int, height: int) -> list[int]:
         n //= 2
         steps.append(n)
     return [*steps, 1]
+
+
+def jfa_steps_of(width: Column, height: Column) -> Column:
+    """The same as an array column."""
+    n = F.ceil(F.log2(F.greatest(width, height, F.lit(1)).cast("double"))).cast("int")
+    halves = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.pow(F.lit(2.0), n - i).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.concat(halves, F.array(F.lit(1)))

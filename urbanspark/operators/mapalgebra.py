@@ -128,6 +128,11 @@ def components(cells: DataFrame, grid: Grid, checkpoint: bool = True) -> DataFra
     return out.select("row", F.col("col").cast("int").alias("col"), "value", "label")
 
 
+def distinct_classes(raster: DataFrame, band: str = "value") -> DataFrame:
+    """The band's values, each once; cells without one don't count."""
+    return raster.where(F.col(band).isNotNull()).select(band).distinct()
+
+
 def component_areas(labelled: DataFrame, cell_area: float = 1.0) -> DataFrame:
     return labelled.groupBy("label", "value").agg((F.count("*") * cell_area).alias("area"))
 

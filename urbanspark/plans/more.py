@@ -143,10 +143,10 @@ def layer_polygons(spark, d):
     return bld(spark, d).select("id", layer.contains("ENON-arbres").alias("tree"), F.round(G.area(shape), 6).alias("area"))
 
 
-@query("SELECT CAST(r AS INT) AS \"row\", CAST(c AS INT) AS col, c * 4e0 AS corner_x, 100 - r * 4e0 AS corner_y, c * 4e0 + 2 AS centre_x, 98 - r * 4e0 AS centre_y FROM range(25) a(r), range(50) b(c)")
+@query("SELECT p_partkey AS id, (p_partkey % 50) * 4e0 AS corner_x, 100 - (p_size % 25) * 4e0 AS corner_y, (p_partkey % 50) * 4e0 + 2 AS centre_x, 98 - (p_size % 25) * 4e0 AS centre_y FROM part")
 def pixel_positions(spark, d):
-    r, c = F.col("row"), F.col("col")
-    return GRID.cells(spark).select("row", "col", GRID.x_of(c).alias("corner_x"), GRID.y_of(r).alias("corner_y"), GRID.x_of(c, 0.5).alias("centre_x"), GRID.y_of(r, 0.5).alias("centre_y"))
+    r, c = F.col("p_size") % 25, F.col("p_partkey") % 50
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), GRID.x_of(c).alias("corner_x"), GRID.y_of(r).alias("corner_y"), GRID.x_of(c, 0.5).alias("centre_x"), GRID.y_of(r, 0.5).alias("centre_y"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 AND value - 20e0 >= 0 THEN value - 20e0 END AS speed FROM events")
@@ -284,15 +284,19 @@ def street_profiles(spark, d):
     return out.select("street_id", *[F.round(c, 9).alias(c) for c in ("width", "deviation", "openness")])
 
 
-# A uniform wind has no divergence, so the solver leaves it as it is.
-@query("SELECT CAST(r AS INT) AS \"row\", CAST(c AS INT) AS col, CAST(z AS INT) AS k, 3e0 AS u, -1e0 AS v, 0e0 AS w FROM range(12) a(r), range(12) b(c), range(5) t(z)")
+# A uniform wind has no divergence, so the solver leaves it as it is; the parts of a class of sizes give a direction its speed.
+_SPEEDS = "s AS (SELECT p_size % 4 AS dir, 2e0 + max(p_size) AS u, -1e0 - min(p_size) AS v FROM part GROUP BY 1)"
+
+
+@query(f"WITH {_SPEEDS} SELECT CAST(dir AS DOUBLE) AS dir, CAST(r AS INT) AS \"row\", CAST(c AS INT) AS col, CAST(z AS INT) AS k, u, v, 0e0 AS w FROM s, range(12) a(r), range(12) b(c), range(5) t(z)")
 def uniform_wind(spark, d):
     from ..operators import solver
 
-    n = F.col("id")
-    cells = spark.range(144).select(F.lit(0.0).alias("dir"), F.floor(n / 12).cast("int").alias("row"), (n % 12).cast("int").alias("col"), F.lit(3.0).alias("speed_u"), F.lit(-1.0).alias("speed_v"), F.lit(0.0).alias("dem"), F.lit(0.0).alias("dsm"))
+    size = F.col("p_size")
+    speeds = read(spark, d, "part").groupBy((size % 4).cast("double").alias("dir")).agg((F.max(size) + 2.0).alias("speed_u"), (-F.min(size) - 1.0).alias("speed_v"))
+    cells = speeds.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumns({"dem": F.lit(0.0), "dsm": F.lit(0.0)})
     out = solver.mass_consistent(solver.initial_field(cells, 10.0, 50.0), 5.0, 5.0, 10.0)
-    return out.select("row", "col", "k", *[F.round(c, 9).alias(c) for c in "uvw"])
+    return out.select("dir", "row", "col", "k", *[F.round(c, 9).alias(c) for c in "uvw"])
 
 
 @query(f"WITH {BLD} SELECT id, round(0.75e0 * w * l, 5) AS area, round(2 * (w + l), 5) AS perimeter, round(least(w, l) / greatest(w, l), 6) AS elongation, round(sqrt(0.75e0), 6) AS eri, round(6 / 7e0, 6) AS convexity FROM bld")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..core import BBox, jfa_steps
+from ..core import BBox, jfa_steps_of
 from ..functions import crs
 from ..functions import geometry as G
 from ..functions import wind as W
@@ -104,9 +104,11 @@ def lidar_tile_coverage(spark, d):
     return points.tile_coverage(read(spark, d, "lineitem").select(name("l_suppkey", 18)), tiles)
 
 
-@query("SELECT CAST(n AS INT) AS n, CAST(step AS INT) AS step FROM (VALUES (0, 4), (1, 2), (2, 1), (3, 1)) t(n, step)")
+@query("""SELECT id, CAST(n AS INT) AS n, CAST(step AS INT) AS step FROM (SELECT p_partkey AS id, unnest(range(0, e + 1)) AS n, unnest(list_append(list_transform(range(1, e + 1), lambda i: 2 ** (e - i)), 1)) AS step
+  FROM (SELECT p_partkey, CAST(ceil(log2(greatest(p_size, p_partkey % 40 + 1))) AS INT) AS e FROM part))""")
 def jfa_schedule(spark, d):
-    return spark.createDataFrame(list(enumerate(jfa_steps(8, 4))), "n int, step int")
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), jfa_steps_of(F.col("p_size"), F.col("p_partkey") % 40 + 1).alias("s"))
+    return rows.select("id", F.posexplode("s").alias("n", "step"))
 
 
 _NODES = "SELECT CAST(r_regionkey % 4 AS INT) AS level, CAST(n_nationkey % 3 AS INT) AS vx, CAST(n_nationkey % 5 AS INT) AS vy, n_nationkey AS node FROM nation JOIN region ON n_regionkey = r_regionkey"
@@ -276,8 +278,8 @@ def vegetation_factor(spark, d):
 
 @query()
 def mass_consistent_wind(spark, d):
-    n = F.col("id")
-    cells = spark.range(20 * 20).select(F.lit(0.0).alias("dir"), F.floor(n / 20).cast("int").alias("row"), (n % 20).cast("int").alias("col"), F.lit(3.0).alias("speed_u"), F.lit(0.0).alias("speed_v"), F.lit(0.0).alias("dem"), F.when((n % 20).between(8, 11) & F.floor(n / 20).between(8, 11), 20.0).otherwise(0.0).alias("dsm"))
+    # Where the cloud's surface is high there are buildings of 20 m.
+    cells = _cells(spark, d).select(F.lit(0.0).alias("dir"), "row", "col", F.lit(3.0).alias("speed_u"), F.lit(0.0).alias("speed_v"), F.lit(0.0).alias("dem"), F.when(F.col("dsm") > 50.0, 20.0).otherwise(0.0).alias("dsm"))
     voxels = solver.mass_consistent(solver.initial_field(cells, 10.0), 5.0, 5.0, 10.0, 1e-3, 200)
     ground = cells.select("row", "col", F.col("dsm").alias("building_height"))
     return solver.slice_at(voxels, ground, 15.0, 10.0, 270.0)

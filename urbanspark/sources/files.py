@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -37,6 +39,25 @@ def write_geojson(buildings: DataFrame, path: str) -> None:
     features.feature_json(buildings).write.mode("overwrite").text(path)
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write each row (name, content) as a file of a folder in a store that Arrow writes to; how many there are. The tasks write; a file gets its name when it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if re.match(r"\w+:", folder) else (fs.LocalFileSystem(), folder)
+        store.create_dir(base)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(content.as_buffer())
+                store.move(part, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def collection(buildings: DataFrame) -> DataFrame:
     """One row: the whole FeatureCollection as text."""
     return features.feature_json(buildings).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))

@@ -152,3 +152,82 @@ def layer_polygon(layer: Column, ring: Column) -> Column:
     """A tree layer's shape becomes a circle about its vertices' mean, as wide as the farthest vertex is from its box's centre; others stay."""
     about = lambda r: G.bound(F.struct(G.vertex_mean(r).alias("c"), G.circumscribed_radius(r).alias("radius")), lambda v: G.circle(v["c"]["x"], v["c"]["y"], v["radius"]))
     return G.bound(ring, lambda r: F.when(layer.contains("ENON-arbres"), about(r)).otherwise(r))
+
+
+def shapefile_bytes(rings: list[list[list[tuple[float, float]]]], rows: list[dict[str, str | None]], fields: dict[str, int]) -> dict[str, bytes]:
+    """The .shp, .shx and .dbf of polygons (each a list of closed rings) and their attributes as text of at most so many bytes; longer values are an error."""
+    records, index, at = [], [], 100
+    box = [float("inf"), float("inf"), float("-inf"), float("-inf")]
+    for n, parts in enumerate(rings, 1):
+        xy = [p for r in parts for p in r]
+        if xy:
+            xs, ys = [p[0] for p in xy], [p[1] for p in xy]
+            own = (min(xs), min(ys), max(xs), max(ys))
+            box = [min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3])]
+            first = [sum(len(r) for r in parts[:i]) for i in range(len(parts))]
+            body = struct.pack("<i4d2i", 5, *own, len(parts), len(xy)) + struct.pack(f"<{len(parts)}i", *first) + struct.pack(f"<{2 * len(xy)}d", *(v for p in xy for v in p))
+        else:
+            body = struct.pack("<i", 0)
+        records.append(struct.pack(">2i", n, len(body) // 2) + body)
+        index.append(struct.pack(">2i", at // 2, len(body) // 2))
+        at += 8 + len(body)
+    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i", 1000, 5) + struct.pack("<8d", *(box if box[0] <= box[2] else [0.0] * 4), 0, 0, 0, 0)
+    width = 1 + sum(fields.values())
+    columns = b"".join(struct.pack("<11sc4xBB14x", name.encode()[:10], b"C", size, 0) for name, size in fields.items())
+    lines = []
+    for row in rows:
+        values = [(row.get(name) or "").encode() for name in fields]
+        if long := next((n for n, v in zip(fields, values, strict=True) if len(v) > fields[n]), None):
+            raise ValueError(f"a value of {long} has more than {fields[long]} bytes")
+        lines.append(b" " + b"".join(v.ljust(size) for v, size in zip(values, fields.values(), strict=True)))
+    table = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(fields), width) + columns + b"\r" + b"".join(lines) + b"\x1a"
+    return {"shp": head(at) + b"".join(records), "shx": head(100 + 8 * len(index)) + b"".join(index), "dbf": table}
+
+
+def shapefiles(features: DataFrame, *columns: str, width: int = 64) -> DataFrame:
+    """(name, content) of a shapefile a task: polygons (ring, maybe holes) with columns as text; ``files.write_files`` puts them into a folder.
+
+    Outer rings run clockwise and holes the other way, as the format wants. A task without rows gives no files.
+    """
+    rows = features if "holes" in features.columns else features.withColumn("holes", F.lit(None).cast("array<array<struct<x:double,y:double>>>"))
+    picked = rows.select(F.spark_partition_id().alias("__task"), "ring", "holes", *[F.col(c).cast("string").alias(c) for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes_, values, task = [], [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                task = r["__task"]
+                turned = [(ring, hole) for ring, hole in ((r["ring"], False), *((h, True) for h in r["holes"] or ())) if ring]
+                shapes_.append([_turned([(p["x"], p["y"]) for p in ring], hole) for ring, hole in turned])
+                values.append({c: r[c] for c in columns})
+        if values:
+            made = shapefile_bytes(shapes_, values, dict.fromkeys(columns, width))
+            yield pa.RecordBatch.from_arrays([pa.array([f"part-{task:05d}.{e}" for e in made]), pa.array(list(made.values()), pa.binary())], ["name", "content"])
+
+    return picked.mapInArrow(run, "name string, content binary")
+
+
+def _turned(ring: list[tuple[float, float]], left: bool) -> list[tuple[float, float]]:
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+    return ring if (area > 0) == left else ring[::-1]
+
+
+def dxf_lines(features: DataFrame) -> DataFrame:
+    """Drawings as text: an entity (layer, ring) is a closed polyline; a row holds its group codes, and ``dxf_document`` frames the rows of a file."""
+    pairs = F.concat(
+        F.lit("0\nLWPOLYLINE\n8\n"), F.col("layer"), F.lit("\n90\n"), (F.size("ring") - 1).cast("string"), F.lit("\n70\n1\n"),
+        F.array_join(F.transform(F.slice("ring", F.lit(1), F.size("ring") - 1), lambda p: F.concat(F.lit("10\n"), p["x"].cast("string"), F.lit("\n20\n"), p["y"].cast("string"))), "\n"),
+    )
+    return features.select(pairs.alias("value"))
+
+
+def dxf_document(lines: DataFrame) -> DataFrame:
+    """(name, content) of a drawing a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches):
+            if batch.num_rows:
+                text = "0\nSECTION\n2\nENTITIES\n" + "\n".join(batch.column(1).to_pylist()) + "\n0\nENDSEC\n0\nEOF\n"
+                yield pa.RecordBatch.from_arrays([pa.array([f"part-{batch.column(0)[0].as_py():05d}-{i}.dxf"]), pa.array([text.encode()], pa.binary())], ["name", "content"])
+
+    return lines.select(F.spark_partition_id().alias("task"), "value").mapInArrow(run, "name string, content binary")
