@@ -34,17 +34,18 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class Phrases:
-    """The distinct windows of test items as rows of symbols, and the items that hold each."""
+    """The distinct windows of test items as rows of symbols, and the items (names, by number) that hold each."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
         self.symbols: dict[bytes, int] = {}
-        self.names: list[str | None] = []
+        number: dict[str | None, int] = {}  # rows of one id are one item
         rows: dict[tuple[int, ...], set[int]] = {}
         for name, text in items:
             ids = tuple(self.symbols.setdefault(w, len(self.symbols) + 1) for w in text.translate(_WORDS).split())
-            self.names.append(None if name is None else str(name))
+            item = number.setdefault(None if name is None else str(name), len(number))
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                rows.setdefault(ids[i : i + window], set()).add(len(self.names) - 1)
+                rows.setdefault(ids[i : i + window], set()).add(item)
+        self.names = list(number)
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.rows = np.zeros((len(rows), window), np.int32)
         for i, r in enumerate(rows):

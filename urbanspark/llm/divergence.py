@@ -25,7 +25,7 @@ TOP = 200
 #: A term is heavy if it occurs in more sources of its language than this, or than a third of them: at most so many postings are listed for a light one.
 LIGHT = 64
 #: Sources a side and terms of a dense tile.
-TILE_SOURCES, TILE_TERMS = 128, 2048
+TILE_SOURCES, TILE_TERMS = 128, 512
 #: Distinct (source, term) counts that a task keeps before it hands them on.
 HELD = 400_000
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -155,24 +155,28 @@ def _pairs(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 
 def tile_sums(heavy: DataFrame, groups: DataFrame, sources: int = TILE_SOURCES, terms: int = TILE_TERMS) -> DataFrame:
     """(a, b, value): the plain sum over heavy terms of every pair of groups, by tiles of sources times sources times terms. ``heavy``: (lang, tid, g, p)."""
-    blocks = heavy.groupBy("lang").agg(F.count_distinct("tid").alias("heavy")).select("lang", F.ceil(F.col("heavy") / terms).alias("tbs"))
-    sized = groups.select("lang", "g", "base", F.ceil(F.col("n_sources") / sources).alias("gbs")).join(blocks, "lang")
-    sized = sized.withColumn("gb", F.pmod(F.xxhash64("g"), F.col("gbs")))
-    places = sized.select("lang", "g", "gb", "gbs", "tbs")
-    rows = heavy.select("g", "tid", "p").join(places, "g").withColumn("tb", F.pmod(F.xxhash64("tid"), F.col("tbs")))
-    heads = sized.select("g", F.lit(None).cast("long").alias("tid"), F.col("base").alias("p"), "lang", "gb", "gbs", "tbs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tbs") - 1)).alias("tb"))
+    tids = heavy.select("lang", "tid").distinct()
+    blocks = tids.groupBy("lang").agg(F.ceil(F.count("*") / terms).alias("tbs"))
+    of_block = lambda rows: rows.withColumn("tb", F.pmod(F.xxhash64("tid"), F.col("tbs")))
+    # How many terms a block has: those that none of a tile's sources has count as well.
+    counted = of_block(tids.join(blocks, "lang")).groupBy("lang", "tb").agg(F.count("*").alias("n"))
+    sized = groups.select("lang", "g", "base", F.ceil(F.col("n_sources") / sources).alias("gbs")).withColumn("gb", F.pmod(F.xxhash64("g"), F.col("gbs")))
+    heads = sized.join(counted, "lang").select("lang", "tb", "gb", "gbs", "g", F.lit(-1).cast("long").alias("tid"), F.col("base").alias("p"), "n")
+    rows = of_block(heavy.select("g", "tid", "p").join(sized.select("lang", "g", "gb", "gbs"), "g").join(blocks, "lang"))
+    rows = rows.select("lang", "tb", "gb", "gbs", "g", "tid", "p", F.lit(0).cast("long").alias("n"))
     # A block meets every other one once; the tile gives both directions.
     cells = rows.unionByName(heads).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gbs") - 1)))
-    cells = cells.select("lang", "tb", F.least("gb", "other").alias("low"), F.greatest("gb", "other").alias("high"), "gb", "g", "tid", "p")
+    cells = cells.select("lang", "tb", F.least("gb", "other").alias("low"), F.greatest("gb", "other").alias("high"), "gb", "g", "tid", "p", "n")
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        heads = rows[rows.tid.isna()]
+        heads = rows[rows.tid < 0]
         low, high = int(rows.low.iloc[0]), int(rows.high.iloc[0])
         g, base, block = heads.g.to_numpy(), heads.p.to_numpy(), heads.gb.to_numpy()
         by = np.argsort(g)
         g, base, block = g[by], base[by], block[by]
-        some = rows[rows.tid.notna()]
-        tid, column = np.unique(some.tid.to_numpy().astype(np.int64), return_inverse=True)
+        some = rows[rows.tid >= 0]
+        tid, column = np.unique(some.tid.to_numpy(), return_inverse=True)
+        absent = int(heads.n.iloc[0]) - len(tid)
         p = np.repeat(base[:, None], len(tid), 1)
         p[np.searchsorted(g, some.g.to_numpy()), column] = some.p.to_numpy()
         out = []
@@ -180,7 +184,7 @@ def tile_sums(heavy: DataFrame, groups: DataFrame, sources: int = TILE_SOURCES,
             side, columns = np.flatnonzero(block == x), np.flatnonzero(block == y)
             q = p[columns]
             for a in side:
-                out.append(pd.DataFrame({"a": g[a], "b": g[columns], "value": _value(p[a], q).sum(1)}))
+                out.append(pd.DataFrame({"a": g[a], "b": g[columns], "value": _value(p[a], q).sum(1) + absent * _value(base[a], base[columns])}))
         every = pd.concat(out)
         return every[every.a != every.b]
 
