@@ -26,16 +26,24 @@ NOTICES = {
     "creative commons zero": "cc0", "cc0": "cc0", "cc by": "cc-by", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc by nc sa": "cc-by-nc", "cc by nc nd": "cc-by-nc",
     "all rights reserved": "reserved",
 }
+#: Licences told by their identifiers alone, each with what it permits.
+OTHERS = {
+    "zlib": 1.0, "libpng": 1.0, "bsl": 1.0, "wtfpl": 1.0, "ncsa": 1.0, "postgresql": 1.0, "x11": 1.0, "curl": 1.0, "python": 0.95, "psf": 0.95, "ruby": 0.9, "ms-pl": 0.9, "artistic": 0.8, "afl": 0.9, "ofl": 0.8,
+    "epl": 0.6, "cddl": 0.6, "cpl": 0.6, "ipl": 0.6, "eupl": 0.4, "osl": 0.4, "ms-rl": 0.5, "odbl": 0.4, "sspl": 0.1, "busl": 0.0,
+}
 PERMITS = {"mit": 1.0, "apache": 0.95, "bsd": 1.0, "isc": 1.0, "public-domain": 1.0, "cc0": 1.0, "cc-by": 0.9, "mpl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "reserved": 0.0}
 TAG = "spdx license identifier"
 #: Prefixes of identifiers, the longest that fits counts.
 FAMILIES = {"mit": "mit", "apache": "apache", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "unlicense": "public-domain", "cc0": "cc0", "cc-by": "cc-by", "cc-by-sa": "cc-by-sa", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "mpl": "mpl", "lgpl": "lgpl", "gpl": "gpl", "agpl": "agpl"}
-#: An exception loosens what the licence asks for.
+FAMILIES |= {name: name for name in OTHERS}
+PERMITS |= OTHERS
+#: An exception loosens what the licence asks for; these are exceptions whose names don't say so.
 WITH_GAIN = 0.3
+NOTES = ("linux-syscall-note", "gpl-cc-1.0", "shl-2.0", "shl-2.1")
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: A tag wherever its three words stand consecutively, and the rest of the line. No part can take what the next needs, so a search is linear.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_EXPRESSION = re.compile(rf"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?ia:spdx){_GAP}+(?ia:license){_GAP}+(?ia:identifier)\s*[:=]?[ \t]*([A-Za-z0-9.+\-() \t]*)")
+_EXPRESSION = re.compile(rf"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?ia:spdx){_GAP}+(?ia:license){_GAP}+(?ia:identifier)[ \t]*[:=]?[ \t]*([A-Za-z0-9.+\-() \t]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
 
 
@@ -83,20 +91,28 @@ def family(identifier: str) -> str | None:
     return FAMILIES[max(fits, key=len)] if fits else None
 
 
+def is_exception(identifier: str) -> bool:
+    low = identifier.lower()
+    return "exception" in low.split("-") or low in NOTES
+
+
 def evaluated(expression: str) -> tuple[set[str], float]:
-    """Labels named, and what the expression permits: or takes the freer side, and the stricter, with adds WITH_GAIN."""
-    stack: list[tuple[str, float]] = []
-    labels: set[str] = set()
+    """Labels named, and what the expression permits: or takes the freer side, and the stricter, with a known exception adds WITH_GAIN.
+
+    An identifier of no known family is a label of its own, in lower case, and permits 0.5; what follows with is none.
+    """
+    stack: list[tuple[str, float, set[str]]] = []
     for token in postfix(expression):
         if token in ("or", "and", "with"):
-            (_, b), (_, a) = stack.pop(), stack.pop()
-            stack.append(("", max(a, b) if token == "or" else min(a, b) if token == "and" else min(1.0, a + WITH_GAIN)))
+            (right, b, named), (_, a, others) = stack.pop(), stack.pop()
+            if token == "with":
+                stack.append(("", min(1.0, a + WITH_GAIN * is_exception(right)), others))
+            else:
+                stack.append(("", max(a, b) if token == "or" else min(a, b), named | others))
         else:
             name = family(token)
-            if name:
-                labels.add(name)
-            stack.append((token, PERMITS[name] if name else 0.5))
-    return labels, stack[0][1]
+            stack.append((token, PERMITS[name] if name else 0.5, {name or token.lower()}))
+    return stack[0][2], stack[0][1]
 
 
 def _trimmed(raw: str) -> str:
@@ -118,8 +134,11 @@ def scanned(data: bytes, text: str | None = None) -> tuple[int, int, int | None,
     words = data.translate(_WORDS).split()
     line = b" ".join([b"", *words, b""]).decode("latin-1")  # a byte a character: what is found counts words alone
     places, labels, base, tags = [], set(), set(), False
+    stated: dict[int, str] = {}  # where a statement ends, the longest that does
     counted, seen = 0, 0  # words that begin before the place counted last
     for end, phrase in _automaton().iter(line):
+        if phrase != TAG and len(phrase) > len(stated.get(end, "")):
+            stated[end] = phrase
         if phrase in BASE:
             at = end - len(phrase) - 1
             seen += line.count(" ", counted, at) if at >= counted else -line.count(" ", at, counted)
@@ -132,7 +151,8 @@ def scanned(data: bytes, text: str | None = None) -> tuple[int, int, int | None,
             labels.add(NOTICES[phrase])
     labels |= base
     # What the strictest statement permits, notice or tag; 0.5 where a text states nothing.
-    permits = [PERMITS[x] for x in labels]
+    # A notice that ends with a base phrase (lesser general public license) counts in its place.
+    permits = [PERMITS[BASE.get(x) or NOTICES[x]] for x in set(stated.values())]
     if tags:
         for m in _EXPRESSION.finditer(text if text is not None else data.decode()):
             if exp := _trimmed(m[1].rstrip(".")):
@@ -165,7 +185,10 @@ def license_report(docs: DataFrame) -> DataFrame:
 
 
 def license_tags(docs: DataFrame) -> DataFrame:
-    """One row per identifier tag: doc_id, start (code points), expression, labels, permits."""
+    """One row per identifier tag: doc_id, start (code points), expression, labels, permits.
+
+    A null text has none, repeated rows are told each, and an empty table gives no rows; a tag and its expression stand on one line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
