@@ -6,11 +6,14 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; bounds its memory whatever a batch holds.
@@ -35,8 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths of the tables that the innermost ``scratch`` has to delete.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table stays until the folder is cleared, but for one inside a ``scratch``. Arrow batches are bounded by bytes while it is written
+    (a session setting, restored afterwards: threads that share a session may see it).
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH, None)
@@ -45,9 +56,37 @@ def written(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes every table written inside when it ends, but for those of the ``keep(df, what)`` that it gives; these belong to the scratch around it, if there is one.
+
+    Inside, nothing may be left lazy that reads a table which goes: what goes on is to be written by ``keep``.
+    """
+    outer, own = _SCRATCH.get(), []
+    token = _SCRATCH.set(own)
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        out = written(df, what)
+        path = own.pop()
+        if outer is not None:
+            outer.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the worker, which lives on for other tasks, gives freed memory back to the system."""
 
@@ -70,9 +109,37 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a file that numbers are left for.
+_FILE_ROWS = 1 << 40
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once, each row together with a number of its own in the column ``name``: however it is split and read again, the number stays with the row."""
-    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    """``df``, each row with a number of its own in the column ``name``: however it is split and read again, the number stays with the row.
+
+    A plain scan of Parquet files is numbered by the file and the row's place in it, and nothing is copied; only the list of files is written.
+    Any other table is written once together with its numbers.
+    """
+    place = _places(df, fresh(df, "__file"), fresh(df, "__place"))
+    if place is None:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    file, at = place.columns[-2:]
+    n = fresh(df, "__n")
+    # A row a file: one task numbers them.
+    files = written(place.select(file).distinct().coalesce(1).withColumn(n, F.monotonically_increasing_id()), "files")
+    rows = place.join(maybe_broadcast(files), file)
+    return rows.select(*[rows[f"`{c}`"] for c in df.columns], (F.col(n) * _FILE_ROWS + F.col(at)).alias(name))
+
+
+def _places(df: DataFrame, file: str, at: str) -> DataFrame | None:
+    """``df`` with each row's file and place in it, if it is a plain scan of Parquet files."""
+    if "_metadata" in {c.lower() for c in df.columns} or len({c.lower() for c in df.columns}) < len(df.columns):
+        return None
+    try:
+        if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+            return None
+        return df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    except (AnalysisException, AttributeError):
+        return None
 
 
 def plain_columns(df: DataFrame, *names: str) -> DataFrame:

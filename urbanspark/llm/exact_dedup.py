@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, maybe_broadcast, numbered, written
+from .common import fresh, maybe_broadcast, numbered, scratch, written
 
 #: A winner holds more than one row in so many.
 SHARE = 1000
@@ -77,11 +77,12 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", uid:
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns.
 
-    The texts aren't shuffled. The table is written once with a number in each row; what goes is known by that
-    number, which is read, never counted again, so it doesn't matter how either scan is split. Null texts are
+    The texts aren't shuffled where what goes can be broadcast. Rows have numbers that stay with them (``numbered``); what goes is known by
+    that number, which is read, never counted again, so it doesn't matter how either scan is split. Null texts are
     empty and equal; of rows repeated whole one stays; null ids come last. An empty table gives an empty result.
     """
     row = fresh(docs, "__row")
     rows = numbered(docs, row)
-    gone = exact_groups(rows, text, key, F.col(f"`{row}`")).where("not kept").select(F.col("uid").alias(row))
-    return rows.join(maybe_broadcast(written(gone, "exact-gone")), row, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(exact_groups(rows, text, key, F.col(f"`{row}`")).where("not kept").select(F.col("uid").alias(row)), "exact-gone")
+    return rows.join(maybe_broadcast(gone), row, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])

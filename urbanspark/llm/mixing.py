@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, maybe_broadcast, numbered, text_bytes, tidy, written
+from .common import chunks, fresh, maybe_broadcast, numbered, scratch, text_bytes, tidy, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -159,24 +159,25 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs`` with their own columns, whatever their names, each as often as it was given copies.
 
-    The table is written once with a number in each row; what is taken is known by that number, so texts are
+    Rows have numbers that stay with them (``numbered``); what is taken is known by its number, so texts are
     shuffled only where the rows taken are too many to be broadcast. A null source is a source and a null text has
     no words; rows repeated whole share their copies evenly, in the order of their numbers. An empty table gives an
     empty result.
     """
     row, take = fresh(docs, "__row"), fresh(docs, "__take")
     rows = numbered(docs, row)
-    sized = written(sizes(rows, row=row), "sizes")
-    got = written(copies(sized, targets(sized)), "mix-copies")
-    once = got.where("m = 1").select("row", F.col("copies").alias("take"))
-    often = written(got.where("m > 1").select(F.col("doc_id").alias("id"), F.col("salt").alias("s"), "m", "copies"), "mix-often")
-    shared = sized.join(maybe_broadcast(often), F.expr("doc_id <=> id and salt = s")).select("id", "s", "m", "copies", "row", F.spark_partition_id().alias("part"))
-    shared = written(shared, "mix-shared")
-    # Numbers of repeats: within a task, after those of the tasks before it; so no task gets a hot row's repeats all.
-    before = shared.groupBy("id", "s", "part").count()
-    before = before.withColumn("before", F.sum("count").over(Window.partitionBy("id", "s").orderBy("part")) - F.col("count")).select(F.col("id").alias("i"), F.col("s").alias("t"), F.col("part").alias("p"), "before")
-    within = F.row_number().over(Window.partitionBy("id", "s", "part").orderBy("row")) - 1
-    shared = shared.withColumn("within", within).join(maybe_broadcast(before), F.expr("id <=> i and s = t and part = p")).withColumn("nth", F.col("before") + F.col("within"))
-    taken = written(once.union(shared.select("row", F.expr(_TAKE).alias("take"))).where("take > 0"), "mix-taken")
+    with scratch(docs.sparkSession) as keep:
+        sized = written(sizes(rows, row=row), "sizes")
+        got = written(copies(sized, targets(sized)), "mix-copies")
+        once = got.where("m = 1").select("row", F.col("copies").alias("take"))
+        often = written(got.where("m > 1").select(F.col("doc_id").alias("id"), F.col("salt").alias("s"), "m", "copies"), "mix-often")
+        shared = sized.join(maybe_broadcast(often), F.expr("doc_id <=> id and salt = s")).select("id", "s", "m", "copies", "row", F.spark_partition_id().alias("part"))
+        shared = written(shared, "mix-shared")
+        # Numbers of repeats: within a task, after those of the tasks before it; so no task gets a hot row's repeats all.
+        before = shared.groupBy("id", "s", "part").count()
+        before = before.withColumn("before", F.sum("count").over(Window.partitionBy("id", "s").orderBy("part")) - F.col("count")).select(F.col("id").alias("i"), F.col("s").alias("t"), F.col("part").alias("p"), "before")
+        within = F.row_number().over(Window.partitionBy("id", "s", "part").orderBy("row")) - 1
+        shared = shared.withColumn("within", within).join(maybe_broadcast(before), F.expr("id <=> i and s = t and part = p")).withColumn("nth", F.col("before") + F.col("within"))
+        taken = keep(once.union(shared.select("row", F.expr(_TAKE).alias("take"))).where("take > 0"), "mix-taken")
     out = rows.join(maybe_broadcast(taken.select(F.col("row").alias(row), F.col("take").alias(take))), row)
     return out.withColumn(take, F.explode(F.expr(f"sequence(1L, `{take}`)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, maybe_broadcast, numbered, text_bytes, tidy, written
+from .common import chunks, fresh, maybe_broadcast, numbered, scratch, text_bytes, tidy, written
 from .components import connected_components
 
 SHINGLE, SEED = 5, 42
@@ -94,7 +94,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def file_forest(node: np.ndarray, root: np.ndarray, side: np.ndarray, core: np.ndarray, fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect whatever members of a file, or of two of its chunks, are connected by pairs at 0.8 or more.
 
-    core: shingles that another text has too. Of two chunks (side) only pairs between them are tried.
+    core: shingles that another text has too. Of two chunks (side) only pairs between them are tried. A pair shares four
+    fifths of the larger set, so one of the rarest fifth and one more of either's shingles is in both: only texts that
+    share such a shingle are compared, whatever boilerplate all of them have.
     """
     order = np.lexsort((node, np.array([len(x) for x in sets]) - core))
     node, side, core, fps, sets = node[order], side[order], core[order], fps[order], [sets[i] for i in order]
@@ -103,12 +105,14 @@ def file_forest(node: np.ndarray, root: np.ndarray, side: np.ndarray, core: np.n
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     stop = np.cumsum(size)
     start, mine = stop - size, np.zeros(len(values), bool)
+    follow, first = _rarest(flat, size, len(values))
     refs = fps[np.unique(np.linspace(0, len(fps) - 1, PIVOTS).astype(int))]
     table = np.bitwise_count(fps[:, None] ^ refs[None]).sum(axis=2, dtype=np.int16)
     across = side.min() != side.max()
     links = []
     for i in range(len(node) - 1):
-        to = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        to = np.unique(np.concatenate([follow[a:b] for a, b in first[i]])) if len(first[i]) else np.zeros(0, np.int64)
+        to = to[label[to] != label[i]]
         if across:
             to = to[side[to] != side[i]]
         # What two texts share is at most what either shares with any; shared * 9 >= both * 4 is shared / (both - shared) >= 4 / 5.
@@ -127,6 +131,26 @@ def file_forest(node: np.ndarray, root: np.ndarray, side: np.ndarray, core: np.n
     return links
 
 
+def _rarest(flat: np.ndarray, size: np.ndarray, values: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Members by rare shingle, and for each member the slices of those that come after it with one of its own rare shingles."""
+    owner = np.repeat(np.arange(len(size)), size)
+    often = np.bincount(flat, minlength=values)
+    rank = np.empty(values, np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(values)
+    order = np.lexsort((rank[flat], owner))
+    nth = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    rare = order[nth < np.repeat(size - -(-4 * size // 5) + 1, size)]
+    rare = rare[often[flat[rare]] > 1]
+    rare = rare[np.lexsort((owner[rare], flat[rare]))]
+    follow, key = owner[rare], flat[rare]
+    end = np.searchsorted(key, key, side="right")
+    first: list[list[tuple[int, int]]] = [[] for _ in size]
+    for at, (who, b) in enumerate(zip(follow.tolist(), end.tolist(), strict=True)):
+        if at + 1 < b:
+            first[who].append((at + 1, b))
+    return follow, first
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by file and chunks; a group ends where these change."""
     held: list[pa.RecordBatch] = []
@@ -161,37 +185,38 @@ def near_components(rows: DataFrame, row: str) -> DataFrame:
 
     Components are those of all pairs with a similarity of 0.8 or more; texts without words are alike.
     """
-    small = written(rows.select(F.col(f"`{row}`").alias("row"), "doc_id", "text").mapInArrow(tidy(_sketches), "row long, doc_id long, hash binary, same binary, bands array<long>"), "near-sketches")
-    # Texts of one set are one node, named by its smallest row.
-    nodes = small.groupBy("same").agg(F.min("row").alias("node"))
-    named = written(small.select("row", "doc_id", "hash", "same").join(nodes, "same").drop("same"), "near-nodes")
-    heads = small.join(named.where("row = node").select("row"), "row", "left_semi")
-    filed = heads.select(F.col("row").alias("node"), F.posexplode("bands").alias("n", "key"))
-    files = written(filed.groupBy("n", "key").agg(F.count("*").alias("members")).where("members > 1").select("n", "key"), "near-files")
-    members = written(filed.join(maybe_broadcast(files), ["n", "key"], "left_semi"), "near-members")
-    meant = maybe_broadcast(written(members.select(F.col("node").alias(row)).distinct(), "near-meant"))
-    sets = written(rows.select(f"`{row}`", "text").join(meant, row, "left_semi").mapInArrow(tidy(_sets), "node long, own array<long>, fp binary"), "near-sets")
-    # Shingles that a single text has; with more than a fifth of them it has no near copy.
-    lone = sets.select("node", F.explode("own").alias("x")).groupBy("x").agg(F.count("*").alias("texts"), F.min("node").alias("node")).where("texts = 1")
-    lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
-    known = sets.select("node", F.size("own").alias("size")).join(lone, "node", "left").withColumn("core", F.col("size") - F.coalesce("lone", F.lit(0)))
-    known = written(known.where("5 * core >= 4 * size").select("node", "size", "core"), "near-known")
-    links, roots = None, None
-    for lo, hi in ROUNDS:
-        tried = members.where(F.col("n").between(lo, hi - 1)).join(maybe_broadcast(known), "node")
-        tried = tried.withColumn("root", F.col("node")) if roots is None else tried.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        tried = written(tried, "near-tried")
-        apart = tried.groupBy("n", "key").agg(F.sum("size").alias("total"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-        apart = written(apart.select("n", "key", F.ceil(F.col("total") / CHUNK).alias("chunks")), "near-apart")
-        cut = tried.join(maybe_broadcast(apart), ["n", "key"]).withColumn("side", F.pmod(F.xxhash64("node"), "chunks"))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        cut = cut.select("n", "key", F.least("side", "other").alias("c"), F.greatest("side", "other").alias("d"), "node", "root", "side", "core")
-        whole = cut.join(sets, "node").select("n", "key", "c", "d", "node", "root", "side", "core", "own", "fp")
-        found = whole.repartition("n", "key", "c", "d").sortWithinPartitions("n", "key", "c", "d").mapInArrow(tidy(_linked), "a long, b long")
-        found = written(found, "near-links")
-        links = found if links is None else links.union(found)
-        roots = connected_components(links)
-    return named.join(roots, "node", "left").select("row", "doc_id", "hash", F.coalesce("root", "node").alias("component"))
+    with scratch(rows.sparkSession) as keep:
+        small = written(rows.select(F.col(f"`{row}`").alias("row"), "doc_id", "text").mapInArrow(tidy(_sketches), "row long, doc_id long, hash binary, same binary, bands array<long>"), "near-sketches")
+        # Texts of one set are one node, named by its smallest row.
+        nodes = small.groupBy("same").agg(F.min("row").alias("node"))
+        named = written(small.select("row", "doc_id", "hash", "same").join(nodes, "same").drop("same"), "near-nodes")
+        heads = small.join(named.where("row = node").select("row"), "row", "left_semi")
+        filed = heads.select(F.col("row").alias("node"), F.posexplode("bands").alias("n", "key"))
+        files = written(filed.groupBy("n", "key").agg(F.count("*").alias("members")).where("members > 1").select("n", "key"), "near-files")
+        members = written(filed.join(maybe_broadcast(files), ["n", "key"], "left_semi"), "near-members")
+        meant = maybe_broadcast(written(members.select(F.col("node").alias(row)).distinct(), "near-meant"))
+        sets = written(rows.select(f"`{row}`", "text").join(meant, row, "left_semi").mapInArrow(tidy(_sets), "node long, own array<long>, fp binary"), "near-sets")
+        # Shingles that a single text has; with more than a fifth of them it has no near copy.
+        lone = sets.select("node", F.explode("own").alias("x")).groupBy("x").agg(F.count("*").alias("texts"), F.min("node").alias("node")).where("texts = 1")
+        lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
+        known = sets.select("node", F.size("own").alias("size")).join(lone, "node", "left").withColumn("core", F.col("size") - F.coalesce("lone", F.lit(0)))
+        known = written(known.where("5 * core >= 4 * size").select("node", "size", "core"), "near-known")
+        links, roots = None, None
+        for lo, hi in ROUNDS:
+            tried = members.where(F.col("n").between(lo, hi - 1)).join(maybe_broadcast(known), "node")
+            tried = tried.withColumn("root", F.col("node")) if roots is None else tried.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            tried = written(tried, "near-tried")
+            apart = tried.groupBy("n", "key").agg(F.sum("size").alias("total"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+            apart = written(apart.select("n", "key", F.ceil(F.col("total") / CHUNK).alias("chunks")), "near-apart")
+            cut = tried.join(maybe_broadcast(apart), ["n", "key"]).withColumn("side", F.pmod(F.xxhash64("node"), "chunks"))
+            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+            cut = cut.select("n", "key", F.least("side", "other").alias("c"), F.greatest("side", "other").alias("d"), "node", "root", "side", "core")
+            whole = cut.join(sets, "node").select("n", "key", "c", "d", "node", "root", "side", "core", "own", "fp")
+            found = whole.repartition("n", "key", "c", "d").sortWithinPartitions("n", "key", "c", "d").mapInArrow(tidy(_linked), "a long, b long")
+            found = written(found, "near-links")
+            links = found if links is None else links.union(found)
+            roots = connected_components(links)
+        return keep(named.join(roots, "node", "left").select("row", "doc_id", "hash", F.coalesce("root", "node").alias("component")), "near-components")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -203,7 +228,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
     row = fresh(docs, "__row")
     rows = numbered(docs, row)
-    found = written(near_components(rows, row), "near-components")
+    found = near_components(rows, row)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "row")
     stay = found.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
     gone = found.join(stay, "component").where("row <> best.row").select(F.col("row").alias(row))
