@@ -464,3 +464,57 @@ def test_url_verdicts(spark):
 
 def test_url_empty(spark):
     assert url_filters.url_verdicts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _without_table(stream):
+    at, heads = 4, []
+    while True:
+        last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        heads.append((kind, stream[at + 4 : at + 4 + size]))
+        at += 4 + size
+        if last:
+            break
+    kept = [h for h in heads if h[0] != 3]
+    return b"fLaC" + b"".join(bytes([k | 0x80 * (i == len(kept) - 1)]) + len(b).to_bytes(3, "big") + b for i, (k, b) in enumerate(kept)) + stream[at:]
+
+
+def test_flac_frames_without_a_seek_table_and_samples_by_offset():
+    import random
+
+    rng = random.Random(1)
+    payloads = [bytes(rng.randrange(256) for _ in range(rng.choice([1, 15, 17, 192, 575, 576, 577, 1200, 4000]))) for _ in range(40)] + [b"\xff\xf8\x40\x02" * 600, b"the quick brown fox " * 300, bytes(700)]
+    streams = flac.encoded(payloads)
+    bare = [_without_table(s) for s in streams]
+    assert flac.decoded(streams) == payloads and flac.decoded(bare) == payloads
+    for s, b, p in zip(streams, bare, payloads, strict=True):
+        for _ in range(3):
+            at, n = rng.randrange(len(p)), rng.randrange(1, 1500)
+            assert flac.read_samples(s, at, n) == flac.read_samples(b, at, n) == p[at : at + n]
+    broken = bytearray(bare[-2])
+    broken[len(broken) // 2] ^= 4
+    with pytest.raises(flac.FlacError):
+        flac.decoded([bytes(broken)])
+
+
+def test_flac_of_a_long_text_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    data = b"the quick brown fox and one more " * 600_000  # 20 MB
+    tracemalloc.start()
+    stream = flac.encoded([data])
+    n = sum(len(pcm) for _, _, pcm in flac.blocks(stream))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(data) and peak < 500e6
+    monkeypatch.setattr(flac, "POINTS", 3)  # fewer points than frames
+    short = data[:20_000]
+    assert flac.decoded(flac.encoded([short])) == [short]
+
+
+def test_fitted_predictors_follow_a_tone():
+    import numpy as np
+
+    x = np.rint(100 * np.sin(np.arange(576) * 0.3))[None].astype(np.int32)
+    c, shift = flac.fitted(x)
+    r = flac._residuals(x, c, shift)[3]
+    assert np.abs(r[:, 8:]).mean() < 0.1 * np.abs(x).mean()
