@@ -10,6 +10,7 @@ or reported, weighs less; a logistic function of a text's hits gives its score.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -25,8 +26,8 @@ from .common import chunks, plain_columns, texts, written
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most.
 SAMPLE = 20_000
-#: Candidates looked at and terms kept, at most (the best ones stay); texts that a term has to mark, and how purely.
-CANDIDATES, TERMS, LEAST, PURITY = 5000, 512, 3, 0.8
+#: Texts that a term has to mark, and how purely. There is no cap on candidates or terms: the sample bounds them.
+LEAST, PURITY = 3, 0.8
 #: A term has to mark more toxic texts than chance does at this level, shared by all words in LEAST texts or more. Copies count once.
 LEVEL = 0.05
 #: Terms that each toxic text should be marked by, where it has so many.
@@ -243,7 +244,8 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of the distinct texts of at most ``sample`` labelled ids that aren't held out, chosen by a hash of the id.
 
-    The chosen labels, two numbers a row, are within the bound, so they are broadcast and no text is shuffled.
+    The chosen labels, two numbers a row, are within the bound, so they are broadcast; only the sample's own texts are
+    shuffled, where equal ones become one. Rows of ``docs`` that repeat an id all count.
     """
     rows = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     rows = rows.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -282,13 +284,14 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not pos_docs or not neg_docs:
         return Model([], [], [0.0] * (N_FEATURES - 1) + [-4.0 if neg_docs or not pos_docs else 4.0])
     counts = train.mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (pos_docs + 1)) - F.log((F.col("neg") + 0.5) / (neg_docs + 1))
     pure = F.col("pos") * neg_docs / (F.col("pos") * neg_docs + F.col("neg") * pos_docs + 1.0)
-    top = counts.where(F.col("pos") >= LEAST).where(pure >= PURITY).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.log1p("pos")), "term").limit(CANDIDATES)
-    candidates = [r["term"] for r in top.collect()]
-    seen = counts.where(F.col("pos") + F.col("neg") >= LEAST).count()
     rate = pos_docs / (pos_docs + neg_docs)
-    chosen = _cover(train, candidates, lambda p, n: _by_chance(p, n, rate) * seen < LEVEL)
+    counts = written(counts.where(F.col("pos") + F.col("neg") >= LEAST), "toxic-terms")
+    seen = counts.count()
+    clear = lambda p, n: _by_chance(p, n, rate) * seen < LEVEL
+    # What isn't clear on its own can't be what it adds to others; the rest are words of toxic texts of the sample.
+    candidates = sorted(r["term"] for r in counts.where(F.col("pos") >= LEAST).where(pure >= PURITY).collect() if clear(r["pos"], r["neg"]))
+    chosen = _cover(train, candidates, clear)
     terms, stems = [t for t in chosen if not t.endswith("*")], [t[:-1] for t in chosen if t.endswith("*")]
     model = Model(terms, stems, [])
     model.clean = _clean_words(train, model)
@@ -371,13 +374,26 @@ def _cover(train: DataFrame, candidates: list[str], clear: Callable[[int, int],
     pos = {i: p for i, p in pos.items() if len(heads[frozenset(p)]) <= 3 and clear(len(p), neg[i])}
     chosen: list[str] = []
     depth: Counter = Counter()
-    while len(chosen) < TERMS and pos:
+
+    def rank(i: int) -> tuple:
         # Of terms that gain alike the one that says most: a whole word before a beginning, a long one before a short one.
-        gain, _, _, best = max((sum(depth[n] < DEPTH for n in p) - 2 * neg[i], not candidates[i].endswith("*"), len(candidates[i]), -i) for i, p in pos.items())
-        if gain < LEAST:
+        return -(sum(depth[n] < DEPTH for n in pos[i]) - 2 * neg[i]), candidates[i].endswith("*"), -len(candidates[i]), i
+
+    # Gains only shrink, so a term whose gain is still what it was when it was queued is the best.
+    queue = [rank(i) for i in pos]
+    heapq.heapify(queue)
+    while queue:
+        was = heapq.heappop(queue)
+        i = was[-1]
+        if i not in pos:
+            continue
+        if (now := rank(i)) != was:
+            heapq.heappush(queue, now)
+            continue
+        if -was[0] < LEAST:
             break
-        term, own = candidates[-best], pos.pop(-best)
-        if not clear(sum(depth[n] < DEPTH for n in own), neg[-best]):
+        term, own = candidates[i], pos.pop(i)
+        if not clear(sum(depth[n] < DEPTH for n in own), neg[i]):
             continue
         chosen.append(term)
         depth.update(own)
