@@ -23,13 +23,18 @@ def cleaned(canopy: DataFrame) -> DataFrame:
 
 
 def tops(canopy: DataFrame, min_height: float = 2.0, distance: int = 5) -> DataFrame:
-    """Cells that are the highest within ``distance`` rows and columns (ties: the first by index): each offers its height to its window."""
+    """Cells that are the highest within ``distance`` rows and columns (ties: the first by index).
+
+    The greatest of a window is the greatest of its columns' greatest, so a cell offers its height along its row first, and what is
+    best there goes along the columns.
+    """
     tall = cleaned(canopy).where(F.col("chm") >= min_height).select("row", "col", "chm")
     span = F.sequence(F.lit(-distance), F.lit(distance))
     rank = F.struct(F.col("chm"), -F.col("row"), -F.col("col"))
-    offered = tall.withColumn("best", rank).withColumn("i", F.explode(span)).withColumn("j", F.explode(span))
-    best = offered.select((F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col"), "best").groupBy("row", "col").agg(F.max("best").alias("best"))
-    return tall.join(best, ["row", "col"]).where(F.col("best") == rank).select("row", "col", "chm")
+    along = tall.withColumn("best", rank).withColumn("j", F.explode(span))
+    along = along.select("row", (F.col("col") + F.col("j")).alias("col"), "best").groupBy("row", "col").agg(F.max("best").alias("best"))
+    down = along.withColumn("i", F.explode(span)).select((F.col("row") + F.col("i")).alias("row"), "col", "best").groupBy("row", "col").agg(F.max("best").alias("best"))
+    return tall.join(down, ["row", "col"]).where(F.col("best") == rank).select("row", "col", "chm")
 
 
 def _flood(chm: np.ndarray, markers: list[tuple[int, int]], least: float) -> np.ndarray:

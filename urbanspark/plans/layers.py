@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..core import BBox, Grid, shared_folder
 from ..functions import crs
 from ..functions import geometry as G
-from ..operators import neighbourhoods, polygons, spatialjoin, streets, urban, warp
+from ..operators import neighbourhoods, polygons, spatialjoin, streets, tessellation, trees, urban, warp
 from ..sources import geotiff, tiles
 from .fixtures import BLD, GRID, PTS, points, read
 from .fixtures import buildings as bld
 from .more import _CUT, _MASKED, _RECT, _rectangles
-from .queries import _BOTH, _areas, _edges, query
+from .queries import _BOTH, _CELLS, _areas, _cells, _edges, query
 
 _TILE = 128.0
 
@@ -258,3 +258,28 @@ def street_nodes(spark, d):
     nodes, edges = streets.graph(_streets(spark, d, bends=True))
     whole = streets.simplified(edges)
     return urban.node_degree(whole).join(nodes, "node").where("degree <> 2").select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "degree")
+
+
+# Houses of one size on a lattice: a cell ends halfway to each neighbour.
+@query("SELECT p_partkey AS id, 720e0 AS area, 4 AS corners, 0 AS holes FROM part WHERE p_partkey % 50 BETWEEN 1 AND 48 AND p_partkey > (SELECT min(p_partkey) + 50 FROM part) AND p_partkey < (SELECT max(p_partkey) - 50 FROM part)")
+def tessellation_cells(spark, d):
+    k = F.col("p_partkey")
+    x, y = (k % 50).cast("double") * 30, F.floor(k / 50).cast("double") * 24
+    rows = read(spark, d, "part").select(k.alias("id"), G.rectangle(x, y, x + 10, y + 8).alias("ring"))
+    cells = tessellation.tessellation(rows, 100.0, 5.0)
+    # Those with a neighbour on every side.
+    ends = rows.agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    inside = cells.join(F.broadcast(ends)).where("id % 50 between 1 and 48 and id > first + 50 and id < last - 50")
+    return inside.select("id", F.round("area", 3).alias("area"), (F.size("ring") - 1).alias("corners"), F.size("holes").alias("holes"))
+
+
+@query(f"{_CELLS} SELECT \"row\", col, CASE WHEN (\"row\" * 50 + col) % 7 < 2 THEN 0e0 ELSE dsm END AS chm FROM base")
+def canopy_cleaned(spark, d):
+    n = F.col("row") * 50 + F.col("col")
+    odd = F.when(n % 7 == 0, float("nan")).when(n % 7 == 1, float("inf")).otherwise(F.col("dsm"))
+    return trees.cleaned(_cells(spark, d).select("row", "col", odd.alias("chm")))
+
+
+@query(f"{_CELLS} SELECT \"row\", col, dsm AS chm FROM base a WHERE dsm >= 20 AND NOT EXISTS (SELECT 1 FROM base b WHERE abs(a.\"row\" - b.\"row\") <= 2 AND abs(a.col - b.col) <= 2 AND (b.dsm > a.dsm OR (b.dsm = a.dsm AND b.\"row\" * 50 + b.col < a.\"row\" * 50 + a.col)))")
+def tree_tops(spark, d):
+    return trees.tops(_cells(spark, d).select("row", "col", F.col("dsm").alias("chm")), 20.0, 2)

@@ -12,7 +12,7 @@ from ..operators import biotope, comfort, features, graphs, mapalgebra, polygons
 from ..sources import vector
 from .fixtures import BLD, GRID, read
 from .fixtures import buildings as bld
-from .queries import _BOTH, _CELLS, _cells, _edges, query, values
+from .queries import _BOTH, _CELLS, _cells, _edges, query, thinned, values
 
 # Polygons. Features are rectangles that overlap, several a parcel; SQL cuts each parcel's plane at all their sides.
 
@@ -105,7 +105,7 @@ def trees_in_mask(spark, d):
     return polygons.in_any(_tall(spark, d), read(spark, d, "supplier").select(G.rectangle(a, b, a + 12, b + 9).alias("ring"))).select("id")
 
 
-@query()
+@query(f"WITH RECURSIVE {thinned(f'WITH {_TREE} SELECT id, x, y, h AS height, dia FROM t WHERE h <= 30', '4e0')} SELECT id, round(18 * sin(2 * pi() / 36) * dia * dia / 4, 6) AS area FROM t")
 def tree_crown_circles(spark, d):
     out = trees.crown_circles(_tall(spark, d), 30.0, 4.0)
     return out.select("id", F.round(G.area(F.col("ring")), 6).alias("area"))

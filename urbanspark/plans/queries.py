@@ -761,7 +761,15 @@ def trees_unbeaten(spark, d):
     return _trees(spark, d).join(near.select("id").distinct(), "id", "left_anti").select("id")
 
 
-@query()
+# One tree after the other, the tallest first, with what is kept so far.
+def thinned(trees: str, spacing: str) -> str:
+    return f"""o AS (SELECT row_number() OVER (ORDER BY height DESC, id) AS n, * FROM ({trees})),
+  k(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[]) UNION ALL
+    SELECT o.n, CASE WHEN len(list_filter(kept, lambda p: (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) < {spacing} * {spacing})) > 0 THEN kept ELSE list_append(kept, struct_pack(id := CAST(o.id AS BIGINT), x := o.x, y := o.y)) END FROM k JOIN o ON o.n = k.n + 1),
+  t AS (SELECT o.* FROM (SELECT unnest(kept).id AS id FROM (SELECT kept FROM k ORDER BY n DESC LIMIT 1)) u JOIN o ON o.id = u.id)"""
+
+
+@query(f"WITH RECURSIVE {thinned(_TREES, '12e0')} SELECT id, x, y, height FROM t")
 def tree_thinning(spark, d):
     return spatialjoin.thin(_trees(spark, d), 12.0).select("id", "x", "y", "height")
 
