@@ -354,3 +354,18 @@ def test_streaming_windows(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").agg(F.sum("n")).first()[0] == batch.where("ts is not null").count()
+
+
+def test_nearest_in_row_against_all_distances():
+    import random
+
+    from urbanspark.operators.points import nearest_in_row
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        w, row = rng.randrange(1, 25), rng.randrange(12)
+        col = sorted(rng.sample(range(w), rng.randrange(1, w + 1)))
+        source = [rng.randrange(12) for _ in col]
+        index = [v * w + u for u, v in zip(col, source, strict=True)]
+        got = nearest_in_row(col, [abs(v - row) for v in source], index, w)
+        assert got == [min(range(len(col)), key=lambda i, x=x: ((x - col[i]) ** 2 + (source[i] - row) ** 2, index[i])) for x in range(w)]

@@ -49,6 +49,40 @@ def fill_3x3(cells: DataFrame, grid: Grid) -> DataFrame:
     return whole.withColumn("dtm", F.coalesce("dtm", "near", F.lit(0.0))).drop("near")
 
 
+def nearest_in_row(col: list[int], away: list[int], index: list[int], width: int) -> list[int]:
+    """For each column of a row the number of the nearest cell, of those ``away`` rows in ascending columns; of equally near ones that with the least index.
+
+    The lower envelope of their distances' parabolas, in whole numbers: each is put on it and taken off it once.
+    """
+    keep: list[int] = []
+    ends: list[tuple[int, int]] = []  # where each begins to be nearer than the one before, as a fraction
+    for q in range(len(col)):
+        own = away[q] ** 2 + col[q] ** 2
+        while keep:
+            v = keep[-1]
+            at = own - away[v] ** 2 - col[v] ** 2, 2 * (col[q] - col[v])
+            # One that is nearest at a single place stays: it may have the least index there.
+            if len(keep) > 1 and at[0] * ends[-1][1] < ends[-1][0] * at[1]:
+                keep.pop()
+                ends.pop()
+            else:
+                ends.append(at)
+                break
+        keep.append(q)
+        if len(keep) == 1:
+            ends = []
+    out, k = [], 0
+    for x in range(width):
+        while k < len(ends) and x * ends[k][1] > ends[k][0]:
+            k += 1
+        best, j = keep[k], k
+        while j < len(ends) and x * ends[j][1] == ends[j][0]:
+            j += 1
+            best = min(best, keep[j], key=index.__getitem__)
+        out.append(best)
+    return out
+
+
 def fill_nearest(cells: DataFrame, grid: Grid) -> DataFrame:
     """Empty dtm cells get the nearest filled cell's value (Euclidean, ties to the smaller index), 0 if none is filled.
 
@@ -69,14 +103,9 @@ def fill_nearest(cells: DataFrame, grid: Grid) -> DataFrame:
     def rows_(pdf: pd.DataFrame) -> pd.DataFrame:
         row = int(pdf["row"].iloc[0])
         pdf = pdf.sort_values("col")
-        c, s, z = pdf["col"].to_numpy(np.int64), pdf["source"].to_numpy(np.int64), pdf["z"].to_numpy()
-        out = np.empty(w)
-        for a in range(0, w, 1024):
-            cols = np.arange(a, min(a + 1024, w))
-            d2 = (cols[:, None] - c[None, :]) ** 2 + (s - row)[None, :] ** 2
-            tied = d2 == d2.min(axis=1, keepdims=True)
-            out[cols] = z[np.where(tied, (s * w + c)[None, :], np.iinfo(np.int64).max).argmin(axis=1)]
-        return pd.DataFrame({"row": np.int32(row), "col": np.arange(w, dtype=np.int32), "near": out})
+        c, s, z = pdf["col"].tolist(), pdf["source"].tolist(), pdf["z"].to_numpy()
+        near = nearest_in_row(c, [abs(v - row) for v in s], [v * w + u for u, v in zip(c, s, strict=True)], w)
+        return pd.DataFrame({"row": np.int32(row), "col": np.arange(w, dtype=np.int32), "near": z[near]})
 
     ground = cells.where("dtm is not null").select("row", "col", "dtm")
     by_column = ground.groupBy("col").applyInPandas(columns, "row int, col int, source int, z double")
