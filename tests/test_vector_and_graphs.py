@@ -89,3 +89,30 @@ def test_street_profile(spark):
     walls = spark.createDataFrame([(-10.0, 6.0, 40.0, 6.0)], "x0 double, y0 double, x1 double, y1 double")
     r = graphs.street_profile(street, walls).first()
     assert r["width"] == pytest.approx(31.0) and r["deviation"] == pytest.approx(0.0) and r["openness"] == pytest.approx(0.5)
+
+
+def test_las_scan_reads_ranges_and_leaves_files_out(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pytest
+
+    from urbanspark.sources import las
+
+    rng = np.random.default_rng(5)
+    every = []
+    for k in range(4):
+        x, y, z = rng.uniform(100 * k, 100 * k + 90, 5000).round(2), rng.uniform(0, 50, 5000).round(2), rng.uniform(0, 9, 5000).round(2)
+        c = rng.integers(1, 7, 5000)
+        (tmp_path / f"t{k}.las").write_bytes(las.las_bytes(x, y, z, c))
+        every.append(np.stack([x, y, z, c], 1))
+    every = np.concatenate(every)
+    cloud = las.scan_las(spark, str(tmp_path), slice=1500)
+    got = np.array([tuple(r)[:4] for r in cloud.collect()])
+    order = lambda a: a[np.lexsort(a.round(2).T)].round(2)
+    assert (order(got) == order(every)).all() and cloud.rdd.getNumPartitions() == 16
+    near = cloud.where("x >= 120.004 and x < 150 and z <= 4")
+    want = every[(every[:, 0] >= 120.004) & (every[:, 0] < 150) & (every[:, 2] <= 4)]
+    assert near.count() == len(want) and near.rdd.getNumPartitions() == 4
+    assert cloud.where("x > 1000").count() == 0 and cloud.where("y < 10 and y > 20").count() == 0
+    (tmp_path / "t0.las").write_bytes((tmp_path / "t0.las").read_bytes()[:5000])
+    with pytest.raises(Exception, match="ends before"):
+        cloud.count()
