@@ -218,7 +218,11 @@ class Lidar(Layer):
         self.classes, self.resolution, self.fill = classes, resolution, fill
 
     def points(self) -> DataFrame:
-        return las.read_las(self.spark, *self.paths)
+        """Points of the cloud; of the box where there is one, which leaves files and points beside it unread."""
+        if any("viewfs:" in p or "*" in p for p in self.paths):
+            return las.read_las(self.spark, *self.paths)
+        cloud, b = las.scan_las(self.spark, *self.paths), self.context.bbox
+        return cloud if b is None else cloud.where(f"x >= {b.min_x!r}D and x <= {b.max_x!r}D and y >= {b.min_y!r}D and y <= {b.max_y!r}D")
 
     def load(self) -> DataFrame:
         return points.rasters(self.points(), self._box(), self.classes, self.resolution, self.fill)
