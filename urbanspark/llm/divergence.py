@@ -154,15 +154,13 @@ def _pairs(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 
 
 def tile_sums(heavy: DataFrame, groups: DataFrame, sources: int = TILE_SOURCES, terms: int = TILE_TERMS) -> DataFrame:
-    """(a, b, value): the plain sum over heavy terms of every pair of groups, by tiles of sources times sources times terms. ``heavy``: (lang, tid, g, p)."""
-    tids = heavy.select("lang", "tid").distinct()
-    blocks = tids.groupBy("lang").agg(F.ceil(F.count("*") / terms).alias("tbs"))
-    of_block = lambda rows: rows.withColumn("tb", F.pmod(F.xxhash64("tid"), F.col("tbs")))
+    """(a, b, value): the plain sum over heavy terms of every pair of groups, by tiles of sources times sources times terms. ``heavy``: (lang, tid, g, p, heavies: how many heavy terms the language has)."""
+    block = F.pmod(F.xxhash64("tid"), F.ceil(F.col("heavies") / terms)).alias("tb")
     # How many terms a block has: those that none of a tile's sources has count as well.
-    counted = of_block(tids.join(blocks, "lang")).groupBy("lang", "tb").agg(F.count("*").alias("n"))
+    counted = heavy.select("lang", "tid", block).distinct().groupBy("lang", "tb").agg(F.count("*").alias("n"))
     sized = groups.select("lang", "g", "base", F.ceil(F.col("n_sources") / sources).alias("gbs")).withColumn("gb", F.pmod(F.xxhash64("g"), F.col("gbs")))
     heads = sized.join(counted, "lang").select("lang", "tb", "gb", "gbs", "g", F.lit(-1).cast("long").alias("tid"), F.col("base").alias("p"), "n")
-    rows = of_block(heavy.select("g", "tid", "p").join(sized.select("lang", "g", "gb", "gbs"), "g").join(blocks, "lang"))
+    rows = heavy.select("g", "tid", "p", block).join(sized.select("lang", "g", "gb", "gbs"), "g")
     rows = rows.select("lang", "tb", "gb", "gbs", "g", "tid", "p", F.lit(0).cast("long").alias("n"))
     # A block meets every other one once; the tile gives both directions.
     cells = rows.unionByName(heads).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gbs") - 1)))
@@ -215,11 +213,11 @@ def divergence_report(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP)
     """
     kept = kept_terms(docs, least)
     groups = groups_of(docs, kept)
-    by_name = groups.select("lang", "source", "g", F.col("total").alias("g_total"), "terms", "lang_total", "n_sources", "base")
+    by_name = groups.select("lang", "source", "g", F.col("total").alias("g_total"), "terms", "lang_total", "n_sources", "base", (F.col("terms") - F.col("light")).alias("heavies"))
     n = kept.join(by_name, ["lang", "source"])
-    counts = written(n.select("lang", "source", "g", "term", "tid", "total", "terms", "lang_total", "base", _heavy().alias("heavy"), share(F.col("n"), F.col("g_total"), F.col("terms")).alias("p")), "shares")
+    counts = written(n.select("lang", "source", "g", "term", "tid", "total", "terms", "lang_total", "base", "heavies", _heavy().alias("heavy"), share(F.col("n"), F.col("g_total"), F.col("terms")).alias("p")), "shares")
     light, heavy = counts.where("not heavy"), counts.where("heavy")
-    sums = base_sums(light.select("g", "p"), groups).unionByName(pair_corrections(light.select("tid", "g", "p", "base"))).unionByName(tile_sums(heavy.select("lang", "tid", "g", "p"), groups))
+    sums = base_sums(light.select("g", "p"), groups).unionByName(pair_corrections(light.select("tid", "g", "p", "base"))).unionByName(tile_sums(heavy.select("lang", "tid", "g", "p", "heavies"), groups))
     sums = sums.groupBy("a", "b").agg(F.sum("value").alias("value"))
     names = groups.select("lang", "source", "g")
     pairs = sums.join(names.withColumnRenamed("g", "a"), "a").join(names.select(F.col("g").alias("b"), F.col("source").alias("item")), "b").select("lang", "source", F.lit("pair").alias("part"), "item", "value")
