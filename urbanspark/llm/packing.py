@@ -34,7 +34,7 @@ COMMON = 8
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: Bytes of words a worker remembers the ids of, each counted as its characters and _EACH.
-_REMEMBER, _EACH = 40 << 20, 120
+_REMEMBER, _EACH = 60 << 20, 120
 #: Ids below this are counted in tables; a tokenizer with more needs wider pieces.
 _IDS = 1 << 16
 
