@@ -92,3 +92,19 @@ def test_url_targets_relative_and_repeated(spark):
     assert not any(s in ("http://z.net/3", "nothing") for s, _ in targets)
     got = {r["page_id"]: r["verdict"] for r in url_filters.url_verdicts(pages).collect()}
     assert [i for i in got if got[i] == "block"] and {i for i in got if got[i] == "block"} == {1, 2, 3, 4, 5, 6, 10}
+
+
+def test_texts_with_boilerplate_are_told_apart_by_rare_shingles():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    common = rng.integers(0, 1 << 62, 70, dtype=np.uint64)
+    made = [np.unique(np.concatenate([common, rng.integers(0, 1 << 62, 30, dtype=np.uint64)])) for _ in range(2000)]
+    made += [np.unique(np.concatenate([made[k][:95], rng.integers(0, 1 << 62, 4, dtype=np.uint64)])) for k in range(50)]
+    sets, n = [x.view(np.int64) for x in made], len(made)
+    prints = np.stack([np.frombuffer(near.set_fingerprint(x), np.uint64) for x in made])
+    began = time.process_time()
+    links = near.file_forest(np.arange(n), np.arange(n), np.zeros(n, int), np.array([len(x) for x in sets]), prints, sets)
+    assert time.process_time() - began < 2 and {tuple(sorted(x)) for x in links} == {(k, 2000 + k) for k in range(50)}

@@ -105,13 +105,14 @@ def file_forest(node: np.ndarray, root: np.ndarray, side: np.ndarray, core: np.n
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     stop = np.cumsum(size)
     start, mine = stop - size, np.zeros(len(values), bool)
-    follow, first = _rarest(flat, size, len(values))
+    follow, begin, end, bound = _rarest(flat, size, len(values))
     refs = fps[np.unique(np.linspace(0, len(fps) - 1, PIVOTS).astype(int))]
     table = np.bitwise_count(fps[:, None] ^ refs[None]).sum(axis=2, dtype=np.int16)
     across = side.min() != side.max()
     links = []
     for i in range(len(node) - 1):
-        to = np.unique(np.concatenate([follow[a:b] for a, b in first[i]])) if len(first[i]) else np.zeros(0, np.int64)
+        own = slice(bound[i], bound[i + 1])
+        to = np.unique(np.concatenate([follow[:0], *(follow[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True))]))
         to = to[label[to] != label[i]]
         if across:
             to = to[side[to] != side[i]]
@@ -131,8 +132,8 @@ def file_forest(node: np.ndarray, root: np.ndarray, side: np.ndarray, core: np.n
     return links
 
 
-def _rarest(flat: np.ndarray, size: np.ndarray, values: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Members by rare shingle, and for each member the slices of those that come after it with one of its own rare shingles."""
+def _rarest(flat: np.ndarray, size: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members by rare shingle; and slices (begin, end) of those that come after a member with one of its own rare shingles, member i's from bound[i] to bound[i + 1]."""
     owner = np.repeat(np.arange(len(size)), size)
     often = np.bincount(flat, minlength=values)
     rank = np.empty(values, np.int64)
@@ -144,11 +145,9 @@ def _rarest(flat: np.ndarray, size: np.ndarray, values: int) -> tuple[np.ndarray
     rare = rare[np.lexsort((owner[rare], flat[rare]))]
     follow, key = owner[rare], flat[rare]
     end = np.searchsorted(key, key, side="right")
-    first: list[list[tuple[int, int]]] = [[] for _ in size]
-    for at, (who, b) in enumerate(zip(follow.tolist(), end.tolist(), strict=True)):
-        if at + 1 < b:
-            first[who].append((at + 1, b))
-    return follow, first
+    at = np.flatnonzero(np.arange(1, len(key) + 1) < end)
+    at = at[np.argsort(follow[at], kind="stable")]
+    return follow, at + 1, end[at], np.searchsorted(follow[at], np.arange(len(size) + 1))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
