@@ -25,7 +25,7 @@ from .common import chunks, plain_columns, tidy, written
 
 WINDOW = 2048
 END_ID = 1
-#: Remainders in a shard.
+#: Remainders in a shard at least, where a task has so many; twice as many at most.
 SHARD = 2000
 #: Bytes of remainders that a task is meant to have.
 TASK_BYTES = 64 << 20
@@ -341,7 +341,10 @@ def packed(docs: DataFrame, path: str | None = None, text: str = "text", key: st
 
 
 def sequences(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per sequence: sequence_id, length, pieces (array of doc_id, start, length by offset)."""
+    """One row per sequence: sequence_id, length, pieces (array of doc_id, start, length by offset).
+
+    Pieces are those of ``packed``, with its edge cases; a sequence has at most WINDOW pieces, however long its texts are.
+    """
     piece = F.struct("offset", "doc_id", "start", "length")
     rows = packed(docs, path).groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     return rows.select("sequence_id", "length", "pieces")

@@ -277,7 +277,11 @@ def quality_scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, sample: int = SAMPLE, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` with a score of ``keep_from`` or more, with their own columns."""
+    """The rows of ``docs`` with a score of ``keep_from`` or more, with their own columns, whatever their names.
+
+    Scores are those of ``quality_scores``, with its edge cases: a null or empty text has the score of one without words, repeated rows
+    stay or go together, an empty table stays empty. A text of any length is scored whole.
+    """
     weights = fitted(docs, sample).weights
     at = docs.columns.index("text")
 

@@ -112,7 +112,11 @@ def _digest(spans: list[tuple[int, int, int]]) -> tuple:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row; a null text counts as empty."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
+
+    A null or empty text has no spans, and the digest is that of the empty string; repeated rows are told each; an empty table gives no
+    rows; other columns aren't looked at. A text of any length is scanned whole, in time that grows with it.
+    """
     return _mapped(docs, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", _digest, ["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
