@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents.
+
+    Nulls in any column, empty, repeated and very long texts go through every stage as its operator states; an empty table gives no
+    pieces. Each stage's table stays in the shared folder.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
