@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims
-from .core import LAMBERT93, WGS84, BBox, Context, Grid
+from .core import CC46, LAMBERT93, WGS84, BBox, Context, Grid
 from .functions import crs
 from .functions import geometry as G
 from .functions import wind as W
-from .operators import buildings, features, mapalgebra, points, solver, trees, wind
+from .operators import biotope, buildings, features, mapalgebra, points, polygons, solver, trees, wind
 from .sources import files, geotiff, las, requests, tiles, vector
 
 
@@ -172,6 +172,12 @@ class Dem(RasterLayer):
         """The projected box's inner rectangle."""
         return self._box().scaled(0.85)
 
+    def write_mask(self, folder: str, name: str = "mask") -> int:
+        """The mask as a shapefile in a folder that executors share."""
+        m = self.mask()
+        row = self.spark.range(1).select(F.lit(name).alias("name"), G.rectangle(*[F.lit(v) for v in (m.min_x, m.min_y, m.max_x, m.max_y)]).alias("ring"))
+        return files.write_files(vector.shapefiles(row, "name"), folder)
+
     def stats(self) -> DataFrame:
         v = F.col("bands")[0]
         return self.df().agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"))
@@ -297,3 +303,57 @@ def aligned(source: DataFrame, source_grid: Grid, target: Grid, band: str, sourc
     at = cells.select((F.col("row").cast("long") * target.width + F.col("col")).alias("id"), x.alias("x"), y.alias("y"))
     out = mapalgebra.bilinear(source, at, source_grid, band)
     return out.select(F.floor(F.col("id") / target.width).cast("int").alias("row"), (F.col("id") % target.width).cast("int").alias("col"), band)
+
+
+class Biotope:
+    """Biotope scores of parcels before and after a project.
+
+    ``parcels`` has rings (ring) in the score's system, and with ``key`` a name that features carry as well; all rings of a name are one
+    parcel. Features are clipped to their parcel, so each counts with the area that lies in it. A feature that lies beside it has none.
+    """
+
+    def __init__(self, parcels: DataFrame, key: str | None = None, epsg: int = LAMBERT93) -> None:
+        self.key, self.epsg = key or "parcel", epsg
+        named = parcels if key else parcels.withColumn("parcel", F.lit(0))
+        self.rings = named.select(self.key, "ring")
+        self.alone = key is None
+        self.existing: DataFrame | None = None
+        self.project: DataFrame | None = None
+
+    def parcels(self) -> DataFrame:
+        """Name and parcel_area of each parcel."""
+        return polygons.areas(polygons.dissolved(self.rings, self.key), self.key).withColumnRenamed("area", "parcel_area")
+
+    def _clipped(self, rows: DataFrame, srid: int) -> DataFrame:
+        """Rows (ring, maybe the parcel's name) with their number and the surface that lies in their parcel; those without any go."""
+        rows = rows.withColumn(self.key, F.lit(0)) if self.alone else rows
+        rows = rows.withColumn("ring", crs.transform_ring(F.col("ring"), srid, self.epsg)).withColumn("id", F.monotonically_increasing_id()).checkpoint()
+        parts = polygons.areas(polygons.clipped(rows.select("id", "ring", self.key), self.rings, self.key), "id")
+        return rows.drop("surface").join(parts.withColumnRenamed("area", "surface"), "id")
+
+    def load_existing(self, rows: DataFrame, srid: int = LAMBERT93) -> Biotope:
+        """Land cover (ring, classe): the state before."""
+        if "classe" not in rows.columns:
+            raise ValueError("land cover wants a column classe")
+        told = biotope.annotate(self._clipped(rows, srid))
+        colours = F.create_map(*[F.lit(v) for pair in dims.COSIA_COLOUR.items() for v in pair])
+        self.existing = told.withColumn("color", F.coalesce(F.try_element_at(colours, F.col("classe")), F.lit(dims.COSIA_DEFAULT_COLOUR)))
+        return self
+
+    def load_project(self, rows: DataFrame, srid: int = LAMBERT93) -> Biotope:
+        """Features with what they state of their class: bff_class, epaisseur_m and toiture, type_plui, layer, classe; trees as n_arbres and forfait_arbre_m2."""
+        self.project = biotope.annotate(self._clipped(rows, srid))
+        return self
+
+    def load_drawing(self, spark: SparkSession, path: str, srid: int = CC46) -> Biotope:
+        """A project's drawing: closed shapes of the layers that have a class; points and circles of tree layers are circles."""
+        shapes = vector.read_dxf(spark, path).where(F.col("layer").isin(*dims.LAYERS))
+        return self.load_project(shapes.select("layer", vector.layer_polygon(F.col("layer"), F.col("ring")).alias("ring")).where(F.size("ring") > 3), srid)
+
+    def compute(self) -> DataFrame:
+        """cbs_existant, cbs_projet, delta and alert of each parcel (with its name, where parcels have names); null for a state that wasn't loaded."""
+        parcels = self.parcels()
+        unknown = parcels.select(self.key, F.lit(None).cast("double").alias("cbs"))
+        scores = [unknown if t is None else biotope.score(biotope.by_class(t, self.key), parcels, self.key) for t in (self.existing, self.project)]
+        out = biotope.compare(*scores, self.key)
+        return out.drop(self.key) if self.alone else out

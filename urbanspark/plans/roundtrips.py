@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .. import api
+from .. import api, dims
 from ..core import BBox, Context, shared_folder
 from ..functions import crs
 from ..functions import geometry as G
@@ -14,7 +14,8 @@ from ..operators import features, mapalgebra
 from ..sources import files, las, vector
 from .fixtures import BLD, BOX, GRID, PTS, holey_points, points, read
 from .fixtures import buildings as bld
-from .queries import _CELLS, _FILLED, _cells, query
+from .more import _RECT, _rectangles
+from .queries import _CELLS, _FILLED, _cells, query, values
 
 
 def _folder(spark, what: str) -> str:
@@ -180,3 +181,30 @@ def buildings_numbered(spark, d):
     return features.numbered_subset(rows, "all", [1], "id", "uID").select("id", "uID")
 
 
+
+
+_COVERS, _STATES = list(dims.COSIA_BFF), list(dims.BFF)
+_NAMES = lambda names: "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "]"
+
+
+@query(f"""WITH {_RECT}, c(classe, bff, o1) AS (VALUES {values(dims.COSIA_BFF)}), b(bff, coef, o2) AS (VALUES {values(dims.BFF)}),
+  s AS (SELECT *, greatest(0, least(x1, 40) - greatest(x0, 10)) * greatest(0, least(y1, 40) - greatest(y0, 10)) AS area, {_NAMES(_COVERS)}[id % {len(_COVERS)} + 1] AS classe, {_NAMES(_STATES)}[id % {len(_STATES)} + 1] AS bff FROM f),
+  e AS (SELECT parcel, sum(area * b.coef) / 900 AS cbs FROM s JOIN c USING (classe) JOIN b ON b.bff = c.bff WHERE id % 2 = 0 GROUP BY 1), p AS (SELECT parcel, sum(area * b.coef) / 900 AS cbs FROM s JOIN b USING (bff) WHERE id % 2 = 1 GROUP BY 1),
+  k AS (SELECT parcel, coalesce(e.cbs, 0) AS a, coalesce(p.cbs, 0) AS b FROM (SELECT DISTINCT parcel FROM f) LEFT JOIN e USING (parcel) LEFT JOIN p USING (parcel))
+  SELECT parcel, round(a, 6) AS cbs_existant, round(b, 6) AS cbs_projet, round(b - a, 6) AS delta, b < a AS alert FROM k""")
+def biotope_scores(spark, d):
+    # Every parcel is the same square; land cover is of even numbers, the project of odd ones.
+    rows = _rectangles(spark, d).drop("weight", "ord")
+    square = [F.lit(v) for v in (10.0, 10.0, 40.0, 40.0)]
+    parcels = rows.select("parcel").distinct().select("parcel", G.rectangle(*square).alias("ring"))
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int"))
+    state = api.Biotope(parcels, "parcel")
+    state.load_existing(rows.where("id % 2 = 0").withColumn("classe", pick(_COVERS)).drop("id"))
+    state.load_project(rows.where("id % 2 = 1").withColumn("bff_class", pick(_STATES)).drop("id"))
+    return state.compute().select("parcel", *[F.round(c, 6).alias(c) for c in ("cbs_existant", "cbs_projet", "delta")], "alert")
+
+
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY p_name || '-' || p_partkey || '.tif') AS n FROM part")
+def sorted_paths(spark, d):
+    paths = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".tif")).alias("path"), F.lit(1).alias("all"))
+    return features.numbered_subset(paths, "all", [1], "path", "n").select("id", "n")
