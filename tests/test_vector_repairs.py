@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from xml.etree import ElementTree
 
 import numpy as np
@@ -100,3 +101,14 @@ def test_rings_of_cells_that_meet_in_a_corner(spark):
     cells = spark.createDataFrame([(0, 0, 1, 0), (1, 1, 1, 3), (2, 0, 1, 6), (2, 1, 1, 6), (2, 2, 1, 6), (3, 0, 1, 6), (3, 2, 1, 6), (4, 0, 1, 6), (4, 1, 1, 6), (4, 2, 1, 6)], "row int, col int, value int, label long")
     got = [(r["label"], len(r["ring"])) for r in polygons.cell_rings(cells, 0.0, 5.0, 1.0).collect()]
     assert sorted(got) == [(0, 5), (3, 5), (6, 5), (6, 5)]
+
+
+def test_neighbours_of_points_out_of_all_range(spark):
+    rows = [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 1e300, 0.0), (4, -1e250, 5.0), (5, 1e9, 1e9), (6, 0.0, 2.5)]
+    got = spatialjoin.knn(spark.createDataFrame(rows, "id long, x double, y double"), 2, 1.0).collect()
+    want = {}
+    near = [r for r in rows if abs(r[1]) < 2.0**52]
+    for i, x, y in near:
+        others = sorted((math.hypot(x - a, y - b), j) for j, a, b in near if j != i)[:2]
+        want[i] = [j for _, j in others]
+    assert {i: [r["other"] for r in sorted(got, key=lambda r: r["rank"]) if r["id"] == i] for i in want} == want and {r["id"] for r in got} == set(want)

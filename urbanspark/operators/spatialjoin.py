@@ -90,16 +90,18 @@ def knn(points: DataFrame, k: int, cell: float) -> DataFrame:
     """(id, other, dist, rank): exactly the k nearest other points (ties to the smaller id).
 
     Each point looks into the nine cells about it and is done when k are found within a cell's width; for those
-    that aren't, cells get twice as wide, so an outlier costs a round for each doubling and never a flood of
-    cells. Points without finite coordinates are left out, and of an id that is repeated the smallest point counts.
+    that aren't, cells get wider, twice in the first rounds and then four times, so an outlier costs few rounds and never a
+    flood of cells. Points without finite coordinates, or 2^52 cells or more away from the origin, are left out, and of an id
+    that is repeated the smallest point counts.
     """
-    number = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))  # noqa: E731  (NaN is above infinity)
+    number = lambda c: F.col(c).isNotNull() & (F.abs(c) < cell_limit)  # noqa: E731  (NaN is above all numbers)
+    cell_limit = cell * 2.0**52
     own = points.where(number("x") & number("y")).groupBy("id").agg(F.min(F.struct("x", "y")).alias("p"))
     p = own.select("id", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y")).checkpoint()
     k = min(k, max(p.count() - 1, 0))
     spread = F.explode(F.array(*[F.lit(v) for v in (-1, 0, 1)]))
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    todo, done = p, None
+    todo, done, rounds = p, None, 0
     while k and not todo.isEmpty():
         others = p.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.floor(F.col("x") / cell).alias("kx"), F.floor(F.col("y") / cell).alias("ky"))
         seek = todo.withColumn("i", spread).withColumn("j", spread).withColumns({"kx": F.floor(F.col("x") / cell) + F.col("i"), "ky": F.floor(F.col("y") / cell) + F.col("j")})
@@ -109,7 +111,7 @@ def knn(points: DataFrame, k: int, cell: float) -> DataFrame:
         found = ranked.join(sure, "id", "left_semi").checkpoint()
         done = found if done is None else done.unionByName(found)
         todo = todo.join(found.select("id").distinct(), "id", "left_anti").checkpoint()
-        cell *= 2
+        cell, rounds = cell * (2 if rounds < 4 else 4), rounds + 1
     return done if done is not None else p.select("id", F.col("id").alias("other"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).where("false")
 
 
