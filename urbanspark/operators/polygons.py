@@ -26,8 +26,8 @@ from .graphs import connected
 RING = "array<struct<x:double,y:double>>"
 #: Parts below this area are left out: what remains of them is rounding.
 LEAST_AREA = 1e-9
-#: Features a tile, about, where no tile size is given.
-CAPACITY = 300
+#: Features a tile, about, where no tile size is given: of one plane, and of many keys that are looked at one by one.
+CAPACITY, KEYED_CAPACITY = 300, 2000
 #: Steps of a unit to which the corners of rings are rounded; tiles begin and end on such steps.
 GRID = 1_000_000
 #: The least side of a tile: the finest halving of a unit that is whole in these steps.
@@ -434,7 +434,7 @@ def _by_key(pdf: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
         yield (None if pd.isna(name) else name), rows
 
 
-def union_parts(features: DataFrame, key: str, tile: float | None = None, capacity: int = CAPACITY) -> Parts:
+def union_parts(features: DataFrame, key: str, tile: float | None = None, capacity: int = KEYED_CAPACITY) -> Parts:
     """The union of each key's features (ring, maybe holes)."""
 
     def each(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -444,7 +444,7 @@ def union_parts(features: DataFrame, key: str, tile: float | None = None, capaci
     return Parts(_with_holes(features).select(F.col(key).alias("key"), "ring", "holes"), each, "key", tile, capacity)
 
 
-def clip_parts(features: DataFrame, masks: DataFrame, key: str | None = None, tile: float | None = None, outside: bool = False, capacity: int = CAPACITY) -> Parts:
+def clip_parts(features: DataFrame, masks: DataFrame, key: str | None = None, tile: float | None = None, outside: bool = False, capacity: int = KEYED_CAPACITY) -> Parts:
     """The part of each feature (id, ring, maybe holes) in the union of the masks of its key, or with ``outside`` in none; without a key all masks count."""
     pick = lambda t, role, i: _with_holes(t).select((F.col(key) if key else F.lit(0)).alias("key"), i.alias("id"), "ring", "holes", F.lit(role).alias("role"))
     both = pick(features, 0, F.col("id").cast("long")).unionByName(pick(masks, 1, F.lit(None).cast("long")))
