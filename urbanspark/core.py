@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """One side of a join that is never to be broadcast: Spark takes a table for small by its files' bytes, which rings, copies and keys made of their columns exceed many times, also behind a checkpoint."""
+    return rows.hint("merge")
+
+
 @dataclass(frozen=True)
 class BBox:
     min_x: float

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..core import shuffled
 from ..functions import geometry as G
 
 # The ten colours of clusters.
@@ -87,14 +88,14 @@ def wall_pairs(buildings: DataFrame, tolerance: float = 1e-3, cell: float = 32.0
     walls = walls.withColumns({"lo": F.greatest("lo", F.col("at") * cell), "hi": F.least("hi", (F.col("at") + 1) * cell)})
     # A wall whose offset lies at the rim of its step is met from the next step as well.
     other = walls.withColumn("offset", F.explode(F.array(F.col("offset") - 1, F.col("offset"), F.col("offset") + 1))).select(F.col("id").alias("other"), "angle", "offset", "at", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = walls.join(other, ["angle", "offset", "at"]).where("id <> other").select("id", "other", (F.least("hi", "hi2") - F.greatest("lo", "lo2")).alias("both")).where("both > 0")
+    met = walls.join(shuffled(other), ["angle", "offset", "at"]).where("id <> other").select("id", "other", (F.least("hi", "hi2") - F.greatest("lo", "lo2")).alias("both")).where("both > 0")
     return met.groupBy("id", "other").agg(F.sum("both").alias("shared"))
 
 
 def shared_walls(buildings: DataFrame, tolerance: float = 1e-3, cell: float = 32.0) -> DataFrame:
     """(id, shared, share): length of the walls that a footprint has in common with others (see ``wall_pairs``), and over its perimeter."""
     per = wall_pairs(buildings, tolerance, cell).groupBy("id").agg(F.sum("shared").alias("shared"))
-    out = buildings.select("id", G.perimeter(F.col("ring")).alias("perimeter")).join(per, "id", "left")
+    out = buildings.select("id", G.perimeter(F.col("ring")).alias("perimeter")).join(shuffled(per), "id", "left")
     return out.select("id", F.coalesce("shared", F.lit(0.0)).alias("shared"), F.when(F.col("perimeter") > 0, F.coalesce("shared", F.lit(0.0)) / F.col("perimeter")).alias("share"))
 
 
@@ -102,17 +103,17 @@ def neighbour_distance(buildings: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, distance): mean distance from a footprint to those of its neighbours over edges (a, b), seen from both ends; null without any."""
     rings = buildings.select("id", "ring")
     pairs = edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(rings.select(F.col("id").alias("a"), F.col("ring").alias("ring_a")), "a").join(rings.select(F.col("id").alias("b"), F.col("ring").alias("ring_b")), "b")
+    pairs = pairs.join(shuffled(rings.select(F.col("id").alias("a"), F.col("ring").alias("ring_a"))), "a").join(shuffled(rings.select(F.col("id").alias("b"), F.col("ring").alias("ring_b"))), "b")
     far = pairs.select("a", "b", G.distance(F.col("ring_a"), F.col("ring_b")).alias("d"))
     per = far.select(F.explode(F.array("a", "b")).alias("id"), "d").groupBy("id").agg(F.avg("d").alias("distance"))
-    return buildings.select("id").join(per, "id", "left")
+    return buildings.select("id").join(shuffled(per), "id", "left")
 
 
 def covered_area(edges: DataFrame, areas: DataFrame) -> DataFrame:
     """Sum, mean and count of the neighbours' areas over edges (a, b) seen from both ends."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    per = both.join(areas.select(F.col("id").alias("b"), "area"), "b").groupBy("a").agg(F.sum("area").alias("covered_area"), F.avg("area").alias("mean_area"), F.count("*").alias("neighbours"))
-    return areas.select("id").join(per, areas["id"] == per["a"], "left").select("id", F.coalesce("covered_area", F.lit(0.0)).alias("covered_area"), "mean_area", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+    per = both.join(shuffled(areas.select(F.col("id").alias("b"), "area")), "b").groupBy("a").agg(F.sum("area").alias("covered_area"), F.avg("area").alias("mean_area"), F.count("*").alias("neighbours"))
+    return areas.select("id").join(shuffled(per), areas["id"] == per["a"], "left").select("id", F.coalesce("covered_area", F.lit(0.0)).alias("covered_area"), "mean_area", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def node_degree(edges: DataFrame) -> DataFrame:
 def neighbour_percentiles(edges: DataFrame, values: DataFrame, column: str, at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Percentiles of a column over each node's neighbours."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    per = both.join(values.select(F.col("id").alias("b"), column), "b").groupBy("a").agg(F.percentile(column, F.array(*map(F.lit, at))).alias("p"))
+    per = both.join(shuffled(values.select(F.col("id").alias("b"), column)), "b").groupBy("a").agg(F.percentile(column, F.array(*map(F.lit, at))).alias("p"))
     return per.select(F.col("a").alias("id"), *[F.col("p")[i].alias(f"{column}_p{round(q * 100)}") for i, q in enumerate(at)])
 
 
@@ -156,4 +157,4 @@ def clusters(rows: DataFrame, columns: list[str], k: int, seed: int = 42, starts
 
 def tessellation_areas(buildings: DataFrame, cells: DataFrame) -> DataFrame:
     """Building over cell area (CAR) from nearest-building cells (id, cells, cell_area)."""
-    return buildings.join(cells, "id").withColumn("car", F.col("area") / F.col("cell_area"))
+    return buildings.join(shuffled(cells), "id").withColumn("car", F.col("area") / F.col("cell_area"))

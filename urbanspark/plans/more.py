@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..core import shuffled
 from ..functions import geometry as G
 from ..operators import biotope, comfort, features, graphs, mapalgebra, polygons, trees, urban
 from ..sources import vector
@@ -269,7 +270,7 @@ def coverage_ratio(spark, d):
 @query(f"WITH {_BOTH} SELECT id, area, round(sum(o.other) / count(o.other), 7) AS mean_other FROM v JOIN (SELECT n.id AS k, v.area AS other FROM n JOIN v ON v.id = n.o) o ON o.k = v.id GROUP BY 1, 2")
 def neighbour_mean(spark, d):
     areas = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.abs("c_acctbal").alias("area"))
-    out = urban.covered_area(_edges(spark, d), areas).join(areas, "id").where("neighbours > 0")
+    out = urban.covered_area(_edges(spark, d), areas).join(shuffled(areas), "id").where("neighbours > 0")
     return out.select("id", "area", F.round("mean_area", 7).alias("mean_other"))
 
 
@@ -326,7 +327,7 @@ def shared_walls(spark, d):
   FROM bld a JOIN bld b ON b.id IN (a.id - 1, a.id + 1)) SELECT bld.id, round(avg(d), 6) AS distance FROM bld LEFT JOIN e ON e.id = bld.id GROUP BY 1""")
 def neighbour_distance(spark, d):
     b = bld(spark, d)
-    pairs = b.select(F.col("id").alias("a")).join(b.select(F.col("id").alias("b")), F.col("b") == F.col("a") + 1)
+    pairs = b.select(F.col("id").alias("a")).join(shuffled(b.select(F.col("id").alias("b"))), F.col("b") == F.col("a") + 1)
     return urban.neighbour_distance(b, pairs).select("id", F.round("distance", 6).alias("distance"))
 
 
