@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import shuffled
 from ..functions import geometry as G
 from . import urban
 from .graphs import connected
@@ -26,8 +27,8 @@ def rings(edges: DataFrame, k: int) -> DataFrame:
     front = step.select(F.col("a").alias("id"), F.col("b").alias("node"))
     out = front.withColumn("ring", F.lit(1))
     for n in range(2, k + 1):
-        to = front.join(step, front["node"] == step["a"]).select("id", F.col("b").alias("node")).where("id <> node").distinct()
-        front = to.join(out, ["id", "node"], "left_anti").checkpoint()
+        to = front.join(shuffled(step), front["node"] == step["a"]).select("id", F.col("b").alias("node")).where("id <> node").distinct()
+        front = to.join(shuffled(out), ["id", "node"], "left_anti").checkpoint()
         out = out.unionByName(front.withColumn("ring", F.lit(n)))
     return out
 
@@ -35,22 +36,22 @@ def rings(edges: DataFrame, k: int) -> DataFrame:
 def ring_statistics(found: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """(id, neighbours, total, mean) of a column over each node's rings (id, node), for all of ``values`` (id, column); null values count as neighbours, but in no sum."""
     v = values.select(F.col("id").alias("node"), F.col(column).alias("__v"))
-    per = found.join(v, "node").groupBy("id").agg(F.count("*").alias("neighbours"), F.sum("__v").alias("total"), F.avg("__v").alias("mean"))
-    return values.select("id").join(per, "id", "left").select("id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "total", "mean")
+    per = found.join(shuffled(v), "node").groupBy("id").agg(F.count("*").alias("neighbours"), F.sum("__v").alias("total"), F.avg("__v").alias("mean"))
+    return values.select("id").join(shuffled(per), "id", "left").select("id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "total", "mean")
 
 
 def weighted_neighbours(edges: DataFrame, shapes: DataFrame) -> DataFrame:
     """(id, neighbours, weighted): the number of neighbours, and over the shape's (id, ring) perimeter; null without a perimeter."""
     per = _both(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    rows = shapes.select("id", G.perimeter(F.col("ring")).alias("p")).join(per, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = shapes.select("id", G.perimeter(F.col("ring")).alias("p")).join(shuffled(per), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.select("id", F.col("n").alias("neighbours"), F.when(F.col("p") > 0, F.col("n") / F.col("p")).alias("weighted"))
 
 
 def wall_weighted_mean(buildings: DataFrame, values: DataFrame, column: str, tolerance: float = 1e-3) -> DataFrame:
     """(id, mean): the mean of a column over the neighbours that share walls with a footprint (id, ring), weighted by the walls' length; null without any."""
-    pairs = urban.wall_pairs(buildings, tolerance).join(values.select(F.col("id").alias("other"), F.col(column).alias("__v")), "other").where("__v is not null")
+    pairs = urban.wall_pairs(buildings, tolerance).join(shuffled(values.select(F.col("id").alias("other"), F.col(column).alias("__v"))), "other").where("__v is not null")
     per = pairs.groupBy("id").agg((F.sum(F.col("__v") * F.col("shared")) / F.sum("shared")).alias("mean"))
-    return buildings.select("id").join(per, "id", "left")
+    return buildings.select("id").join(shuffled(per), "id", "left")
 
 
 def interbuilding_distance(buildings: DataFrame, adjacency: DataFrame, neighbourhood: DataFrame) -> DataFrame:
@@ -60,16 +61,16 @@ def interbuilding_distance(buildings: DataFrame, adjacency: DataFrame, neighbour
     """
     rings_ = buildings.select("id", "ring")
     edges = _both(adjacency).where("a < b")
-    far = edges.join(rings_.select(F.col("id").alias("a"), F.col("ring").alias("ra")), "a").join(rings_.select(F.col("id").alias("b"), F.col("ring").alias("rb")), "b")
+    far = edges.join(shuffled(rings_.select(F.col("id").alias("a"), F.col("ring").alias("ra"))), "a").join(shuffled(rings_.select(F.col("id").alias("b"), F.col("ring").alias("rb"))), "b")
     far = far.select("a", "b", G.distance(F.col("ra"), F.col("rb")).alias("d")).checkpoint()
     own = neighbourhood.select("id", "node").union(buildings.select("id", F.col("id").alias("node"))).distinct()
-    inside = far.join(own.select("id", F.col("node").alias("a")), "a").join(own.select("id", F.col("node").alias("b")), ["id", "b"])
-    return buildings.select("id").join(inside.groupBy("id").agg(F.avg("d").alias("distance")), "id", "left")
+    inside = far.join(shuffled(own.select("id", F.col("node").alias("a"))), "a").join(shuffled(own.select("id", F.col("node").alias("b"))), ["id", "b"])
+    return buildings.select("id").join(shuffled(inside.groupBy("id").agg(F.avg("d").alias("distance"))), "id", "left")
 
 
 def adjacency_share(contiguity: DataFrame, neighbourhood: DataFrame, buildings: DataFrame) -> DataFrame:
     """(id, adjacency): joined structures among a building's neighbourhood (id, node), over its number of buildings; null without any."""
     roots = connected(contiguity.select("a", "b"))
-    label = buildings.select(F.col("id").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    per = neighbourhood.select("id", "node").distinct().join(label, "node").groupBy("id").agg((F.count_distinct("root") / F.count("*")).alias("adjacency"))
-    return buildings.select("id").join(per, "id", "left")
+    label = buildings.select(F.col("id").alias("node")).join(shuffled(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    per = neighbourhood.select("id", "node").distinct().join(shuffled(label), "node").groupBy("id").agg((F.count_distinct("root") / F.count("*")).alias("adjacency"))
+    return buildings.select("id").join(shuffled(per), "id", "left")
