@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import shuffled
+
 
 def triangles(xy: np.ndarray) -> list[tuple[int, int, int]]:
     """Delaunay triangles by insertion: those whose circle holds a new point are replaced by a fan about it."""
@@ -50,10 +52,10 @@ def connected(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().checkpoint()
     labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
     while True:
-        offered = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("offer"))
-        near = labels.join(offered.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("root", F.coalesce("offer", "root")).alias("near"), F.col("root").alias("was"))
+        offered = both.join(shuffled(labels.select(F.col("node").alias("b"), "root")), "b").groupBy("a").agg(F.min("root").alias("offer"))
+        near = labels.join(shuffled(offered.withColumnRenamed("a", "node")), "node", "left").select("node", F.least("root", F.coalesce("offer", "root")).alias("near"), F.col("root").alias("was"))
         up = near.select(F.col("node").alias("near"), F.col("near").alias("up"))
-        new = near.join(up, "near").select("node", F.least("near", "up").alias("root"), "was").checkpoint()
+        new = near.join(shuffled(up), "near").select("node", F.least("near", "up").alias("root"), "was").checkpoint()
         labels = new.select("node", "root")
         if new.where("root <> was").isEmpty():
             return labels
@@ -94,9 +96,9 @@ def within_reach(edges: DataFrame, limit: float) -> DataFrame:
     best = both.where(F.col("length") <= limit).groupBy(F.col("a").alias("source"), F.col("b").alias("node")).agg(F.min("length").alias("dist")).where("source <> node").checkpoint()
     front = best
     while not front.isEmpty():
-        step = front.join(both, front["node"] == both["a"]).where((F.col("dist") + F.col("length") <= limit) & (F.col("source") != F.col("b")))
+        step = front.join(shuffled(both), front["node"] == both["a"]).where((F.col("dist") + F.col("length") <= limit) & (F.col("source") != F.col("b")))
         step = step.groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("length")).alias("near"))
-        front = step.join(best, ["source", "node"], "left").where("dist is null or near < dist").select("source", "node", F.col("near").alias("dist")).checkpoint()
+        front = step.join(shuffled(best), ["source", "node"], "left").where("dist is null or near < dist").select("source", "node", F.col("near").alias("dist")).checkpoint()
         best = best.unionByName(front).groupBy("source", "node").agg(F.min("dist").alias("dist")).checkpoint()
     return best
 
@@ -111,8 +113,8 @@ def meshedness(reach: DataFrame, edges: DataFrame) -> DataFrame:
     """(e - v + 1) / (2 v - 5) of each source's reachable part."""
     own = reach.select("source", "node").union(reach.select("source", F.col("source").alias("node")).distinct())
     v = own.groupBy("source").agg(F.count("*").alias("v"))
-    e = edges.select("a", "b").distinct().join(own.select("source", F.col("node").alias("a")), "a").join(own.select("source", F.col("node").alias("b")), ["source", "b"]).groupBy("source").agg(F.count("*").alias("e"))
-    return v.join(e, "source", "left").select(F.col("source").alias("node"), ((F.coalesce("e", F.lit(0)) - F.col("v") + 1) / (2 * F.col("v") - 5)).alias("meshedness"))
+    e = edges.select("a", "b").distinct().join(shuffled(own.select("source", F.col("node").alias("a"))), "a").join(shuffled(own.select("source", F.col("node").alias("b"))), ["source", "b"]).groupBy("source").agg(F.count("*").alias("e"))
+    return v.join(shuffled(e), "source", "left").select(F.col("source").alias("node"), ((F.coalesce("e", F.lit(0)) - F.col("v") + 1) / (2 * F.col("v") - 5)).alias("meshedness"))
 
 
 def street_profile(streets: DataFrame, walls: DataFrame, tick: float = 50.0, step: float = 3.0) -> DataFrame:
@@ -134,7 +136,7 @@ def street_profile(streets: DataFrame, walls: DataFrame, tick: float = 50.0, ste
     det = F.col("vx") * ey - F.col("vy") * ex
     far = ((F.col("ax") - F.col("px")) * ey - (F.col("ay") - F.col("py")) * ex) / det
     along = ((F.col("ax") - F.col("px")) * F.col("vy") - (F.col("ay") - F.col("py")) * F.col("vx")) / det
-    hits = t.join(w, ["kx", "ky"]).where(det != 0).where(far.between(0.0, half) & along.between(0.0, 1.0)).groupBy("street_id", "k", "side").agg(F.min(far).alias("dist"))
-    both = s.join(hits, ["street_id", "k", "side"], "left").withColumn("reach", F.coalesce("dist", F.lit(half)))
+    hits = t.join(shuffled(w), ["kx", "ky"]).where(det != 0).where(far.between(0.0, half) & along.between(0.0, 1.0)).groupBy("street_id", "k", "side").agg(F.min(far).alias("dist"))
+    both = s.join(shuffled(hits), ["street_id", "k", "side"], "left").withColumn("reach", F.coalesce("dist", F.lit(half)))
     wide = both.groupBy("street_id", "k").agg(F.sum("reach").alias("width"), F.count("dist").alias("closed"))
     return wide.groupBy("street_id").agg(F.avg("width").alias("width"), F.coalesce(F.stddev_samp("width"), F.lit(0.0)).alias("deviation"), (1 - F.sum("closed") / (2 * F.count("*"))).alias("openness"))
