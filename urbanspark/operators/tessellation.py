@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import shuffled
 from . import tiling
 from .polygons import RING
 
@@ -188,15 +189,15 @@ def tessellation(footprints: DataFrame, limit: float = LIMIT, segment: float = S
         span = min(halo, 2 * limit)
         wanted = open_.select("leaf").distinct()
         near = points.withColumn("leaf", F.explode(tiling.leaves_of(tree, *[F.col(c) + v for c, v in (("x", -span), ("y", -span), ("x", span), ("y", span))])))
-        near = near.join(wanted, "leaf", "left_semi")
-        rows = near.join(open_.select("leaf", "id", "n", F.lit(True).alias("mine")), ["leaf", "id", "n"], "left").select("leaf", "id", "n", "x", "y", "mine")
+        near = near.join(shuffled(wanted), "leaf", "left_semi")
+        rows = near.join(shuffled(open_.select("leaf", "id", "n", F.lit(True).alias("mine"))), ["leaf", "id", "n"], "left").select("leaf", "id", "n", "x", "y", "mine")
 
         done = rows.groupBy("leaf").applyInPandas(_tile(span, limit), schema).checkpoint()
         sure = done.where("sure").select("id", "edges", "inner")
         found = sure if found is None else found.unionByName(sure)
         if span >= 2 * limit or done.where("not sure").isEmpty():
             break
-        open_ = home.join(done.where("not sure").select("x", "y"), ["x", "y"], "left_semi")
+        open_ = home.join(shuffled(done.where("not sure").select("x", "y")), ["x", "y"], "left_semi")
         halo *= 2
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
