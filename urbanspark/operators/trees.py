@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Grid
+from ..core import Grid, shuffled
 from ..functions import geometry as G
 from .polygons import in_any
 from .spatialjoin import thin
@@ -34,7 +34,7 @@ def tops(canopy: DataFrame, min_height: float = 2.0, distance: int = 5) -> DataF
     along = tall.withColumn("best", rank).withColumn("j", F.explode(span))
     along = along.select("row", (F.col("col") + F.col("j")).alias("col"), "best").groupBy("row", "col").agg(F.max("best").alias("best"))
     down = along.withColumn("i", F.explode(span)).select((F.col("row") + F.col("i")).alias("row"), "col", "best").groupBy("row", "col").agg(F.max("best").alias("best"))
-    return tall.join(down, ["row", "col"]).where(F.col("best") == rank).select("row", "col", "chm")
+    return tall.join(shuffled(down), ["row", "col"]).where(F.col("best") == rank).select("row", "col", "chm")
 
 
 def _flood(chm: np.ndarray, markers: list[tuple[int, int]], least: float) -> np.ndarray:
@@ -59,7 +59,7 @@ def crowns(canopy: DataFrame, grid: Grid, min_height: float = 2.0, distance: int
     The flood is sequential, so it runs per tile with a halo wider than a crown; a tree belongs to the tile of its top.
     """
     peaks = tops(canopy, min_height, distance).withColumn("top", F.lit(True)).select("row", "col", "top")
-    cells = cleaned(canopy).where(F.col("chm") >= min_height).join(peaks, ["row", "col"], "left")
+    cells = cleaned(canopy).where(F.col("chm") >= min_height).join(shuffled(peaks), ["row", "col"], "left")
     reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
     cells = cells.withColumn("ti", F.explode(reach("row"))).withColumn("tj", F.explode(reach("col")))
     px = grid.res * grid.res
@@ -97,4 +97,4 @@ def crown_circles(trees: DataFrame, most: float, spacing: float, mask: DataFrame
     if mask is not None:
         rows = in_any(rows, mask)
     kept = thin(rows.select("id", "x", "y", F.col("H").alias("height")), spacing)
-    return rows.join(kept.select("id"), "id", "left_semi").withColumn("ring", G.circle(F.col("x"), F.col("y"), F.col("D") / 2))
+    return rows.join(shuffled(kept.select("id")), "id", "left_semi").withColumn("ring", G.circle(F.col("x"), F.col("y"), F.col("D") / 2))
