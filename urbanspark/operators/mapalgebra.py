@@ -149,10 +149,10 @@ def bilinear(source: DataFrame, at: DataFrame, grid: Grid, band: str = "value")
 
 
 def percentile_stretch(raster: DataFrame, band: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Band to 0..1 between two percentiles, clamped; one row of limits is joined."""
+    """Band to 0..1 between two percentiles, clamped; one row of limits is joined. Where both are one value, what reaches it is 1 and all else 0, as in a limit from above."""
     lim = raster.agg(F.percentile(band, F.array(F.lit(low), F.lit(high))).alias("lim"))
     lo, hi = F.col("lim")[0], F.col("lim")[1]
-    value = F.when(hi > lo, (F.col(band) - lo) / (hi - lo)).otherwise(0.0)
+    value = F.when(hi > lo, (F.col(band) - lo) / (hi - lo)).when(F.col(band) >= lo, 1.0).otherwise(0.0)
     return raster.crossJoin(F.broadcast(lim)).withColumn("stretched", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))).drop("lim")
 
 
