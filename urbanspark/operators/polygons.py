@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from . import tiling
 from .graphs import connected
+from .spatialjoin import counted
 
 RING = "array<struct<x:double,y:double>>"
 #: Parts below this area are left out: what remains of them is rounding.
@@ -576,6 +577,8 @@ def _tiled(features: DataFrame, tile: float) -> DataFrame:
 def in_any(points: DataFrame, shapes: DataFrame, tile: float = 100.0) -> DataFrame:
     """Points (x, y and others) that lie in at least one shape (ring): the semi-join with a union, by tiles."""
     keyed = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
-    near = _tiled(shapes.select("ring"), tile)
-    inside = F.expr("__points.tx = __shapes.tx and __points.ty = __shapes.ty") & G.contains(F.col("__shapes.ring"), F.col("__points.x"), F.col("__points.y"))
-    return keyed.alias("__points").join(near.alias("__shapes"), inside, "left_semi").drop("tx", "ty")
+    # Equal shapes are one; an envelope is cheaper to look at than a ring.
+    near = _tiled(shapes.select("ring").distinct(), tile).withColumn("e", G.envelope(F.col("ring")))
+    meets = F.expr("__points.tx = __shapes.tx and __points.ty = __shapes.ty and __points.x between __shapes.e.min_x and __shapes.e.max_x and __points.y between __shapes.e.min_y and __shapes.e.max_y")
+    inside = meets & G.contains(F.col("__shapes.ring"), F.col("__points.x"), F.col("__points.y"))
+    return keyed.alias("__points").join(counted(near).alias("__shapes"), inside, "left_semi").drop("tx", "ty")
