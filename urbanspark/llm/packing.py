@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, plain_columns, tidy, written
+from .common import chunks, give_back, plain_columns, tidy, written
 
 WINDOW = 2048
 END_ID = 1
@@ -35,6 +35,10 @@ COMMON = 8
 K1, B = 1.2, 0.75
 #: Bytes of words a worker remembers the ids of, each counted as its characters and _EACH.
 _REMEMBER, _EACH = 60 << 20, 120
+#: Bytes of text cut at once: words, places and ids of a chunk take some twenty times as much.
+_CUT_BYTES = 1 << 20
+#: Texts handed to the tokenizer at once.
+_ENCODED = 16
 #: Ids below this are counted in tables; a tokenizer with more needs wider pieces.
 _IDS = 1 << 16
 
@@ -64,8 +68,12 @@ class Tokens:
         self.held = 0
         self.pool, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the tokenizer's own results, hundreds of bytes a token, are there for a few texts at a time."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), _ENCODED):
+            out += [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts[at : at + _ENCODED], add_special_tokens=False)]
+        return out
 
     def _learn(self, words: list[str]) -> None:
         plain: list[str] = []
@@ -117,8 +125,8 @@ class Tokens:
         return out, bounds + np.arange(len(column) + 1)
 
 
-def _joined(lists: list[list[int]]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint16), *(np.array(x, np.uint16) for x in lists if x)])
+def _joined(lists: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint16), *lists])
 
 
 @cache
@@ -142,7 +150,8 @@ def _cut(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, df, docs, total, rests = _tokens(path), np.zeros(_IDS, np.int64), 0, 0, 0
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            give_back()  # what new words took in the batch before
+            for batch in chunks(whole, "text", _CUT_BYTES):
                 ids, bounds = tokens.batch(batch.column(1))
                 rows = []
                 for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
