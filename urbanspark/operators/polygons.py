@@ -4,6 +4,10 @@ A feature's rings are handed to the tiles that its envelope meets. A tile cuts i
 heights of the vertices and crossings in it; no two sides cross inside a slab, so a slab's part of a result is a row
 of trapezoids between sides. Areas are exact, and no feature or parcel, however large, has to fit into one task.
 
+Where features lie thick, most of a tile's rows can't tell in it: one rectangle that covers the whole tile is the union there, hides what is
+lighter in an overlay, and leaves a feature as it is in a clip. These are found by joins before any ring goes to a tile, and a tile is
+never much smaller than the features, so rows a tile follow from the plane and not from the number of features.
+
 ``as_polygons`` makes rings of them: inside a tile what trapezoids of a piece share falls away; along the tiles' borders
 the two sides' intervals cancel, and where they do the pieces are linked. Linked pieces (components found by rounds of
 joins) are one polygon each, whose remaining sides close to an outer ring and holes.
@@ -11,14 +15,17 @@ joins) are one polygon each, whose remaining sides close to an outer ring and ho
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import shuffled
 from ..functions import geometry as G
 from . import tiling
 from .graphs import connected
@@ -33,6 +40,8 @@ CAPACITY, KEYED_CAPACITY = 300, 2000
 GRID = 1_000_000
 #: The least side of a tile: the finest halving of a unit that is whole in these steps.
 LEAST_TILE = 1 / 64
+#: Pairs of tile and key, of two numbers each, that are broadcast once they are counted.
+FEW_PAIRS = 200_000
 
 Box = tuple[float, float, float, float]
 #: What a slab has: owner, begin and end (numbers of crossings) of each polygon's intervals; gives (label, begin, end) of its runs.
@@ -306,26 +315,52 @@ def _good(features: DataFrame) -> DataFrame:
     return features.where(F.col("ring").isNotNull() & (F.size("ring") > 3) & finite)
 
 
+def _rectangle() -> Column:
+    """Whether ring is a rectangle along the axes, without holes."""
+    p = [F.get("ring", F.lit(i)) for i in range(5)]
+    same = lambda i, j, c: p[i][c] == p[j][c]
+    straight = [same(i, i + 1, "x") != same(i, i + 1, "y") for i in range(4)]
+    found = (F.size("ring") == 5) & same(0, 4, "x") & same(0, 4, "y") & (F.coalesce(F.size("holes"), F.lit(0)) < 1)
+    for c in [*straight, *(~same(i, i + 2, c) for i in (0, 1) for c in "xy")]:
+        found = found & c
+    return F.coalesce(found, F.lit(False))
+
+
 class _Plane:
-    """Tiles of a size, or of a tree of the features' centres; a tile is a number, and its box can be told from it."""
+    """Tiles of a size, or of a tree of places in the features; a tile is a number, and its box can be told from it.
+
+    Tiles of a tree are no smaller than about half a feature: smaller ones would hold no fewer features, and each would lie in more of them.
+    """
 
     def __init__(self, features: DataFrame, tile: float | None, capacity: int):
         self.size = tile
-        e = G.envelope(F.col("ring"))
-        mid = features.select(e.alias("e")).select(((F.col("e.min_x") + F.col("e.max_x")) / 2).alias("x"), ((F.col("e.min_y") + F.col("e.max_y")) / 2).alias("y"), "e.*")
-        self.tree = tiling.tree_of(mid, capacity, least=LEAST_TILE) if tile is None else None
+        if tile is None:
+            e = G.envelope(F.col("ring"))
+            # Any place in it stands for a feature: centres alone would leave the rim of a thick plane to wide tiles.
+            within = lambda a, b, seed: F.col(a) + (F.col(b) - F.col(a)) * F.rand(seed)
+            mid = features.select(e.alias("e")).select("e.*").withColumns({"x": within("min_x", "max_x", 1), "y": within("min_y", "max_y", 2)})
+            side = mid.agg(F.avg(F.col("max_x") - F.col("min_x") + F.col("max_y") - F.col("min_y"))).first()[0]
+            least = 2.0 ** math.floor(math.log2(side / 4)) if side and math.isfinite(side) else 0.0
+            self.tree = tiling.tree_of(mid, capacity, least=max(LEAST_TILE, least))
+        else:
+            self.tree = None
         if tile is not None and abs(tile * GRID - round(tile * GRID)) > 1e-6:
             raise ValueError(f"a tile's side has to be a multiple of 1/{GRID}")
 
     def dealt(self, features: DataFrame) -> DataFrame:
-        """Features once for each tile that their envelope covers: tile."""
+        """Features once for each tile that their envelope covers: tile, shares (an area of the envelope), covered (the whole tile lies in the feature, which is a rectangle)."""
         rows = features.withColumn("e", G.envelope(F.col("ring")))
         sides = [F.col(f"e.{n}") for n in ("min_x", "min_y", "max_x", "max_y")]
         if self.tree is not None:
-            return rows.withColumn("tile", F.explode(tiling.leaves_of(self.tree, *sides).cast("array<long>"))).drop("e")
+            rows = rows.withColumn("at", F.explode(tiling.leaves_of(self.tree, *sides, marked=True)))
+            rows = rows.withColumns({"tile": F.shiftright("at", 2).cast("long"), "shares": F.col("at").bitwiseAND(1) == 1, "covered": (F.col("at").bitwiseAND(2) == 2) & _rectangle()})
+            return rows.drop("e", "at")
         span = lambda lo, hi: F.sequence(F.floor(lo / self.size), F.greatest(F.ceil(hi / self.size) - 1, F.floor(lo / self.size)))
         rows = rows.withColumn("tx", F.explode(span(sides[0], sides[2]))).withColumn("ty", F.explode(span(sides[1], sides[3])))
-        return rows.withColumn("tile", (F.col("tx") + (1 << 30)) * (1 << 31) + F.col("ty") + (1 << 30)).drop("e", "tx", "ty")
+        low, high = [F.col(t) * self.size for t in ("tx", "ty")], [(F.col(t) + 1) * self.size for t in ("tx", "ty")]
+        shares = (sides[0] < high[0]) & (sides[2] > low[0]) & (sides[1] < high[1]) & (sides[3] > low[1]) & (sides[0] < sides[2]) & (sides[1] < sides[3])
+        whole = (sides[0] <= low[0]) & (sides[2] >= high[0]) & (sides[1] <= low[1]) & (sides[3] >= high[1])
+        return rows.withColumns({"tile": (F.col("tx") + (1 << 30)) * (1 << 31) + F.col("ty") + (1 << 30), "shares": shares, "covered": whole & _rectangle()}).drop("e", "tx", "ty")
 
     def box(self, tile: int) -> Box:
         if self.tree is not None:
@@ -351,52 +386,111 @@ def _points(shape: list[tuple[float, float]]) -> list[dict]:
     return [{"x": x, "y": y} for x, y in shape]
 
 
+def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each group from batches that are sorted by it."""
+    open_: list[pd.DataFrame] = []
+    name: tuple | None = None
+    for pdf in batches:
+        number = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(pdf)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                mine = tuple(None if pd.isna(v) else v for v in (pdf[c].iloc[a] for c in by))
+                if open_ and mine != name:
+                    yield pd.concat(open_, ignore_index=True)
+                    open_ = []
+                name = mine
+                open_.append(pdf.iloc[a:b])
+    if open_:
+        yield pd.concat(open_, ignore_index=True)
+
+
+def _filled(pdf: pd.DataFrame, box: Box) -> pd.DataFrame:
+    """Rows without a ring stand for the whole tile."""
+    if not pdf["ring"].isna().any():
+        return pdf
+    x0, y0, x1, y1 = box
+    whole = _points([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])
+    return pdf.assign(ring=[whole if r is None else r for r in pdf["ring"]])
+
+
+def _told_by(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of a tile (and key) side by side."""
+    return rows.repartition(*by).sortWithinPartitions(*by)
+
+
 #: A tile's job: its rows as (polygons, rule, key of each label).
 Each = Callable[[pd.DataFrame], Iterator[tuple[list[list[np.ndarray]], Rule, Callable[[int], object]]]]
 
 
+#: Rows that a worker hands on at once.
+BATCH = 2000
+#: What is left of the good features in their tiles, and the envelopes (key, e) of rectangles that stay whole.
+Reduced = tuple[DataFrame, DataFrame | None]
+
+
 class Parts:
-    """A result of set algebra: as trapezoids (``trapezoids``) or as polygons with holes (``polygons``), both lazy."""
+    """A result of set algebra: as trapezoids (``trapezoids``) or as polygons with holes (``polygons``), both lazy but for the tiles.
+
+    ``by`` names what a job is: a tile, or a tile and a key. ``reduced`` takes out rows that can't tell in their tiles.
+    """
 
-    def __init__(self, rows: DataFrame, each: Each, key: str, tile: float | None, capacity: int):
+    def __init__(self, rows: DataFrame, each: Each, key: str, by: list[str], reduced: Callable[[_Plane, DataFrame], Reduced], tile: float | None, capacity: int):
         rows = _good(rows)
-        self.plane, self.each, self.key, self.kind = _Plane(rows, tile, capacity), each, key, dict(rows.dtypes)[key]
-        self.rows = self.plane.dealt(rows)
+        self.plane, self.each, self.key, self.by, self.kind = _Plane(rows, tile, capacity), each, key, by, dict(rows.dtypes)[key]
+        self.rows, self.whole = reduced(self.plane, rows)
 
     def trapezoids(self) -> DataFrame:
-        each, plane, key = self.each, self.plane, self.key
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            box = plane.box(int(pdf["tile"].iloc[0]))
-            found = [(name(n), _points(s)) for polygons, rule, name in each(pdf) for n, s in trapezoids(polygons, rule, box)]
-            return pd.DataFrame(found, columns=[key, "ring"])
-
-        return self.rows.groupBy("tile").applyInPandas(run, f"{key} {self.kind}, ring {RING}")
+        each, plane, key, by = self.each, self.plane, self.key, self.by
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found: list[tuple] = []
+            for pdf in _groups(batches, by):
+                box = plane.box(int(pdf["tile"].iloc[0]))
+                found += [(name(n), _points(s)) for polygons, rule, name in each(_filled(pdf, box)) for n, s in trapezoids(polygons, rule, box)]
+                if len(found) >= BATCH:
+                    yield pd.DataFrame(found, columns=[key, "ring"])
+                    found = []
+            yield pd.DataFrame(found, columns=[key, "ring"])
+
+        out = _told_by(self.rows, by).mapInPandas(run, f"{key} {self.kind}, ring {RING}")
+        if self.whole is None:
+            return out
+        return out.unionByName(self.whole.select(key, G.rectangle(*[F.col(f"e.{n}") for n in ("min_x", "min_y", "max_x", "max_y")]).alias("ring")).where(G.area(F.col("ring")) > LEAST_AREA))
 
     def polygons(self) -> DataFrame:
         """(key, ring, holes): a row for each connected polygon, rings with the inside on their left. Corners are rounded to ``GRID`` steps a unit.
 
         The tiles' pieces are written once, as a checkpoint, since they are read for links and for sides.
         """
-        each, plane, key = self.each, self.plane, self.key
+        each, plane, key, by = self.each, self.plane, self.key, self.by
         side = "struct<x0:long,y0:long,x1:long,y1:long,line:array<double>>"
         edge = "struct<axis:int,at:long,p:long,q:long>"
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            tile, names, n, out = int(pdf["tile"].iloc[0]), ["x0", "y0", "x1", "y1", "line"], 0, []
-            for polygons, rule, name in each(pdf):
-                inner, border = pieces(polygons, rule, plane.box(tile))
-                by: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
-                for what, me, *rest in inner:
-                    by[what, me][0].append(dict(zip(names, rest, strict=True)))
-                for what, me, *rest in border:
-                    by[what, me][1].append(dict(zip(("axis", "at", "p", "q"), rest, strict=True)))
-                for (what, _), (inside, outside) in by.items():
-                    out.append((name(what), tile, n, inside, outside))
-                    n += 1
-            return pd.DataFrame(out, columns=[key, "tile", "n", "sides", "border"])
-
-        found = self.rows.groupBy("tile").applyInPandas(run, f"{key} {self.kind}, tile long, n int, sides array<{side}>, border array<{edge}>")
+        columns = [key, "tile", "n", "sides", "border"]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, out = ["x0", "y0", "x1", "y1", "line"], []
+            # Pieces are numbered in their task, since the keys of a tile may be in several.
+            n = TaskContext.get().partitionId() << 36
+            for pdf in _groups(batches, by):
+                tile = int(pdf["tile"].iloc[0])
+                box = plane.box(tile)
+                for polygons, rule, name in each(_filled(pdf, box)):
+                    inner, border = pieces(polygons, rule, box)
+                    found: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
+                    for what, me, *rest in inner:
+                        found[what, me][0].append(dict(zip(names, rest, strict=True)))
+                    for what, me, *rest in border:
+                        found[what, me][1].append(dict(zip(("axis", "at", "p", "q"), rest, strict=True)))
+                    for (what, _), (inside, outside) in found.items():
+                        out.append((name(what), tile, n, inside, outside))
+                        n += 1
+                if len(out) >= BATCH:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
+
+        found = _told_by(self.rows, by).mapInPandas(run, f"{key} {self.kind}, tile long, n long, sides array<{side}>, border array<{edge}>")
         found = found.withColumn("piece", F.struct("tile", "n")).drop("tile", "n").checkpoint()
         step = float(plane.block * GRID)
         edges = found.select(key, "piece", F.explode("border").alias("b")).select(key, "piece", "b.*", F.floor(F.least("b.p", "b.q") / step).alias("block"))
@@ -416,7 +510,7 @@ class Parts:
                 out += [(name, as_piece(a), as_piece(b), None) for a, b in sorted(met)]
             return pd.DataFrame(out, columns=[key, "piece", "other", "side"])
 
-        piece = "struct<tile:long,n:int>"
+        piece = "struct<tile:long,n:long>"
         met = edges.groupBy("axis", "at", "block").applyInPandas(meet, f"{key} {self.kind}, piece {piece}, other {piece}, side {side}").checkpoint()
         roots = connected(met.where("other is not null").select(F.col("piece").alias("a"), F.col("other").alias("b")))
         sides = found.select(key, "piece", F.col("sides")).unionByName(met.where("side is not null").select(key, "piece", F.array("side").alias("sides")))
@@ -427,7 +521,12 @@ class Parts:
             ring, holes = linked(plain)
             return pd.DataFrame([(pdf[key].iloc[0], ring, holes)] if ring else [], columns=[key, "ring", "holes"])
 
-        return whole.groupBy("root").applyInPandas(close, f"{key} {self.kind}, ring {RING}, holes array<{RING}>")
+        out = whole.groupBy("root").applyInPandas(close, f"{key} {self.kind}, ring {RING}, holes array<{RING}>")
+        if self.whole is None:
+            return out
+        # As ``linked`` would tell them: corners on the grid, from the least one on.
+        x0, y0, x1, y1 = (F.rint(F.col(f"e.{n}") * GRID) / GRID for n in ("min_x", "min_y", "max_x", "max_y"))
+        return out.unionByName(self.whole.where((x0 < x1) & (y0 < y1)).select(key, G.rectangle(x0, y0, x1, y1).alias("ring"), F.array().cast(f"array<{RING}>").alias("holes")))
 
 
 def _by_key(pdf: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
@@ -435,6 +534,54 @@ def _by_key(pdf: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
         yield (None if pd.isna(name) else name), rows
 
 
+def _covered(dealt: DataFrame) -> DataFrame:
+    """(tile, key) where one row covers the whole tile."""
+    return dealt.where("covered").select("tile", "key").distinct().checkpoint()
+
+
+_SAME = "__rows.tile = __full.tile and __rows.key <=> __full.key"
+
+
+def _beside(dealt: DataFrame, full: DataFrame) -> DataFrame:
+    """Rows of other tiles and keys than the covered ones."""
+    return dealt.alias("__rows").join(counted(full, FEW_PAIRS).alias("__full"), F.expr(_SAME), "left_anti")
+
+
+def _union_reduced(plane: _Plane, rows: DataFrame) -> Reduced:
+    """Of a covered tile's rows one is left, without a ring."""
+    dealt = plane.dealt(rows)
+    full = _covered(dealt)
+    return _beside(dealt, full).select("tile", "key", "ring", "holes").unionByName(full, allowMissingColumns=True), None
+
+
+def _clip_reduced(outside: bool) -> Callable[[_Plane, DataFrame], Reduced]:
+    """Masks as in a union. Rectangles that lie in covered tiles alone stay as they are, or outside go."""
+
+    def reduced(plane: _Plane, rows: DataFrame) -> Reduced:
+        mine, masks = rows.where("role = 0").drop("role"), plane.dealt(rows.where("role = 1"))
+        full = _covered(masks)
+        seen = plane.dealt(mine.withColumn("plain", _rectangle())).select("id", "key", "tile", "shares", "plain")
+        seen = seen.alias("__rows").join(counted(full.withColumn("hit", F.lit(True)), FEW_PAIRS).alias("__full"), F.expr(_SAME), "left")
+        sure = seen.groupBy("id").agg(F.bool_and(F.expr("plain and (hit is not null or not shares)")).alias("sure")).where("sure").select("id").checkpoint()
+        left = plane.dealt(mine.join(shuffled(sure), "id", "left_anti"))
+        whole = None if outside else mine.join(shuffled(sure), "id", "left_semi").select("id", G.envelope(F.col("ring")).alias("e"))
+        columns = ["tile", "key", "id", "ring", "holes", "role"]
+        out = _beside(masks, full).select(columns).unionByName((_beside(left, full) if outside else left).withColumn("role", F.lit(0)).select(columns))
+        # Outside of a covered tile's mask there is nothing, so its mask isn't needed.
+        return out if outside else out.unionByName(full.withColumn("role", F.lit(1)), allowMissingColumns=True), whole
+
+    return reduced
+
+
+def _overlay_reduced(plane: _Plane, rows: DataFrame) -> Reduced:
+    """What comes after the first row that covers the whole tile is hidden there."""
+    dealt = plane.dealt(rows)
+    covers = dealt.where("covered and ord is not null").where(~F.isnan(F.col("weight").cast("double")) & F.col("weight").isNotNull())
+    best = covers.groupBy("tile", "weight").agg(F.min("ord").alias("ord")).groupBy("tile").agg(F.max(F.struct("weight", "ord")).alias("best")).checkpoint()
+    seen = dealt.join(counted(best, FEW_PAIRS), "tile", "left").where("best is null or weight > best.weight or (weight = best.weight and ord <= best.ord)")
+    return seen.select("tile", "id", "weight", "ord", "ring", "holes"), None
+
+
 def union_parts(features: DataFrame, key: str, tile: float | None = None, capacity: int = KEYED_CAPACITY) -> Parts:
     """The union of each key's features (ring, maybe holes)."""
 
@@ -442,7 +589,7 @@ def union_parts(features: DataFrame, key: str, tile: float | None = None, capaci
         for name, rows in _by_key(pdf):
             yield [_rings(r) for r in rows.itertuples()], union_rule, lambda _, name=name: name
 
-    return Parts(_with_holes(features).select(F.col(key).alias("key"), "ring", "holes"), each, "key", tile, capacity)
+    return Parts(_with_holes(features).select(F.col(key).alias("key"), "ring", "holes"), each, "key", ["tile", "key"], _union_reduced, tile, capacity)
 
 
 def clip_parts(features: DataFrame, masks: DataFrame, key: str | None = None, tile: float | None = None, outside: bool = False, capacity: int = KEYED_CAPACITY) -> Parts:
@@ -458,7 +605,7 @@ def clip_parts(features: DataFrame, masks: DataFrame, key: str | None = None, ti
                 ids, n = mine["id"].tolist(), len(masks)
                 yield masks + [_rings(r) for r in mine.itertuples()], clip_rule(n, outside), lambda k, ids=ids, n=n: int(ids[k - n])
 
-    return Parts(both, each, "id", tile, capacity)
+    return Parts(both, each, "id", ["tile", "key"], _clip_reduced(outside), tile, capacity)
 
 
 def overlay_parts(features: DataFrame, tile: float | None = None, capacity: int = CAPACITY) -> Parts:
@@ -469,7 +616,7 @@ def overlay_parts(features: DataFrame, tile: float | None = None, capacity: int
         ids = rows["id"].tolist()
         yield [_rings(r) for r in rows.itertuples()], first_rule, lambda k: int(ids[k])
 
-    return Parts(_with_holes(features).select(F.col("id").cast("long").alias("id"), "weight", "ord", "ring", "holes"), each, "id", tile, capacity)
+    return Parts(_with_holes(features).select(F.col("id").cast("long").alias("id"), "weight", "ord", "ring", "holes"), each, "id", ["tile"], _overlay_reduced, tile, capacity)
 
 
 def dissolved(features: DataFrame, key: str, tile: float | None = None) -> DataFrame:

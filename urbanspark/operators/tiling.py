@@ -69,6 +69,10 @@ class Tree:
         w, cell = self.side / 2 ** int(self.level[leaf]), self.side / 2**self.depth
         return self.x + kx * cell, self.y + ky * cell, self.x + kx * cell + w, self.y + ky * cell + w
 
+    def boxes(self) -> np.ndarray:
+        """The box of every leaf."""
+        return np.array([self.box(i) for i in range(len(self))], float)
+
     @property
     def widest(self) -> float:
         return self.side / 2 ** int(self.level.min())
@@ -136,14 +140,22 @@ def leaf_of(tree: Tree, x: Column, y: Column) -> Column:
     return leaf(x.cast("double"), y.cast("double"))
 
 
-def leaves_of(tree: Tree, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """All leaves that an envelope meets; none where it isn't finite."""
+def leaves_of(tree: Tree, x0: Column, y0: Column, x1: Column, y1: Column, marked: bool = False) -> Column:
+    """All leaves that an envelope meets; none where it isn't finite.
+
+    If marked, numbers are four times the leaf's, with 1 more where they share an area and 2 more where the envelope holds the whole leaf.
+    """
+    boxes = tree.boxes() if marked else None
 
     @F.pandas_udf("array<int>")
     def leaves(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
         sides = [v.to_numpy(float) for v in (x0, y0, x1, y1)]
         good = np.isfinite(np.stack(sides)).all(0)
         row, leaf = tree.covering(*(v[good] for v in sides))
+        if boxes is not None:
+            (a, b, c, d), (e, f, g, h) = (v[good][row] for v in sides), boxes[leaf].T
+            share = (a < g) & (c > e) & (b < h) & (d > f) & (a < c) & (b < d)
+            leaf = leaf * 4 + share + 2 * ((a <= e) & (b <= f) & (c >= g) & (d >= h))
         parts = np.split(leaf.astype(np.int32), np.searchsorted(row, np.arange(1, good.sum())))
         out = np.empty(len(good), object)
         out[:] = [np.zeros(0, np.int32)] * len(good)
