@@ -40,3 +40,12 @@ def test_overlay_hands_on_what_can_tell(spark, tile):
     parts = polygons.overlay_parts(df, tile, 50)
     assert area(parts.trapezoids(), "id") == want == area(parts.polygons().select("id", "ring"), "id")
     assert parts.rows.count() < 1500
+
+
+def test_equal_rings_are_repaired_once(spark):
+    eight = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (4.0, 2.0), (4.0, 0.0), (0.0, 2.0), (0.0, 0.0))])
+    df = spark.range(400).select("id", F.transform(eight, lambda p: G.point(p["x"] * (1 + F.col("id") % 2), p["y"])).alias("ring"))
+    first, named = polygons._alike(df)
+    assert first.count() == 2 and named.count() == 400
+    want = {i: 4.0 * (1 + i % 2) for i in range(400)}
+    assert area(polygons.repaired(df, 64.0), "id") == want == area(polygons.repaired_polygons(df, 64.0).select("id", "ring"), "id")

@@ -650,14 +650,26 @@ def overlay_polygons(features: DataFrame, tile: float | None = None) -> DataFram
     return overlay_parts(features, tile).polygons()
 
 
+def _alike(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, ring) of one id of all that have the same rings, and (id, own) with that id for each."""
+    every = _good(features.select("id", "ring")).groupBy("id").agg(F.sort_array(F.collect_list("ring")).alias("rings")).checkpoint()
+    first = every.groupBy("rings").agg(F.min("id").alias("own"))
+    named = every.join(counted(first), "rings").select("id", "own")
+    return first.select(F.col("own").alias("id"), F.explode("rings").alias("ring")), named
+
+
 def repaired(features: DataFrame, tile: float | None = None) -> DataFrame:
-    """(id, ring): trapezoids of the area that features (id, ring) enclose, whatever loops their rings make."""
-    return dissolved(features.select("id", "ring"), "id", tile)
+    """(id, ring): trapezoids of the area that features (id, ring) enclose, whatever loops their rings make; equal rings are repaired once."""
+    first, named = _alike(features)
+    parts = dissolved(first, "id", tile).withColumnRenamed("id", "own")
+    return named.alias("__n").join(shuffled(parts).alias("__p"), F.expr("__n.own <=> __p.own")).select("__n.id", "__p.ring")
 
 
 def repaired_polygons(features: DataFrame, tile: float | None = None) -> DataFrame:
     """(id, ring, holes): the same as polygons without crossings."""
-    return dissolved_polygons(features.select("id", "ring"), "id", tile)
+    first, named = _alike(features)
+    parts = dissolved_polygons(first, "id", tile).withColumnRenamed("id", "own")
+    return named.alias("__n").join(shuffled(parts).alias("__p"), F.expr("__n.own <=> __p.own")).select("__n.id", "__p.ring", "__p.holes")
 
 
 def areas(parts: DataFrame, key: str) -> DataFrame:
