@@ -49,3 +49,21 @@ def test_equal_rings_are_repaired_once(spark):
     assert first.count() == 2 and named.count() == 400
     want = {i: 4.0 * (1 + i % 2) for i in range(400)}
     assert area(polygons.repaired(df, 64.0), "id") == want == area(polygons.repaired_polygons(df, 64.0).select("id", "ring"), "id")
+
+
+@pytest.mark.parametrize("outside", [False, True])
+@pytest.mark.parametrize("tile", [None, 2.0])
+def test_clip_leaves_whole_rectangles_alone(spark, tile, outside):
+    df = thick(spark, 900)
+    mine, masks = df.where("id % 3 <> 0"), df.where("id % 3 = 0")
+    own = cells(df)
+    under = {p: set().union(*[c for r, c in own.values() if r["id"] % 3 == 0 and r["parcel"] == p]) for p in (0, 1)}
+    left = {i: (c - under[r["parcel"]] if outside else c & under[r["parcel"]]) for i, (r, c) in own.items() if i % 3}
+    want = {i: float(len(c)) for i, c in left.items() if c}
+    parts = polygons.clip_parts(mine, masks, "parcel", tile, outside, 50)
+    got = parts.polygons()
+    assert area(parts.trapezoids(), "id") == want
+    assert {r["id"]: r["a"] for r in got.groupBy("id").agg(F.round(F.sum(G.area(F.col("ring"), F.col("holes"))), 6).alias("a")).collect()} == want
+    assert parts.rows.where("role = 0").select("id").distinct().count() < 600
+    # A rectangle that stays whole is told as any other ring.
+    assert all(r["ring"][0] == min(r["ring"]) and len(r["ring"]) >= 5 for r in got.collect())
