@@ -28,6 +28,11 @@ def shuffled(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Few bytes of a file from which much is made, dealt to all cores: Spark plans tasks by the files' bytes."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 @dataclass(frozen=True)
 class BBox:
     min_x: float

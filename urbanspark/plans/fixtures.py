@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import BBox, Grid
+from ..core import BBox, Grid, spread
 from ..functions import geometry as G
 
 BOX = BBox(0.0, 0.0, 200.0, 100.0)
@@ -43,7 +43,7 @@ def holey_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
-    rows = read(spark, sf_dir, "part").select(
+    rows = spread(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(
         key.alias("id"), ((key % 50).cast("double") * 30).alias("x0"), (F.floor(key / 50.0) * 30.0).alias("y0"), (F.lit(4.0) + size % 12).alias("bw"), (F.lit(5.0) + size % 9).alias("bl"),
         F.when(key % 4 == 0, size.cast("double")).alias("hauteur"), F.when(key % 4 == 1, (size % 8 + 1).cast("double")).alias("nombre_d_etages"), F.when((key % 4).isin(1, 2), (size % 20 + 2).cast("double")).alias("hauteur_2"),
     )

@@ -80,8 +80,8 @@ def drawing_round_trip(spark, d):
 
 @query(f"WITH {BLD} SELECT id, 97 AS bytes, '0103000020' || '6A080000' || '01000000' || '05000000' AS head FROM bld")
 def ewkb_bytes(spark, d):
-    blob = files.ewkb(F.col("ring"), 2154)
-    return bld(spark, d).select("id", F.octet_length(blob).alias("bytes"), F.substring(F.hex(blob), 1, 34).alias("head"))
+    rows = bld(spark, d).select("id", files.ewkb(F.col("ring"), 2154).alias("blob"))
+    return rows.select("id", F.octet_length("blob").alias("bytes"), F.substring(F.hex("blob"), 1, 34).alias("head"))
 
 
 @query(f"WITH {BLD} SELECT id, round(w * l, 4) AS area, round(x0 + w / 2, 4) AS cx FROM bld")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators import features
 
 
@@ -104,7 +105,7 @@ def ewkb(ring: Column, srid: int) -> Column:
 
 
 def _flip(hexed: Column, n: int) -> Column:
-    return F.concat(*[F.substring(hexed, 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
+    return G.bound(hexed, lambda h: F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(n - 1, -1, -1)]))
 
 
 def _int_hex(n: Column) -> Column:
@@ -112,10 +113,9 @@ def _int_hex(n: Column) -> Column:
 
 
 def _double_hex(x: Column) -> Column:
-    """IEEE bits of a double by arithmetic: sign, exponent, fraction."""
+    """IEEE bits of a double by arithmetic: sign, exponent, fraction; each is computed once."""
     a = F.abs(x)
-    e0 = F.floor(F.log2(a)).cast("int")
-    e = e0 + F.when(a >= F.pow(F.lit(2.0), e0 + 1), 1).when(a < F.pow(F.lit(2.0), e0), -1).otherwise(0)
-    fraction = ((a / F.pow(F.lit(2.0), e) - 1) * float(1 << 52)).cast("long")
-    bits = F.when(a == 0, F.lit(0).cast("long")).otherwise(F.shiftleft((e + 1023).cast("long"), 52) + fraction)
+    near = lambda e: e + F.when(a >= F.pow(F.lit(2.0), e + 1), 1).when(a < F.pow(F.lit(2.0), e), -1).otherwise(0)
+    of = lambda e: F.shiftleft((e + 1023).cast("long"), 52) + ((a / F.pow(F.lit(2.0), e) - 1) * float(1 << 52)).cast("long")
+    bits = F.when(a == 0, F.lit(0).cast("long")).otherwise(G.bound(G.bound(F.floor(F.log2(a)).cast("int"), near), of))
     return _flip(F.lpad(F.hex(F.when(x < 0, bits.bitwiseOR(F.lit(-(1 << 63)))).otherwise(bits)), 16, "0"), 8)
