@@ -11,7 +11,7 @@ from ..core import shuffled
 
 
 def triangles(xy: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangles by insertion: those whose circle holds a new point are replaced by a fan about it."""
+    """Delaunay triangles by insertion from left to right: those whose circle holds a new point are replaced by a fan about it, and those whose circle lies left of it are done."""
     n = len(xy)
     if n < 3:
         return []
@@ -25,12 +25,21 @@ def triangles(xy: np.ndarray) -> list[tuple[int, int, int]]:
             return 0.0, 0.0, np.inf
         a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
         ux, uy = (a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d, (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d
-        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
+        return float(ux), float(uy), float((ax - ux) ** 2 + (ay - uy) ** 2)
 
-    live = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
+    live, done = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}, []
     for i in np.lexsort((xy[:, 1], xy[:, 0])).tolist():
-        x, y = pts[i]
-        gone = [t for t, (ux, uy, r2) in live.items() if (x - ux) ** 2 + (y - uy) ** 2 < r2 * (1 - 1e-12)]
+        x, y = pts[i].tolist()
+        gone, left = [], []
+        for t, (ux, uy, r2) in live.items():
+            dx, dy = x - ux, y - uy
+            if dx > 0 and dx * dx >= r2:
+                left.append(t)
+            elif dx * dx + dy * dy < r2 * (1 - 1e-12):
+                gone.append(t)
+        for t in left:
+            del live[t]
+        done += left
         sides: dict[tuple[int, int], int] = {}
         for t in gone:
             for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
@@ -40,7 +49,7 @@ def triangles(xy: np.ndarray) -> list[tuple[int, int, int]]:
         for (a, b), k in sides.items():
             if k == 1:
                 live[a, b, i] = circle((a, b, i))
-    return [t for t in live if max(t) < n]
+    return [t for t in (*done, *live) if max(t) < n]
 
 
 def connected(links: DataFrame) -> DataFrame:
