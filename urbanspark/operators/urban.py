@@ -146,7 +146,7 @@ def clusters(rows: DataFrame, columns: list[str], k: int, seed: int = 42, starts
     if not 1 <= k <= min(11, rows.limit(11).count()):
         raise ValueError("k has to be between 1 and the number of rows, 11 at most")
     z = zscore(rows.na.fill(0.0, columns), *columns).na.fill(0.0, [f"{c}_z" for c in columns])
-    table = VectorAssembler(inputCols=[f"{c}_z" for c in columns], outputCol="features").transform(z).persist()
+    table = VectorAssembler(inputCols=[f"{c}_z" for c in columns], outputCol="features").transform(z).select("id", "features").persist()
     tried = [KMeans(k=k, seed=seed + i, maxIter=50).fit(table) for i in range(starts)]
     out = min(tried, key=lambda m: m.summary.trainingCost).transform(table)
     palette = F.array(*map(F.lit, TAB10))
