@@ -193,18 +193,32 @@ def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, c: np.ndarray, scale:
     return bytes(head) + raw.tobytes()
 
 
-def write_las(points: DataFrame) -> DataFrame:
-    """(part, content): each partition as a LAS file's bytes, for a binary sink."""
+#: Points of a file that a task writes, about.
+FILE_POINTS = 500_000
+
+
+def write_las(points: DataFrame, most: int = FILE_POINTS) -> DataFrame:
+    """(part, content): each partition as bytes of LAS files of about ``most`` points, for a binary sink; a task holds one file. Parts are numbers of their own, the first of a partition its number."""
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
+        held, rows, files = [], 0, 0
+
+        def file() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            part = int(t["part"][0].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([las_bytes(*(t[c].to_numpy() for c in ("x", "y", "z", "classification")))], pa.binary())], ["part", "content"])
+            part = t["part"][0].as_py() + (files << 32)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([las_bytes(*(t[c].to_numpy() for c in ("x", "y", "z", "classification")))], pa.binary())], ["part", "content"])
 
-    return points.select("x", "y", "z", "classification", F.spark_partition_id().alias("part")).mapInArrow(run, "part int, content binary")
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield file()
+                held, rows, files = [], 0, files + 1
+        if rows:
+            yield file()
+
+    return points.select("x", "y", "z", "classification", F.spark_partition_id().alias("part")).mapInArrow(run, "part long, content binary")
 
 
 @dataclass(frozen=True)
