@@ -67,3 +67,23 @@ def test_clip_leaves_whole_rectangles_alone(spark, tile, outside):
     assert parts.rows.where("role = 0").select("id").distinct().count() < 600
     # A rectangle that stays whole is told as any other ring.
     assert all(r["ring"][0] == min(r["ring"]) and len(r["ring"]) >= 5 for r in got.collect())
+
+
+def test_rectangles_are_dealt_to_all_cores(spark, small):
+    from urbanspark.plans import more
+
+    assert more._rectangles(spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_jobs_of_few_bytes_are_dealt_to_all_cores(spark):
+    parts = polygons.union_parts(thick(spark, 300), "parcel", 2.0)
+    assert parts.trapezoids().rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_features_beside_their_masks_go_to_no_tile(spark):
+    square = lambda x: G.rectangle(*[F.lit(v) for v in (x, 0.0, x + 3.0, 3.0)])
+    mine = spark.range(9).select("id", (F.col("id") % 3).alias("parcel"), square(0.0).alias("ring"))
+    masks = spark.range(1).select(F.lit(0).cast("long").alias("parcel"), square(1.0).alias("ring"))
+    parts = polygons.clip_parts(mine, masks, "parcel", 4.0)
+    assert {r["id"] for r in parts.rows.where("role = 0").collect()} == {0, 3, 6}
+    assert area(parts.trapezoids(), "id") == {0: 6.0, 3: 6.0, 6: 6.0}

@@ -415,8 +415,10 @@ def _filled(pdf: pd.DataFrame, box: Box) -> pd.DataFrame:
 
 
 def _told_by(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of a tile (and key) side by side."""
-    return rows.repartition(*by).sortWithinPartitions(*by)
+    """Rows of a tile (and key) side by side. The number of tasks is set, since much is made of few bytes, by which Spark would put all into a few tasks."""
+    spark = rows.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, *by).sortWithinPartitions(*by)
 
 
 #: A tile's job: its rows as (polygons, rule, key of each label).
@@ -567,6 +569,9 @@ def _clip_reduced(outside: bool) -> Callable[[_Plane, DataFrame], Reduced]:
         whole = None if outside else mine.join(shuffled(sure), "id", "left_semi").select("id", G.envelope(F.col("ring")).alias("e"))
         columns = ["tile", "key", "id", "ring", "holes", "role"]
         out = _beside(masks, full).select(columns).unionByName((_beside(left, full) if outside else left).withColumn("role", F.lit(0)).select(columns))
+        if not outside:  # where its key has no mask, nothing of a feature is left
+            met = masks.select("tile", "key").distinct()
+            out = out.alias("__rows").join(shuffled(met).alias("__full"), F.expr(_SAME), "left_semi")
         # Outside of a covered tile's mask there is nothing, so its mask isn't needed.
         return out if outside else out.unionByName(full.withColumn("role", F.lit(1)), allowMissingColumns=True), whole
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..core import shuffled
+from ..core import shuffled, spread
 from ..functions import geometry as G
 from ..operators import biotope, comfort, features, graphs, mapalgebra, polygons, trees, urban
 from ..sources import vector
@@ -28,7 +28,7 @@ def _rectangles(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")
     x, y = (k * 7 % 61).cast("double"), (k * 13 % 53).cast("double")
     ring = G.rectangle(x, y, x + 4 + size % 11, y + 3 + size % 17)
-    return read(spark, d, "part").select(k.alias("id"), (k % 97).alias("parcel"), ring.alias("ring"), size.alias("weight"), k.alias("ord"))
+    return spread(read(spark, d, "part").select("p_partkey", "p_size")).select(k.alias("id"), (k % 97).alias("parcel"), ring.alias("ring"), size.alias("weight"), k.alias("ord"))
 
 
 @query(f"{_CUT} SELECT parcel, round(sum((nx - x) * (ny - y)), 6) AS area FROM c WHERE EXISTS (SELECT 1 FROM f WHERE f.parcel = c.parcel AND f.x0 <= c.x AND f.x1 >= c.nx AND f.y0 <= c.y AND f.y1 >= c.ny) GROUP BY 1")
