@@ -36,7 +36,7 @@ K1, B = 1.2, 0.75
 #: Bytes of words a worker remembers the ids of, each counted as its characters and _EACH.
 _REMEMBER, _EACH = 60 << 20, 120
 #: Bytes of text cut at once: words, places and ids of a chunk take some twenty times as much.
-_CUT_BYTES = 1 << 20
+_CUT_BYTES = 2 << 20
 #: Texts handed to the tokenizer at once.
 _ENCODED = 16
 #: Ids below this are counted in tables; a tokenizer with more needs wider pieces.
@@ -66,7 +66,8 @@ class Tokens:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.pool, self.first, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        # Entry 0 is the end of a text.
+        self.pool, self.first, self.size = np.full(1, END_ID, np.uint16), np.zeros(1, np.int32), np.ones(1, np.int32)
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the tokenizer's own results, hundreds of bytes a token, are there for a few texts at a time."""
@@ -87,7 +88,7 @@ class Tokens:
             other, plain, flat, stops = plain + other, [], flat[:0], stops[:0]
         rest = self._encoded(other)
         sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(r) for r in rest], np.int64)]).astype(np.int32)
-        base = len(self.known)
+        base = len(self.size)
         self.held += sum(map(len, plain)) + sum(map(len, other)) + _EACH * len(sizes)
         self.known.update(zip(plain + other, range(base, base + len(sizes)), strict=True))
         self.first = np.concatenate([self.first, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
@@ -109,20 +110,13 @@ class Tokens:
         words = pc.ascii_split_whitespace(column)
         flat = words.flatten().dictionary_encode()
         entry = self._look_up(flat.dictionary.to_pylist())
-        word = entry[np.asarray(flat.indices)]
+        stops = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
+        word = np.insert(entry[np.asarray(flat.indices)], stops, 0)
         size = self.size[word]
         stop = np.cumsum(size, dtype=np.int32)  # a chunk has far fewer ids than that holds
         at = np.repeat(self.first[word] - (stop - size), size)
         at += np.arange(len(at), dtype=np.int32)
-        ids = self.pool.take(at)
-        offsets = np.asarray(words.offsets)
-        bounds = np.concatenate([[0], stop])[offsets - offsets[0]]
-        out = np.empty(len(ids) + len(column), np.uint16)
-        ends = bounds[1:] + np.arange(len(column))
-        keep = np.ones(len(out), bool)
-        keep[ends] = False
-        out[keep], out[ends] = ids, END_ID
-        return out, bounds + np.arange(len(column) + 1)
+        return self.pool.take(at), np.concatenate([[0], stop[stops + np.arange(len(column))]])
 
 
 def _joined(lists: list[np.ndarray]) -> np.ndarray:
