@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -98,9 +99,12 @@ class Tokens:
     def _look_up(self, words: list[str]) -> np.ndarray:
         if self.held > _REMEMBER:
             self.clear()
-        if fresh := [w for w in words if w not in self.known]:
+        entry = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(entry < 0)):
+            fresh = [words[i] for i in new.tolist()]
             self._learn(fresh)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            entry[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        return entry
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint16 with END_ID after each text, and the bounds of the texts."""
@@ -109,7 +113,8 @@ class Tokens:
             column = pc.replace_substring_regex(pc.ascii_lower(column), "([a-z])([.,;:!?])", r"\1 \2")
         words = pc.ascii_split_whitespace(column)
         flat = words.flatten().dictionary_encode()
-        entry = self._look_up(flat.dictionary.to_pylist())
+        # Through NumPy a word is made in a tenth of the time that Arrow's own scalars take.
+        entry = self._look_up(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
         stops = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
         word = np.insert(entry[np.asarray(flat.indices)], stops, 0)
         size = self.size[word]
