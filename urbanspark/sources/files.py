@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -43,20 +43,22 @@ def write_geojson(buildings: DataFrame, path: str) -> None:
 def write_files(rows: DataFrame, folder: str) -> int:
     """Write each row (name, content) as a file of a folder in a store that Arrow writes to; how many there are. The tasks write; a file gets its name when it is whole."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(files: Iterator[Row]) -> Iterator[int]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder) if re.match(r"\w+:", folder) else (fs.LocalFileSystem(), folder)
         store.create_dir(base)
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = f"{base}/.{name}-{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as f:
-                    f.write(content.as_buffer())
-                store.move(part, f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        n = 0
+        for name, content in files:
+            part = f"{base}/.{name}-{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(content)
+            store.move(part, f"{base}/{name}")
+            n += 1
+        yield n
+
+    # Pickled rows come about a megabyte at a time, or one; an Arrow batch is of thousands of rows, here whole files.
+    return rows.select("name", "content").rdd.mapPartitions(run).sum()
 
 
 def collection(buildings: DataFrame) -> DataFrame:
